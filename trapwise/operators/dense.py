@@ -1,0 +1,351 @@
+"""Dense (embedding) scoring as block kernels over corpus partitions.
+
+Every query is scored against every document, but the ``|Q| x |D|`` pairs are
+never materialised as rows.  The corpus stays partitioned as Spark read it;
+each task multiplies its documents with a broadcast block of query vectors
+(Arrow batches in, NumPy in the task) and emits only per-query partial
+aggregates - minimum/maximum per stream, local top-N candidates, or counts of
+documents that beat the labelled documents.  Spark then combines the partials
+with ordinary hash aggregates.
+
+The query block is broadcast only after its size is checked against
+``QUERY_BLOCK_BYTES``; a larger query set is split into several blocks and the
+corpus is scanned once per block (block nested loop), so nothing unbounded is
+ever pulled through the driver.
+
+Dot products accumulate in float64 in dimension order, which is the order
+Spark's ``aggregate(zip_with(...))`` and DuckDB's ``list_reduce`` use; the
+kernel therefore produces bit-identical scores to the SQL form.  ``exact=False``
+switches to BLAS (faster, last-bit differences possible).
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from trapwise import config
+from trapwise.functions.numeric import minmax_denominator, quantize
+
+STREAMS = ("base", "target", "trap")
+_CHUNK_ELEMS = 2_000_000
+
+
+# --------------------------------------------------------------------------- SQL
+
+
+def sql_dot(a: Column | str, b: Column | str) -> Column:
+    """Dot product in dimension order (float64), the SQL reference form."""
+    a = F.col(a) if isinstance(a, str) else a
+    b = F.col(b) if isinstance(b, str) else b
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0).cast("double"),
+                       lambda s, x: s + x)
+
+
+def l2_normalize(v: Column | str) -> Column:
+    """Unit-normalise a vector; a zero vector is divided by 1 (stays zero)."""
+    v = F.col(v) if isinstance(v, str) else v
+    norm = F.sqrt(F.aggregate(F.transform(v, lambda x: x * x), F.lit(0.0).cast("double"),
+                              lambda s, x: s + x))
+    safe = F.coalesce(F.nullif(norm, F.lit(0.0)), F.lit(1.0))
+    return F.transform(v, lambda x: x / safe)
+
+
+def zero_for_blank(vec: Column, dims: int) -> Column:
+    """Blank texts get an all-zero vector (so a blank trap never penalises)."""
+    return F.coalesce(vec, F.array_repeat(F.lit(0.0).cast("double"), dims))
+
+
+# ------------------------------------------------------------------ numpy kernels
+
+
+def _list_matrix(col: pa.Array) -> np.ndarray:
+    """Arrow list<double> column -> (n, k) float64 matrix (fixed length rows)."""
+    if isinstance(col, pa.ChunkedArray):
+        col = col.combine_chunks()
+    n = len(col)
+    if n == 0:
+        return np.zeros((0, 0))
+    if col.null_count:
+        raise ValueError("null vector in input; use zero_for_blank() first")
+    offsets = col.offsets.to_numpy()
+    lengths = np.diff(offsets)
+    k = int(lengths[0])
+    if not np.all(lengths == k):
+        raise ValueError("vectors of different length in one table")
+    flat = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+    return flat.reshape(n, k)
+
+
+def dot_block(qt: np.ndarray, dt: np.ndarray, exact: bool = True) -> np.ndarray:
+    """Scores (n_q, n_d) from transposed blocks qt (k, n_q) and dt (k, n_d)."""
+    if not exact:
+        return qt.T @ dt
+    out = np.zeros((qt.shape[1], dt.shape[1]))
+    tmp = np.empty_like(out)
+    for j in range(qt.shape[0]):
+        np.multiply.outer(qt[j], dt[j], out=tmp)
+        out += tmp
+    return out
+
+
+def quantize_np(x: np.ndarray) -> np.ndarray:
+    return np.floor(x * 1e9 + 0.5).astype(np.int64)
+
+
+def interval_events(db: np.ndarray, dt: np.ndarray, max_slot: int) -> np.ndarray:
+    """Events (+1 at the first, -1 after the last beta slot) where a doc wins.
+
+    A document beats the labelled one at slot i (beta = i/100) iff
+    ``100*db - i*dt > 0`` with integer db, dt (fixed-point score differences).
+    That set is an interval of slots, so it is found with two integer
+    divisions instead of evaluating every slot.  Returns an (n, max_slot+2)
+    array of event counts per query row.
+    """
+    n = db.shape[0]
+    width = max_slot + 2
+    num = 100 * db
+    start = np.zeros(db.shape, dtype=np.int64)
+    end = np.full(db.shape, max_slot, dtype=np.int64)
+    valid = np.zeros(db.shape, dtype=bool)
+    zero = dt == 0
+    valid[zero] = db[zero] > 0
+    pos = dt > 0
+    if pos.any():
+        hi = np.floor_divide(num[pos] - 1, dt[pos])
+        end[pos] = np.minimum(hi, max_slot)
+        valid[pos] = hi >= 0
+    neg = dt < 0
+    if neg.any():
+        lo = np.floor_divide(-num[neg], -dt[neg]) + 1
+        start[neg] = np.maximum(lo, 0)
+        valid[neg] = lo <= max_slot
+    rows = np.broadcast_to(np.arange(n, dtype=np.int64)[:, None], db.shape)
+    r = rows[valid]
+    plus = np.bincount(r * width + start[valid], minlength=n * width)
+    minus = np.bincount(r * width + end[valid] + 1, minlength=n * width)
+    return (plus - minus).reshape(n, width)
+
+
+# --------------------------------------------------------------- query blocks
+
+
+def _block_frames(queries: DataFrame, row_bytes: int, max_bytes: int) -> list[DataFrame]:
+    """Split the query table into blocks whose broadcast size is bounded."""
+    n = queries.count()
+    blocks = max(1, math.ceil(n * row_bytes / max_bytes))
+    if blocks == 1:
+        return [queries]
+    key = F.pmod(F.xxhash64("qid"), F.lit(blocks))
+    return [queries.where(key == b) for b in range(blocks)]
+
+
+def _to_block(df: DataFrame, vector_cols: Sequence[str], scalar_cols: Sequence[str]) -> dict:
+    table = df.toArrow()
+    block = {"qid": table.column("qid").to_numpy()}
+    for c in vector_cols:
+        mat = _list_matrix(table.column(c))
+        block[c] = np.ascontiguousarray(mat.T)  # (k, n)
+    for c in scalar_cols:
+        block[c] = table.column(c).to_numpy(zero_copy_only=False)
+    return block
+
+
+def _doc_batches(batches: Iterator[pa.RecordBatch], vec_col: str, id_col: str):
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        ids = batch.column(id_col).to_numpy(zero_copy_only=False).astype(np.int64)
+        mat = _list_matrix(batch.column(vec_col))
+        yield ids, np.ascontiguousarray(mat.T)
+
+
+def _chunks(ids: np.ndarray, dt: np.ndarray, n_q: int):
+    step = max(1, _CHUNK_ELEMS // max(1, n_q))
+    for s in range(0, len(ids), step):
+        yield ids[s:s + step], dt[:, s:s + step]
+
+
+def _query_row_bytes(queries: DataFrame, vector_cols: Sequence[str], extra_scalars: int) -> int:
+    # dimension read from one row (schema has no length); cheap limit(1) probe
+    first = queries.select(*[F.size(c).alias(c) for c in vector_cols]).limit(1).collect()
+    dims = sum(first[0]) if first else 0
+    return 8 * (dims + extra_scalars + 1)
+
+
+# ------------------------------------------------------------------- passes
+
+
+STATS_SCHEMA = T.StructType([T.StructField("qid", T.LongType())] + [
+    T.StructField(f"{p}_{s}", T.DoubleType()) for s in STREAMS for p in ("mn", "mx")])
+
+
+def stream_stats(docs: DataFrame, queries: DataFrame, exact: bool = True,
+                 max_block_bytes: int = config.QUERY_BLOCK_BYTES) -> DataFrame:
+    """Per query and stream, min and max score over the whole corpus.
+
+    ``docs(doc_id, vec)``, ``queries(qid, base, target, trap)``.
+    Result ``(qid, mn_base, mx_base, mn_target, mx_target, mn_trap, mx_trap)``.
+    """
+    spark = docs.sparkSession
+    row_bytes = _query_row_bytes(queries, STREAMS, 0)
+    parts = []
+    for frame in _block_frames(queries.select("qid", *STREAMS), row_bytes, max_block_bytes):
+        bc = spark.sparkContext.broadcast(_to_block(frame, STREAMS, []))
+
+        def kernel(batches, bc=bc):
+            blk = bc.value
+            n = len(blk["qid"])
+            mn = np.full((3, n), np.inf)
+            mx = np.full((3, n), -np.inf)
+            seen = False
+            for ids, dt in _doc_batches(batches, "vec", "doc_id"):
+                for _, dchunk in _chunks(ids, dt, n):
+                    seen = True
+                    for s, name in enumerate(STREAMS):
+                        sc = dot_block(blk[name], dchunk, exact)
+                        np.minimum(mn[s], sc.min(axis=1), out=mn[s])
+                        np.maximum(mx[s], sc.max(axis=1), out=mx[s])
+            if seen and n:
+                cols = {"qid": blk["qid"].astype(np.int64)}
+                for s, name in enumerate(STREAMS):
+                    cols[f"mn_{name}"] = mn[s]
+                    cols[f"mx_{name}"] = mx[s]
+                yield pa.RecordBatch.from_pydict(cols)
+
+        parts.append(docs.select("doc_id", "vec").mapInArrow(kernel, STATS_SCHEMA))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    aggs = []
+    for s in STREAMS:
+        aggs += [F.min(f"mn_{s}").alias(f"mn_{s}"), F.max(f"mx_{s}").alias(f"mx_{s}")]
+    return out.groupBy("qid").agg(*aggs)
+
+
+def labelled_scores(docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """Raw scores of the answer and the trap document for each query (equi-join).
+
+    ``queries(qid, answer_id, trap_id, base, target, trap)`` ->
+    ``(qid, {a,t}_{base,target,trap})`` raw doubles.
+    """
+    d = docs.select("doc_id", "vec")
+    a = d.select(F.col("doc_id").alias("answer_id"), F.col("vec").alias("va"))
+    t = d.select(F.col("doc_id").alias("trap_id"), F.col("vec").alias("vt"))
+    j = queries.join(a, "answer_id").join(t, "trap_id")
+    cols = [F.col("qid")]
+    for s in STREAMS:
+        cols.append(sql_dot(s, "va").alias(f"a_{s}"))
+        cols.append(sql_dot(s, "vt").alias(f"t_{s}"))
+    return j.select(*cols)
+
+
+def query_profile(docs: DataFrame, queries: DataFrame, exact: bool = True) -> DataFrame:
+    """Per-query stats plus fixed-point raw and normalised labelled scores."""
+    st = stream_stats(docs, queries, exact)
+    lab = labelled_scores(docs, queries)
+    p = st.join(lab, "qid")
+    cols = [F.col("*")]
+    for s in STREAMS:
+        den = minmax_denominator(F.col(f"mn_{s}"), F.col(f"mx_{s}"))
+        cols.append(den.alias(f"den_{s}"))
+        for lab_ in ("a", "t"):
+            raw = F.col(f"{lab_}_{s}")
+            cols.append(quantize(raw).alias(f"R{lab_}_{s}"))
+            cols.append(quantize((raw - F.col(f"mn_{s}")) / den).alias(f"N{lab_}_{s}"))
+    return p.select(*cols)
+
+
+BETA_COUNT_SCHEMA = T.StructType([
+    T.StructField("qid", T.LongType()), T.StructField("source", T.StringType()),
+    T.StructField("slot", T.IntegerType()), T.StructField("d_ans", T.LongType()),
+    T.StructField("d_trap", T.LongType()), T.StructField("base_a", T.LongType()),
+    T.StructField("base_t", T.LongType())])
+
+_SCALARS = ["mn_base", "den_base", "mn_target", "den_target", "mn_trap", "den_trap",
+            "Ra_base", "Rt_base", "Ra_target", "Rt_target",
+            "Na_base", "Nt_base", "Na_target", "Nt_target", "Na_trap", "Nt_trap"]
+
+
+def beta_counts(docs: DataFrame, queries: DataFrame, profile: DataFrame, max_slot: int,
+                exact: bool = True, max_block_bytes: int = config.QUERY_BLOCK_BYTES) -> DataFrame:
+    """Per-task partial counts for the beta sweep (both score sources).
+
+    Rows with ``slot >= 0`` are interval events of the normalised fusion
+    ``n(source) - beta*n(trap)``; rows with ``slot = -1`` carry raw counts
+    (``source`` stream and original-query baseline) used at beta 0.
+    """
+    spark = docs.sparkSession
+    q = queries.select("qid", *STREAMS).join(profile.select("qid", *_SCALARS), "qid")
+    row_bytes = _query_row_bytes(queries, STREAMS, len(_SCALARS))
+    parts = []
+    for frame in _block_frames(q, row_bytes, max_block_bytes):
+        bc = spark.sparkContext.broadcast(_to_block(frame, STREAMS, _SCALARS))
+
+        def kernel(batches, bc=bc):
+            blk = bc.value
+            n = len(blk["qid"])
+            width = max_slot + 2
+            ev = {src: [np.zeros((n, width), np.int64), np.zeros((n, width), np.int64)]
+                  for src in ("baseline", "target")}
+            raw = {k: np.zeros(n, np.int64) for k in ("ba", "bt", "ga", "gt")}
+            seen = False
+            col = {k: blk[k][:, None] for k in _SCALARS}
+            for ids, dt in _doc_batches(batches, "vec", "doc_id"):
+                for _, dchunk in _chunks(ids, dt, n):
+                    seen = True
+                    sb = dot_block(blk["base"], dchunk, exact)
+                    sg = dot_block(blk["target"], dchunk, exact)
+                    st = dot_block(blk["trap"], dchunk, exact)
+                    rb, rg = quantize_np(sb), quantize_np(sg)
+                    raw["ba"] += (rb > col["Ra_base"]).sum(axis=1)
+                    raw["bt"] += (rb > col["Rt_base"]).sum(axis=1)
+                    raw["ga"] += (rg > col["Ra_target"]).sum(axis=1)
+                    raw["gt"] += (rg > col["Rt_target"]).sum(axis=1)
+                    nt = quantize_np((st - col["mn_trap"]) / col["den_trap"])
+                    for src, s, name in (("baseline", sb, "base"), ("target", sg, "target")):
+                        ns = quantize_np((s - col[f"mn_{name}"]) / col[f"den_{name}"])
+                        ev[src][0] += interval_events(ns - col[f"Na_{name}"], nt - col["Na_trap"], max_slot)
+                        ev[src][1] += interval_events(ns - col[f"Nt_{name}"], nt - col["Nt_trap"], max_slot)
+            if not (seen and n):
+                return
+            qid = blk["qid"].astype(np.int64)
+            out = {k: [] for k in ("qid", "source", "slot", "d_ans", "d_trap", "base_a", "base_t")}
+            for src in ("baseline", "target"):
+                ea, et = ev[src]
+                ea, et = ea[:, :max_slot + 1], et[:, :max_slot + 1]
+                r, c = np.nonzero((ea != 0) | (et != 0))
+                out["qid"].append(qid[r])
+                out["source"].append(np.full(len(r), src, dtype=object))
+                out["slot"].append(c.astype(np.int32))
+                out["d_ans"].append(ea[r, c])
+                out["d_trap"].append(et[r, c])
+                out["base_a"].append(np.zeros(len(r), np.int64))
+                out["base_t"].append(np.zeros(len(r), np.int64))
+                ra, rt = (raw["ba"], raw["bt"]) if src == "baseline" else (raw["ga"], raw["gt"])
+                out["qid"].append(qid)
+                out["source"].append(np.full(n, src, dtype=object))
+                out["slot"].append(np.full(n, -1, np.int32))
+                out["d_ans"].append(ra)
+                out["d_trap"].append(rt)
+                out["base_a"].append(raw["ba"])
+                out["base_t"].append(raw["bt"])
+            yield pa.RecordBatch.from_pydict({k: np.concatenate(v) for k, v in out.items()},
+                                             schema=_BETA_ARROW)
+
+        parts.append(docs.select("doc_id", "vec").mapInArrow(kernel, BETA_COUNT_SCHEMA))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+_BETA_ARROW = pa.schema([("qid", pa.int64()), ("source", pa.string()), ("slot", pa.int32()),
+                         ("d_ans", pa.int64()), ("d_trap", pa.int64()),
+                         ("base_a", pa.int64()), ("base_t", pa.int64())])
