@@ -191,3 +191,132 @@ SELECT t.{k}, t.condition, t.candidate_top_n, sw.beta,
        sw."recall@3", sw."violation@3", sw."recall@5", sw."violation@5",
        sw."violation_delta@5" AS "change_violation@5"
 FROM t JOIN sw ON sw.{k} = t.{k} AND sw.condition = t.condition AND sw.beta_i = t.ba_""")
+
+
+# ----------------------------------------------------------------- lexical (BM25)
+
+WS = (r"[\t\n\x0b\x0c\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+      r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
+NOT_LB = r"[^\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+
+
+def ustrip(x: str) -> str:
+    return f"regexp_replace({x}, '^{WS}+|{WS}+$', '', 'g')"
+
+
+def title(x: str) -> str:
+    pat = "'^(" + NOT_LB + "*)'"
+    return f"CASE WHEN length({x}) > 0 THEN {ustrip(f'regexp_extract({x}, {pat}, 1)')} END"
+
+
+def tokens(x: str) -> str:
+    return f"regexp_extract_all(lower({x}), '{config.TOKEN_PATTERN}')"
+
+
+def _clean(x: str) -> str:
+    return ustrip(f"regexp_replace({x}, '[?.!\\s]+$', '')")
+
+
+def rule_split(q: str) -> tuple[str, str]:
+    lead = "(?i)" + config.RULE_LEADING_PATTERN
+    mid = "(?i)" + config.RULE_SPLIT_PATTERN
+    lt, lp = _clean(f"regexp_extract({q}, '{lead}', 2)"), _clean(f"regexp_extract({q}, '{lead}', 1)")
+    mt, mp = _clean(f"regexp_extract({q}, '{mid}', 1)"), _clean(f"regexp_extract({q}, '{mid}', 2)")
+    has_lead = f"regexp_matches({q}, '{lead}')"
+    has_mid = f"(regexp_matches({q}, '{mid}') AND {mt} <> '')"
+    target = f"CASE WHEN {has_lead} THEN {lt} WHEN {has_mid} THEN {mt} ELSE {_clean(q)} END"
+    trap = f"CASE WHEN {has_lead} THEN {lp} WHEN {has_mid} THEN {mp} ELSE '' END"
+    return target, trap
+
+
+def _sample_cte() -> str:
+    q = ustrip("query")
+    target, trap = rule_split(q)
+    return f"""
+t0 AS (SELECT doc_id, {title('text')} AS title FROM documents),
+sample AS (SELECT a.doc_id AS qid, 'x_' || CAST(a.doc_id AS VARCHAR) AS id,
+                  a.title || ' excluding ' || b.title AS query,
+                  a.doc_id AS answer_id, b.doc_id AS trap_id
+           FROM t0 a JOIN t0 b ON b.doc_id = a.doc_id + 1 WHERE a.title <> '' AND b.title <> ''),
+dec AS (SELECT qid, id, query, answer_id, trap_id, {target} AS Q_target, {trap} AS Q_trap FROM sample)"""
+
+
+BM25_CORPUS = f"""
+dt AS (SELECT doc_id, {tokens('text')} AS tk FROM documents),
+nd AS (SELECT count(*)::DOUBLE AS n, sum(len(tk))::DOUBLE / count(*)::DOUBLE AS avgdl FROM dt),
+terms AS (SELECT doc_id, dl, tok, count(*) AS tf
+          FROM (SELECT doc_id, len(tk) AS dl, unnest(tk) AS tok FROM dt) GROUP BY ALL),
+dfq AS (SELECT tok, count(*) AS df FROM terms GROUP BY tok),
+rawi AS (SELECT tok, df, ln(n - df::DOUBLE + 0.5::DOUBLE) - ln(df::DOUBLE + 0.5::DOUBLE) AS raw FROM dfq, nd),
+mi AS (SELECT sum({_q('raw')})::DOUBLE / count(*)::DOUBLE AS mean_nano FROM rawi),
+idf AS (SELECT tok, df, CASE WHEN raw < 0 THEN {config.BM25_EPSILON}::DOUBLE * mean_nano
+                        ELSE {_q('raw')}::DOUBLE END AS idf_nano FROM rawi, mi),
+w AS (SELECT t.doc_id, t.tok, floor(i.idf_nano * (t.tf::DOUBLE * 2.5::DOUBLE / (t.tf::DOUBLE + 1.5::DOUBLE *
+          (1.0::DOUBLE - 0.75::DOUBLE + 0.75::DOUBLE * t.dl::DOUBLE / nd.avgdl))) + 0.5::DOUBLE)::BIGINT AS w
+      FROM terms t JOIN idf i USING (tok), nd)"""
+
+
+def _bm25_pairs() -> str:
+    return f"""{_sample_cte()},
+{BM25_CORPUS},
+qs AS (SELECT qid, 'base' AS stream, query AS text FROM dec
+       UNION ALL SELECT qid, 'target', Q_target FROM dec
+       UNION ALL SELECT qid, 'trap', Q_trap FROM dec),
+qt AS (SELECT qid, stream, tok, count(*) AS qtf
+       FROM (SELECT qid, stream, unnest({tokens('text')}) AS tok FROM qs) GROUP BY ALL),
+c AS (SELECT qt.qid, qt.stream, w.doc_id, qt.qtf * w.w AS c FROM qt JOIN w USING (tok)),
+pv AS (SELECT qid, doc_id,
+              coalesce(sum(CASE WHEN stream = 'base' THEN c END), 0)::BIGINT AS base,
+              coalesce(sum(CASE WHEN stream = 'target' THEN c END), 0)::BIGINT AS target,
+              coalesce(sum(CASE WHEN stream = 'trap' THEN c END), 0)::BIGINT AS trap
+       FROM c GROUP BY qid, doc_id),
+s AS (SELECT 'bm25' AS embedding_model, d0.qid, d.doc_id AS doc, d0.answer_id, d0.trap_id,
+             (pv.qid IS NOT NULL) AS matched,
+             coalesce(pv.base, 0) AS sb, coalesce(pv.target, 0) AS sg, coalesce(pv.trap, 0) AS st
+      FROM dec d0 CROSS JOIN documents d LEFT JOIN pv ON pv.qid = d0.qid AND pv.doc_id = d.doc_id),
+st AS (SELECT embedding_model, qid, min(sb) mnb, max(sb) mxb, min(sg) mng, max(sg) mxg,
+              min(st) mnt, max(st) mxt FROM s GROUP BY ALL),
+n AS (SELECT s.*, 1 AS mult, sb AS RB, sg AS RG,
+             {_q(f"(sb::DOUBLE - mnb::DOUBLE) / {_den('mnb::DOUBLE', 'mxb::DOUBLE')}")} AS NB,
+             {_q(f"(sg::DOUBLE - mng::DOUBLE) / {_den('mng::DOUBLE', 'mxg::DOUBLE')}")} AS NG,
+             {_q(f"(st::DOUBLE - mnt::DOUBLE) / {_den('mnt::DOUBLE', 'mxt::DOUBLE')}")} AS NT
+      FROM s JOIN st USING (embedding_model, qid)),
+lab AS (SELECT embedding_model, qid,
+               max(CASE WHEN doc = answer_id THEN RB END) RBa, max(CASE WHEN doc = trap_id THEN RB END) RBt,
+               max(CASE WHEN doc = answer_id THEN RG END) RGa, max(CASE WHEN doc = trap_id THEN RG END) RGt,
+               max(CASE WHEN doc = answer_id THEN NB END) NBa, max(CASE WHEN doc = trap_id THEN NB END) NBt,
+               max(CASE WHEN doc = answer_id THEN NG END) NGa, max(CASE WHEN doc = trap_id THEN NG END) NGt,
+               max(CASE WHEN doc = answer_id THEN NT END) NTa, max(CASE WHEN doc = trap_id THEN NT END) NTt
+        FROM n GROUP BY ALL)"""
+
+
+def bm25_beta_sweep() -> str:
+    k = "embedding_model"
+    return _with(_beta_counts(_bm25_pairs(), k), _sweep_select(k)) + "\n" + _sweep_public(k)
+
+
+def bm25_tradeoff() -> str:
+    k = "embedding_model"
+    return (_with(_beta_counts(_bm25_pairs(), k), _sweep_select(k), _tradeoff_select(k))
+            + "\nSELECT * EXCLUDE (ba_) FROM t")
+
+
+def bm25_labelled_scores() -> str:
+    cols = []
+    for s, c in (("base", "sb"), ("target", "sg"), ("trap", "st")):
+        cols += [f"min({c}) AS mn_{s}", f"max({c}) AS mx_{s}",
+                 f"max(CASE WHEN doc = answer_id THEN {c} END) AS a_{s}",
+                 f"max(CASE WHEN doc = trap_id THEN {c} END) AS t_{s}"]
+    return (_with(_bm25_pairs()) + "\nSELECT qid, answer_id, trap_id, count(*) FILTER (WHERE matched) AS matched, "
+            + ", ".join(cols) + " FROM s GROUP BY qid, answer_id, trap_id")
+
+
+def rule_decompositions() -> str:
+    return _with(_sample_cte()) + "\nSELECT id, query, Q_target, Q_trap FROM dec"
+
+
+def tokenize_stats() -> str:
+    return _with(BM25_CORPUS, """cf AS (SELECT tok, sum(tf)::BIGINT AS cf FROM terms GROUP BY tok)""") + """
+SELECT i.tok, i.df, cf.cf, floor(i.idf_nano / 1000.0::DOUBLE + 0.5::DOUBLE)::BIGINT AS idf_micro,
+       nd.n::BIGINT AS n_docs, floor(nd.avgdl * 1e6 + 0.5::DOUBLE)::BIGINT AS avgdl_micro
+FROM idf i JOIN cf USING (tok), nd"""

@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
-from trapwise.plans import dense, oracle
+from trapwise.plans import dense, lexical, oracle
 
 QUERIES = {
     "dense_beta_sweep": dense.dense_beta_sweep,
     "dense_tradeoff": dense.dense_tradeoff,
     "dense_operating_points": dense.dense_operating_points,
+    "tokenize_stats": lexical.tokenize_stats,
+    "rule_decompose": lexical.rule_decompositions,
+    "bm25_labelled_scores": lexical.bm25_labelled_scores,
+    "bm25_beta_sweep": lexical.bm25_beta_sweep,
+    "bm25_tradeoff": lexical.bm25_tradeoff,
 }
 
 ORACLE = {
     "dense_beta_sweep": oracle.dense_beta_sweep(),
     "dense_tradeoff": oracle.dense_tradeoff(),
     "dense_operating_points": oracle.dense_operating_points(),
+    "tokenize_stats": oracle.tokenize_stats(),
+    "rule_decompose": oracle.rule_decompositions(),
+    "bm25_labelled_scores": oracle.bm25_labelled_scores(),
+    "bm25_beta_sweep": oracle.bm25_beta_sweep(),
+    "bm25_tradeoff": oracle.bm25_tradeoff(),
 }
