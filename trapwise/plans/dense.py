@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trapwise import config
-from trapwise.operators import dense, evaluate
+from trapwise.functions.vectors import sql_dot, weighted_sum
+from trapwise.operators import blockscore, evaluate
 from trapwise.sources.tables import read_table
 
 MODELS = {"m64": 64, "m32": 32}
@@ -30,11 +31,6 @@ def dense_docs(spark: SparkSession, sf_dir: str, dims: int) -> DataFrame:
                       F.transform(F.slice("embedding", 1, dims), lambda x: x.cast("double")).alias("vec"))
 
 
-def _mix(a, b, c, wa: float, wb: float, wc: float):
-    ab = F.zip_with(a, b, lambda x, y: F.lit(wa) * x + F.lit(wb) * y)
-    return F.zip_with(ab, c, lambda s, z: s + F.lit(wc) * z)
-
-
 def dense_queries(spark: SparkSession, sf_dir: str, dims: int) -> DataFrame:
     """``(qid, answer_id, trap_id, base, target, trap)`` built by equi-joins."""
     d = dense_docs(spark, sf_dir, dims)
@@ -44,19 +40,37 @@ def dense_queries(spark: SparkSession, sf_dir: str, dims: int) -> DataFrame:
              .join(e[3], F.col("i3") == F.col("i0") + 3))
     return j.select(F.col("i0").alias("qid"), F.col("i0").alias("answer_id"),
                     F.col("i1").alias("trap_id"),
-                    _mix("v0", "v1", "v2", 0.4, 0.4, 0.5).alias("base"),
-                    _mix("v0", "v1", "v2", 0.5, 0.25, 0.5).alias("target"),
-                    _mix("v0", "v1", "v3", 0.5, 0.7, 0.5).alias("trap"))
+                    weighted_sum([F.col("v0"), F.col("v1"), F.col("v2")], [0.4, 0.4, 0.5]).alias("base"),
+                    weighted_sum([F.col("v0"), F.col("v1"), F.col("v2")], [0.5, 0.25, 0.5]).alias("target"),
+                    weighted_sum([F.col("v0"), F.col("v1"), F.col("v3")], [0.5, 0.7, 0.5]).alias("trap"))
+
+
+def labelled_scores(docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """Raw scores of each query's answer and trap document (two equi-joins)."""
+    a = docs.select(F.col("doc_id").alias("answer_id"), F.col("vec").alias("va"))
+    t = docs.select(F.col("doc_id").alias("trap_id"), F.col("vec").alias("vt"))
+    j = queries.join(a, "answer_id").join(t, "trap_id")
+    cols = [F.col("qid")]
+    for s in blockscore.STREAMS:
+        cols += [sql_dot(s, "va").alias(f"a_{s}"), sql_dot(s, "vt").alias(f"t_{s}")]
+    return j.select(*cols)
+
+
+def model_parts(spark: SparkSession, sf_dir: str, dims: int, exact: bool = True):
+    """(scorer, profile) for one model."""
+    docs = dense_docs(spark, sf_dir, dims)
+    queries = dense_queries(spark, sf_dir, dims)
+    scorer = blockscore.DenseScorer(docs, queries, exact)
+    prof = blockscore.profile(blockscore.stream_stats(scorer), labelled_scores(docs, queries), False)
+    return scorer, prof
 
 
 def dense_beta_events(spark: SparkSession, sf_dir: str, betas: list[int],
                       models: dict[str, int] = MODELS, exact: bool = True) -> DataFrame:
     parts = []
     for name, dims in models.items():
-        docs = dense_docs(spark, sf_dir, dims)
-        queries = dense_queries(spark, sf_dir, dims)
-        profile = dense.query_profile(docs, queries, exact)
-        ev = dense.beta_counts(docs, queries, profile, max(betas), exact)
+        scorer, prof = model_parts(spark, sf_dir, dims, exact)
+        ev = blockscore.beta_counts(scorer, prof, max(betas))
         parts.append(ev.withColumn("embedding_model", F.lit(name)))
     out = parts[0]
     for p in parts[1:]:
