@@ -320,3 +320,121 @@ def tokenize_stats() -> str:
 SELECT i.tok, i.df, cf.cf, floor(i.idf_nano / 1000.0::DOUBLE + 0.5::DOUBLE)::BIGINT AS idf_micro,
        nd.n::BIGINT AS n_docs, floor(nd.avgdl * 1e6 + 0.5::DOUBLE)::BIGINT AS avgdl_micro
 FROM idf i JOIN cf USING (tok), nd"""
+
+
+# ------------------------------------------------------------------ fusion sweeps
+
+FUSION_KS = config.DEFAULT_TOP_KS
+
+
+def _lit(v) -> str:
+    if v is None:
+        return "NULL"
+    if isinstance(v, str):
+        return "'" + v.replace("'", "''") + "'"
+    if isinstance(v, float):
+        return f"{v!r}::DOUBLE"
+    return str(v)
+
+
+def _grid_cte(mode: str) -> str:
+    from trapwise.operators.fusion import build_grid
+
+    rows = []
+    for g in build_grid(mode):
+        rows.append("(" + ", ".join(_lit(x) for x in (
+            g.grid_id, g.cand, g.a, g.g, g.b, g.method, g.alpha, g.gamma, g.beta,
+            None if g.cand is None else str(g.cand))) + ")")
+    return ("grid AS (SELECT grid_id::INTEGER AS grid_id, cand::INTEGER AS cand, a::BIGINT AS a, g::BIGINT AS g, "
+            "b::BIGINT AS b, method, alpha::DOUBLE AS alpha, gamma::DOUBLE AS gamma, beta::DOUBLE AS beta, cand_label "
+            "FROM (VALUES " + ", ".join(rows) + ") t(grid_id, cand, a, g, b, method, alpha, gamma, beta, cand_label))")
+
+
+def _fusion_ranks(key: str) -> str:
+    def nrm(x: str) -> str:
+        mn, mx = f"min({x}) OVER w", f"max({x}) OVER w"
+        return _q(f"({x}::DOUBLE - {mn}::DOUBLE) / {_den(f'{mn}::DOUBLE', f'{mx}::DOUBLE')}")
+
+    return f"""
+allc AS (SELECT n.{key}, n.qid, grid.grid_id,
+           sum((grid.a*NB + grid.g*NG - grid.b*NT > grid.a*NBa + grid.g*NGa - grid.b*NTa)::BIGINT) + 1 AS ar,
+           sum((grid.a*NB + grid.g*NG - grid.b*NT > grid.a*NBt + grid.g*NGt - grid.b*NTt)::BIGINT) + 1 AS tr
+         FROM n JOIN lab USING ({key}, qid) CROSS JOIN grid WHERE grid.cand IS NULL GROUP BY ALL),
+base AS (SELECT n.{key}, n.qid, sum((RB > RBa)::BIGINT) + 1 AS ar, sum((RB > RBt)::BIGINT) + 1 AS tr
+         FROM n JOIN lab USING ({key}, qid) GROUP BY ALL),
+rk AS (SELECT n.*, row_number() OVER (PARTITION BY {key}, qid ORDER BY RB DESC, doc ASC) AS rn FROM n),
+cl AS (SELECT DISTINCT cand FROM grid WHERE cand IS NOT NULL),
+cr AS (SELECT rk.{key}, rk.qid, cl.cand, rk.doc, rk.answer_id, rk.trap_id, rk.sb, rk.sg, rk.st
+       FROM rk JOIN cl ON rk.rn <= cl.cand),
+cs AS (SELECT cr.*, {nrm('sb')} AS NB, {nrm('sg')} AS NG, {nrm('st')} AS NT
+       FROM cr WINDOW w AS (PARTITION BY {key}, qid, cand)),
+cf AS (SELECT cs.{key}, cs.qid, grid.grid_id, cs.doc = cs.answer_id AS is_a, cs.doc = cs.trap_id AS is_t,
+              grid.a*cs.NB + grid.g*cs.NG - grid.b*cs.NT AS f
+       FROM cs JOIN grid ON grid.cand = cs.cand),
+cg AS (SELECT {key}, qid, grid_id, max(is_a::INTEGER) AS in_a, max(is_t::INTEGER) AS in_t,
+              max(CASE WHEN is_a THEN f END) AS fa, max(CASE WHEN is_t THEN f END) AS ft FROM cf GROUP BY ALL),
+cc AS (SELECT cf.{key}, cf.qid, cf.grid_id, sum((cf.f > cg.fa)::BIGINT) AS ba, sum((cf.f > cg.ft)::BIGINT) AS bt,
+              any_value(cg.in_a) AS in_a, any_value(cg.in_t) AS in_t
+       FROM cf JOIN cg USING ({key}, qid, grid_id) GROUP BY ALL),
+gr AS (SELECT cc.{key}, cc.qid, cc.grid_id,
+              CASE WHEN cc.in_a = 1 THEN cc.ba + 1 ELSE base.ar END AS ar,
+              CASE WHEN cc.in_t = 1 THEN cc.bt + 1 ELSE base.tr END AS tr
+       FROM cc JOIN base USING ({key}, qid)),
+ranks AS (SELECT {key}, qid, grid_id, ar, tr FROM allc
+          UNION ALL SELECT {key}, qid, -1 AS grid_id, ar, tr FROM base
+          UNION ALL SELECT {key}, qid, grid_id, ar, tr FROM gr)"""
+
+
+def _fusion_summary(key: str) -> str:
+    def r(c: str) -> str:
+        return f"({c}::DOUBLE / samples::DOUBLE)"
+
+    aggs = ["count(*) AS samples", "sum((ar < tr)::BIGINT) AS right_", "sum(ar) AS sar", "sum(tr) AS str_"]
+    for k in FUSION_KS:
+        aggs += [f"sum((ar <= {k})::BIGINT) AS h{k}", f"sum((tr <= {k})::BIGINT) AS v{k}"]
+    cols = [f"{key} AS retriever", "grid_id", "samples", f"{r('right_')} AS right_rank",
+            f"{r('sar')} AS mean_answer_rank", f"{r('str_')} AS mean_trap_rank"]
+    gaps = []
+    for k in FUSION_KS:
+        gaps.append(f"({r(f'h{k}')} - {r(f'v{k}')})")
+        cols += [f'{r(f"h{k}")} AS "recall@{k}"', f'{r(f"v{k}")} AS "violation_rate@{k}"',
+                 f'{r(f"h{k}")} - {r(f"v{k}")} AS "recall_minus_violation@{k}"']
+    cols.append(f"(({' + '.join(gaps)}) / {float(len(FUSION_KS))}::DOUBLE) AS avg_recall_minus_violation")
+    return f"""
+m AS (SELECT {key}, grid_id, {', '.join(aggs)} FROM ranks GROUP BY ALL),
+sm AS (SELECT {', '.join(cols)} FROM m),
+meta AS (SELECT grid_id, method, alpha, gamma, beta, coalesce(cand_label, 'all') AS candidate_top_n FROM grid
+         UNION ALL SELECT -1, 'baseline', NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, NULL::VARCHAR),
+rows_ AS (SELECT sm.*, meta.method, meta.alpha, meta.gamma, meta.beta, meta.candidate_top_n
+          FROM sm JOIN meta USING (grid_id))"""
+
+
+def _fusion_public() -> str:
+    cols = ["retriever", "method", "samples", "right_rank", "mean_answer_rank", "mean_trap_rank"]
+    for k in FUSION_KS:
+        cols += [f'"recall@{k}"', f'"violation_rate@{k}"', f'"recall_minus_violation@{k}"']
+    cols += ["avg_recall_minus_violation", "alpha", "gamma", "beta", "candidate_top_n"]
+    return ", ".join(cols)
+
+
+def fusion_sweep(mode: str) -> str:
+    k = "embedding_model"
+    return (_with(DENSE_PAIRS, _grid_cte(mode), _fusion_ranks(k), _fusion_summary(k))
+            + f"\nSELECT {_fusion_public()} FROM rows_")
+
+
+def bm25_fusion_sweep() -> str:
+    k = "embedding_model"
+    return (_with(_bm25_pairs(), _grid_cte("no_target"), _fusion_ranks(k), _fusion_summary(k))
+            + f"\nSELECT {_fusion_public()} FROM rows_")
+
+
+def best_configs(mode: str = "full") -> str:
+    k = "embedding_model"
+    k0 = min(FUSION_KS)
+    return (_with(DENSE_PAIRS, _grid_cte(mode), _fusion_ranks(k), _fusion_summary(k)) + f"""
+, pos AS (SELECT rows_.*, row_number() OVER (ORDER BY avg_recall_minus_violation DESC,
+                 "recall_minus_violation@{k0}" DESC, right_rank DESC, "recall@{k0}" DESC,
+                 "violation_rate@{k0}" ASC, CASE retriever WHEN 'm64' THEN 0 ELSE 1 END ASC, grid_id ASC) AS position
+          FROM rows_ WHERE method <> 'baseline')
+SELECT {_fusion_public()}, position FROM pos WHERE position <= {config.BEST_CONFIGS_LIMIT}""")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trapwise.plans import dense, lexical, oracle
+from trapwise.plans import dense, fusion, lexical, oracle
 
 QUERIES = {
     "dense_beta_sweep": dense.dense_beta_sweep,
@@ -13,6 +13,11 @@ QUERIES = {
     "bm25_labelled_scores": lexical.bm25_labelled_scores,
     "bm25_beta_sweep": lexical.bm25_beta_sweep,
     "bm25_tradeoff": lexical.bm25_tradeoff,
+    "fusion_sweep_full": fusion.fusion_sweep_full,
+    "fusion_sweep_no_target": fusion.fusion_sweep_no_target,
+    "fusion_sweep_target": fusion.fusion_sweep_target,
+    "bm25_fusion_sweep": fusion.bm25_fusion_sweep,
+    "best_configs": fusion.best_configs,
 }
 
 ORACLE = {
@@ -24,4 +29,9 @@ ORACLE = {
     "bm25_labelled_scores": oracle.bm25_labelled_scores(),
     "bm25_beta_sweep": oracle.bm25_beta_sweep(),
     "bm25_tradeoff": oracle.bm25_tradeoff(),
+    "fusion_sweep_full": oracle.fusion_sweep("full"),
+    "fusion_sweep_no_target": oracle.fusion_sweep("no_target"),
+    "fusion_sweep_target": oracle.fusion_sweep("target_minus_trap"),
+    "bm25_fusion_sweep": oracle.bm25_fusion_sweep(),
+    "best_configs": oracle.best_configs("full"),
 }
