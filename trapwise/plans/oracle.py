@@ -438,3 +438,148 @@ def best_configs(mode: str = "full") -> str:
                  "violation_rate@{k0}" ASC, CASE retriever WHEN 'm64' THEN 0 ELSE 1 END ASC, grid_id ASC) AS position
           FROM rows_ WHERE method <> 'baseline')
 SELECT {_fusion_public()}, position FROM pos WHERE position <= {config.BEST_CONFIGS_LIMIT}""")
+
+
+def _topk(pairs: str, model_filter: str, k: int = 10) -> str:
+    return _with(pairs) + f"""
+, r AS (SELECT qid, doc, answer_id, trap_id, RB, rank() OVER (PARTITION BY qid ORDER BY RB DESC) AS rk
+        FROM n WHERE {model_filter})
+SELECT qid, doc AS doc_id, rk AS rank, RB AS score_nano, doc = answer_id AS is_answer, doc = trap_id AS is_trap
+FROM r WHERE rk <= {k}"""
+
+
+def dense_topk() -> str:
+    return _topk(DENSE_PAIRS, "embedding_model = 'm64'")
+
+
+def bm25_topk() -> str:
+    return _topk(_bm25_pairs(), "TRUE")
+
+
+# ------------------------------------------------------------------ preparation
+
+def compose(title_: str, doc: str) -> str:
+    t, d = ustrip(f"coalesce({title_}, '')"), ustrip(f"coalesce({doc}, '')")
+    return f"CASE WHEN {t} <> '' AND NOT starts_with({d}, {t}) THEN {t} || chr(10) || {d} ELSE {d} END"
+
+
+_CTX = "STRUCT(passage_id BIGINT, answer VARCHAR)[]"
+
+PREP = f"""
+nq AS (SELECT CASE WHEN doc_id % 2 = 0 THEN 'A' ELSE 'B' END AS config, doc_id AS qid, text AS question,
+              ['not', 'and', 'or'][(doc_id % 3) + 1] AS question_type,
+              [{{'passage_id': CASE WHEN doc_id % 4 = 0 THEN NULL ELSE doc_id + 1 END, 'answer': 'p' || doc_id::VARCHAR}},
+               {{'passage_id': CASE WHEN doc_id % 15 = 0 THEN NULL ELSE doc_id END, 'answer': 'alt'}}]::{_CTX} AS positive_ctxs,
+              CASE WHEN doc_id % 21 = 0 THEN []::{_CTX}
+                   ELSE [{{'passage_id': doc_id + 2, 'answer': 'n' || doc_id::VARCHAR}}]::{_CTX} END AS negative_ctxs,
+              (CASE WHEN doc_id % 2 = 0 THEN 0 ELSE 1 END)::BIGINT * 1099511627776 + doc_id AS ordinal
+       FROM documents),
+r AS (SELECT *, list_filter(positive_ctxs, lambda c: c.passage_id IS NOT NULL)[1].passage_id AS positive_docid,
+             list_filter(negative_ctxs, lambda c: c.passage_id IS NOT NULL)[1].passage_id AS negative_docid
+      FROM nq WHERE question_type = 'not'),
+kept AS (SELECT * FROM r WHERE positive_docid IS NOT NULL AND negative_docid IS NOT NULL),
+skipped AS (SELECT config, qid, 'missing_positive_or_negative_passage_id' AS reason
+            FROM r WHERE positive_docid IS NULL OR negative_docid IS NULL),
+needed AS (SELECT DISTINCT config, docid FROM (SELECT config, positive_docid AS docid FROM kept
+                                               UNION ALL SELECT config, negative_docid FROM kept)),
+src AS (SELECT 'A' AS config, doc_id AS docid, text AS doc, source AS title, doc_id AS ordinal FROM documents
+        UNION ALL SELECT 'B', doc_id, text, NULL, doc_id FROM documents),
+resolved AS (SELECT config, docid, {compose('title', 'doc')} AS text
+             FROM (SELECT s.*, row_number() OVER (PARTITION BY s.config, s.docid ORDER BY s.ordinal) AS rr
+                   FROM src s WHERE EXISTS (SELECT 1 FROM needed n WHERE n.config = s.config AND n.docid = s.docid))
+             WHERE rr = 1),
+ok AS (SELECT k.* FROM kept k
+       WHERE EXISTS (SELECT 1 FROM resolved x WHERE x.config = k.config AND x.docid = k.positive_docid)
+         AND EXISTS (SELECT 1 FROM resolved x WHERE x.config = k.config AND x.docid = k.negative_docid)),
+seen AS (SELECT config, positive_docid AS docid, ordinal * 2 AS pos FROM ok
+         UNION ALL SELECT config, negative_docid, ordinal * 2 + 1 FROM ok),
+idx AS (SELECT config, docid, (row_number() OVER (ORDER BY first_pos) - 1)::BIGINT AS corpus_index,
+               config || ':' || docid::VARCHAR AS key
+        FROM (SELECT config, docid, min(pos) AS first_pos FROM seen GROUP BY ALL))"""
+
+
+def not_questions() -> str:
+    return _with(PREP) + """
+SELECT config, qid, positive_docid, negative_docid, coalesce(positive_ctxs[1].answer, '') AS positive_answer,
+       coalesce(negative_ctxs[1].answer, '') AS negative_answer FROM kept"""
+
+
+def skipped_questions() -> str:
+    return _with(PREP) + "\nSELECT * FROM skipped"
+
+
+def referenced_corpus() -> str:
+    return _with(PREP) + "\nSELECT * FROM resolved"
+
+
+def missing_docs() -> str:
+    return _with(PREP) + """
+SELECT n.config, n.docid FROM needed n
+WHERE NOT EXISTS (SELECT 1 FROM resolved x WHERE x.config = n.config AND x.docid = n.docid)"""
+
+
+def corpus_index() -> str:
+    return _with(PREP) + "\nSELECT * FROM idx"
+
+
+def boolq_sample() -> str:
+    q = ustrip("ok.question")
+    return _with(PREP) + f"""
+SELECT 'boolq_' || ok.config || '_' || ok.qid::VARCHAR AS id, ok.config AS dataset_config, ok.qid,
+       'q1' AS query_column, {q} AS query, {q} AS q1, '' AS q2, ok.question_type,
+       ok.positive_docid AS positive_passage_id, ok.negative_docid AS negative_passage_id,
+       coalesce(ok.positive_ctxs[1].answer, '') AS positive_answer,
+       coalesce(ok.negative_ctxs[1].answer, '') AS negative_answer,
+       pi.corpus_index AS positive_corpus_index, ni.corpus_index AS negative_corpus_index,
+       pt.text AS doc1, nt.text AS doc2, 'doc1' AS answer_doc, 'doc2' AS trap_doc,
+       pt.text AS answer_text, nt.text AS trap_text
+FROM ok
+JOIN idx pi ON pi.config = ok.config AND pi.docid = ok.positive_docid
+JOIN idx ni ON ni.config = ok.config AND ni.docid = ok.negative_docid
+JOIN resolved pt ON pt.config = ok.config AND pt.docid = ok.positive_docid
+JOIN resolved nt ON nt.config = ok.config AND nt.docid = ok.negative_docid"""
+
+
+def composition_counts() -> str:
+    return _with(PREP) + """
+SELECT c.config, coalesce(q.n, 0)::BIGINT AS queries, coalesce(d.n, 0)::BIGINT AS referenced_docs,
+       coalesce(s.n, 0)::BIGINT AS skipped
+FROM (VALUES ('A'), ('B')) c(config)
+LEFT JOIN (SELECT config, count(*) AS n FROM ok GROUP BY config) q USING (config)
+LEFT JOIN (SELECT config, count(*) AS n FROM idx GROUP BY config) d USING (config)
+LEFT JOIN (SELECT config, count(*) AS n FROM skipped GROUP BY config) s USING (config)"""
+
+
+def labelled_sample() -> str:
+    q = ustrip("s.query")
+    return _with(_sample_cte()) + f"""
+SELECT 'excluir_' || s.qid::VARCHAR AS id, s.qid AS benchmark_index, 'q1' AS query_column,
+       {q} AS query, {q} AS q1, {title('n.text')} AS q2, {title('p.text')} AS question0,
+       s.answer_id AS positive_corpus_index, s.trap_id AS negative_corpus_index,
+       p.text AS doc1, n.text AS doc2, 'doc1' AS answer_doc, 'doc2' AS trap_doc,
+       p.text AS answer_text, n.text AS trap_text
+FROM sample s JOIN documents p ON p.doc_id = s.answer_id JOIN documents n ON n.doc_id = s.trap_id"""
+
+
+def oracle_decompositions() -> str:
+    q = ustrip("s.query")
+    return _with(_sample_cte()) + f"""
+SELECT 'excluir_' || s.qid::VARCHAR AS id, {q} AS query, {title('p.text')} AS Q_target, {title('n.text')} AS Q_trap
+FROM sample s JOIN documents p ON p.doc_id = s.answer_id JOIN documents n ON n.doc_id = s.trap_id"""
+
+
+def seeded_sample(n: int = 100, seed: int = 42) -> str:
+    return f"""SELECT doc_id, lang, source, n_chars FROM documents
+ORDER BY md5('{seed}' || ':' || doc_id::VARCHAR), doc_id LIMIT {n}"""
+
+
+def ordered_sample(n: int = 100) -> str:
+    return f"SELECT doc_id, lang, source, n_chars FROM documents ORDER BY doc_id LIMIT {n}"
+
+
+def doc_titles() -> str:
+    return f"SELECT doc_id, {title('text')} AS title FROM documents"
+
+
+def composed_texts() -> str:
+    return f"SELECT doc_id, {compose('source', 'text')} AS text FROM documents"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trapwise.plans import dense, fusion, lexical, oracle
+from trapwise.plans import dense, fusion, lexical, oracle, prepare
 
 QUERIES = {
     "dense_beta_sweep": dense.dense_beta_sweep,
@@ -18,6 +18,21 @@ QUERIES = {
     "fusion_sweep_target": fusion.fusion_sweep_target,
     "bm25_fusion_sweep": fusion.bm25_fusion_sweep,
     "best_configs": fusion.best_configs,
+    "dense_topk": fusion.dense_topk,
+    "bm25_topk": fusion.bm25_topk,
+    "not_questions": prepare.not_questions,
+    "skipped_questions": prepare.skipped_questions,
+    "referenced_corpus": prepare.referenced_corpus,
+    "missing_docs": prepare.missing_docs,
+    "corpus_index": prepare.corpus_index,
+    "boolq_sample": prepare.boolq_sample,
+    "composition_counts": prepare.composition_counts,
+    "labelled_sample": prepare.labelled_sample,
+    "oracle_decompositions": prepare.oracle_decompositions,
+    "seeded_sample": prepare.seeded_sample,
+    "ordered_sample": prepare.ordered_sample,
+    "doc_titles": prepare.doc_titles,
+    "composed_texts": prepare.composed_texts,
 }
 
 ORACLE = {
@@ -34,4 +49,19 @@ ORACLE = {
     "fusion_sweep_target": oracle.fusion_sweep("target_minus_trap"),
     "bm25_fusion_sweep": oracle.bm25_fusion_sweep(),
     "best_configs": oracle.best_configs("full"),
+    "dense_topk": oracle.dense_topk(),
+    "bm25_topk": oracle.bm25_topk(),
+    "not_questions": oracle.not_questions(),
+    "skipped_questions": oracle.skipped_questions(),
+    "referenced_corpus": oracle.referenced_corpus(),
+    "missing_docs": oracle.missing_docs(),
+    "corpus_index": oracle.corpus_index(),
+    "boolq_sample": oracle.boolq_sample(),
+    "composition_counts": oracle.composition_counts(),
+    "labelled_sample": oracle.labelled_sample(),
+    "oracle_decompositions": oracle.oracle_decompositions(),
+    "seeded_sample": oracle.seeded_sample(),
+    "ordered_sample": oracle.ordered_sample(),
+    "doc_titles": oracle.doc_titles(),
+    "composed_texts": oracle.composed_texts(),
 }
