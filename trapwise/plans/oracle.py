@@ -583,3 +583,84 @@ def doc_titles() -> str:
 
 def composed_texts() -> str:
     return f"SELECT doc_id, {compose('source', 'text')} AS text FROM documents"
+
+
+# ----------------------------------------------------------- decomposition log
+
+def _jtype(key: str) -> str:
+    return f"json_type(line, '$.{key}')"
+
+
+def _jstr(key: str) -> str:
+    return f"json_extract_string(line, '$.{key}')"
+
+
+DECOMP = f"""
+log AS (SELECT conv_id * 10 + turn AS line_no,
+          CASE WHEN conv_id % 17 = 3 THEN '{{bad json'
+               WHEN conv_id % 13 = 5 THEN json_object('id', 'c' || conv_id::VARCHAR, 'q_target', text, 'q_trap', '')::VARCHAR
+               WHEN conv_id % 11 = 2 THEN json_object('id', 'c' || conv_id::VARCHAR, 'Q_target', '  ', 'Q_trap', role,
+                                                      'system_prompt_sha256', sha256('v' || (conv_id % 3)::VARCHAR))::VARCHAR
+               ELSE json_object('id', 'c' || conv_id::VARCHAR, 'Q_target', text, 'Q_trap', role,
+                                'system_prompt_sha256', sha256('v' || (conv_id % 3)::VARCHAR))::VARCHAR END AS line
+        FROM conversations),
+vlog AS (SELECT * FROM log WHERE json_valid(line)),
+olog AS (SELECT * FROM vlog WHERE json_type(line) = 'OBJECT'),
+pl AS (SELECT line_no, line, true AS is_object,
+              {_jstr('id')} AS id,
+              json_keys(line) AS keys,
+              {_jtype('Q_target')} AS t_upper, {_jtype('q_target')} AS t_lower,
+              {_jtype('Q_trap')} AS p_upper, {_jtype('q_trap')} AS p_lower,
+              {_jstr('Q_target')} AS v_t_upper, {_jstr('q_target')} AS v_t_lower,
+              {_jstr('Q_trap')} AS v_p_upper, {_jstr('q_trap')} AS v_p_lower,
+              {_jstr('system_prompt_sha256')} AS prompt_sha256
+       FROM olog),
+smp AS (SELECT 'c' || conv_id::VARCHAR AS id, {ustrip('arg_min(text, turn)')} AS query FROM conversations GROUP BY conv_id),
+latest AS (SELECT * FROM (SELECT pl.*, row_number() OVER (PARTITION BY id ORDER BY line_no DESC) AS rr
+                          FROM pl WHERE is_object AND id IS NOT NULL) WHERE rr = 1),
+val AS (SELECT id, line_no, {ustrip("tv")} AS Q_target, {ustrip("pv")} AS Q_trap,
+               CASE WHEN coalesce(tt, '') <> 'VARCHAR' THEN 'missing Q_target'
+                    WHEN {ustrip("tv")} = '' THEN 'missing Q_target'
+                    WHEN coalesce(pt, '') <> 'VARCHAR' THEN 'missing Q_trap' END AS error
+        FROM (SELECT *,
+                CASE WHEN list_contains(keys, 'Q_target') THEN t_upper WHEN list_contains(keys, 'q_target') THEN t_lower END AS tt,
+                CASE WHEN list_contains(keys, 'Q_target') THEN v_t_upper WHEN list_contains(keys, 'q_target') THEN v_t_lower END AS tv,
+                CASE WHEN list_contains(keys, 'Q_trap') THEN p_upper WHEN list_contains(keys, 'q_trap') THEN p_lower END AS pt,
+                CASE WHEN list_contains(keys, 'Q_trap') THEN v_p_upper WHEN list_contains(keys, 'q_trap') THEN v_p_lower END AS pv
+              FROM latest)),
+res AS (SELECT smp.id, smp.query, val.Q_target, val.Q_trap, val.line_no, val.error FROM smp LEFT JOIN val USING (id)),
+done AS (SELECT DISTINCT id FROM pl WHERE is_object AND id IS NOT NULL)"""
+
+
+def done_ids() -> str:
+    return _with(DECOMP) + "\nSELECT id FROM done"
+
+
+def pending_requests() -> str:
+    head = config.USER_TEMPLATE_HEAD.replace("'", "''").replace("\n", "' || chr(10) || '")
+    tail = config.USER_TEMPLATE_TAIL.replace("'", "''").replace("\n", "' || chr(10) || '")
+    return _with(DECOMP) + f"""
+SELECT id, query, '{head}' || query || '{tail}' AS user_message, sha256('v0') AS system_prompt_sha256
+FROM smp WHERE id NOT IN (SELECT id FROM done)"""
+
+
+def resolved_decompositions() -> str:
+    return _with(DECOMP) + "\nSELECT id, query, Q_target, Q_trap FROM res WHERE line_no IS NOT NULL AND error IS NULL"
+
+
+def rejected_decompositions() -> str:
+    return _with(DECOMP) + """
+SELECT id, coalesce(error, 'missing') AS error FROM res WHERE NOT (line_no IS NOT NULL AND error IS NULL)"""
+
+
+def prompt_guard() -> str:
+    return _with(DECOMP) + """
+SELECT count(DISTINCT prompt_sha256) AS recorded_hashes, count(*) FILTER (WHERE prompt_sha256 = sha256('v0')) > 0 AS current_recorded,
+       (count(DISTINCT prompt_sha256) = 0 OR count(*) FILTER (WHERE prompt_sha256 = sha256('v0')) > 0) AS allowed
+FROM pl WHERE is_object AND coalesce(prompt_sha256, '') <> ''"""
+
+
+def lenient_responses() -> str:
+    return _with(DECOMP) + f"""
+SELECT line_no, {ustrip("coalesce(v_t_lower, '')")} AS q_target, {ustrip("coalesce(v_p_lower, '')")} AS q_trap
+FROM pl WHERE is_object"""

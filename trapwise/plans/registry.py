@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trapwise.plans import dense, fusion, lexical, oracle, prepare
+from trapwise.plans import decompose, dense, fusion, lexical, oracle, prepare
 
 QUERIES = {
     "dense_beta_sweep": dense.dense_beta_sweep,
@@ -33,6 +33,12 @@ QUERIES = {
     "ordered_sample": prepare.ordered_sample,
     "doc_titles": prepare.doc_titles,
     "composed_texts": prepare.composed_texts,
+    "done_ids": decompose.done_ids,
+    "pending_requests": decompose.pending_requests,
+    "resolved_decompositions": decompose.resolved_decompositions,
+    "rejected_decompositions": decompose.rejected_decompositions,
+    "prompt_guard": decompose.prompt_guard,
+    "lenient_responses": decompose.lenient_responses,
 }
 
 ORACLE = {
@@ -64,4 +70,10 @@ ORACLE = {
     "ordered_sample": oracle.ordered_sample(),
     "doc_titles": oracle.doc_titles(),
     "composed_texts": oracle.composed_texts(),
+    "done_ids": oracle.done_ids(),
+    "pending_requests": oracle.pending_requests(),
+    "resolved_decompositions": oracle.resolved_decompositions(),
+    "rejected_decompositions": oracle.rejected_decompositions(),
+    "prompt_guard": oracle.prompt_guard(),
+    "lenient_responses": oracle.lenient_responses(),
 }
