@@ -664,3 +664,78 @@ def lenient_responses() -> str:
     return _with(DECOMP) + f"""
 SELECT line_no, {ustrip("coalesce(v_t_lower, '')")} AS q_target, {ustrip("coalesce(v_p_lower, '')")} AS q_trap
 FROM pl WHERE is_object"""
+
+
+# ------------------------------------------------------------------ reports
+
+def _sweep_with_source(pairs: str) -> str:
+    k = "embedding_model"
+    return _with(_beta_counts(pairs, k), _sweep_select(k)) + "\n" + _sweep_public(k)
+
+
+def _both_sweeps() -> str:
+    return (f"d_ AS ({_sweep_with_source(DENSE_PAIRS)}),\n"
+            f"b_ AS ({_sweep_with_source(_bm25_pairs())})")
+
+
+def combined_sweeps() -> str:
+    lab = (f"CASE condition WHEN '{config.CONDITION_BASELINE}' THEN 'baseline_minus_q_trap' "
+           f"ELSE 'q_target_minus_q_trap' END")
+    return (f"WITH {_both_sweeps()}\n"
+            f"SELECT 'embeddings' AS dataset, 'all' AS split, *, {lab} AS condition_label FROM d_\n"
+            f"UNION ALL BY NAME\n"
+            f"SELECT 'documents' AS dataset, 'all' AS split, *, {lab} AS condition_label FROM b_")
+
+
+def model_comparison() -> str:
+    cols = []
+    for m in ("m64", "m32", "bm25"):
+        cols += [f"max(CASE WHEN embedding_model = '{m}' THEN avg_recall END) AS {m}_avg_recall",
+                 f"max(CASE WHEN embedding_model = '{m}' THEN avg_violation END) AS {m}_avg_violation"]
+    return (f"WITH {_both_sweeps()},\nu AS (SELECT * FROM d_ UNION ALL SELECT * FROM b_)\n"
+            f"SELECT condition, beta_i, beta, {', '.join(cols)} FROM u WHERE beta_i IN (0, 25, 50, 75, 100) "
+            f"GROUP BY condition, beta_i, beta")
+
+
+def _fusion_rows(mode: str) -> str:
+    k = "embedding_model"
+    return (_with(DENSE_PAIRS, _grid_cte(mode), _fusion_ranks(k), _fusion_summary(k))
+            + f"\nSELECT *, '{mode}' AS mode FROM rows_")
+
+
+def scoreboard() -> str:
+    cols = 'retriever, mode, method, samples, right_rank, "recall@5", "violation_rate@5", ' \
+           'avg_recall_minus_violation, alpha, gamma, beta, candidate_top_n'
+    parts = ",\n".join(f"f{i} AS ({_fusion_rows(m)})" for i, m in enumerate(("full", "no_target", "target_minus_trap")))
+    return f"""WITH {parts},
+u AS (SELECT * FROM f0 UNION ALL SELECT * FROM f1 UNION ALL SELECT * FROM f2),
+best AS (SELECT *, row_number() OVER (PARTITION BY retriever, mode ORDER BY avg_recall_minus_violation DESC, grid_id ASC) AS rr
+         FROM u WHERE method <> 'baseline')
+SELECT {cols} FROM best WHERE rr = 1
+UNION ALL
+SELECT {cols.replace('mode,', "'baseline' AS mode,")} FROM u WHERE method = 'baseline' AND mode = 'full'"""
+
+
+def hard_negatives() -> str:
+    return f"""WITH d AS (SELECT doc_id, source, text FROM documents),
+f AS (SELECT source, min(doc_id) AS support_id FROM d GROUP BY source),
+t AS (SELECT DISTINCT example, doc_id, is_support, tok FROM (
+        SELECT d.source AS example, d.doc_id, d.doc_id = f.support_id AS is_support,
+               unnest({tokens('d.text')}) AS tok FROM d JOIN f USING (source))),
+sup AS (SELECT example, doc_id AS support_id, tok FROM t WHERE is_support),
+cand AS (SELECT example, doc_id, tok FROM t WHERE NOT is_support),
+ov AS (SELECT c.example, s.support_id, c.doc_id, count(*) AS overlap FROM cand c JOIN sup s USING (example, tok) GROUP BY ALL),
+best AS (SELECT *, row_number() OVER (PARTITION BY example ORDER BY overlap DESC, doc_id ASC) AS rr FROM ov)
+SELECT example, support_id AS answer_doc_id, doc_id AS trap_doc_id, overlap FROM best WHERE rr = 1"""
+
+
+def role_swap() -> str:
+    q = ustrip("s.query")
+    return _with(_sample_cte()) + f""",
+ls AS (SELECT 'excluir_' || s.qid::VARCHAR AS id, {q} AS q1, {title('n.text')} AS q2,
+              s.answer_id AS pci, s.trap_id AS nci
+       FROM sample s JOIN documents p ON p.doc_id = s.answer_id JOIN documents n ON n.doc_id = s.trap_id)
+SELECT id, 'q1' AS query_column, q1 AS query, q1, q2, pci AS positive_corpus_index, nci AS negative_corpus_index,
+       'doc1' AS answer_doc, 'doc2' AS trap_doc, q1 AS Q_target, q2 AS Q_trap FROM ls
+UNION ALL
+SELECT id, 'q2', q2, q1, q2, nci, pci, 'doc2', 'doc1', q2, q1 FROM ls"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trapwise.plans import decompose, dense, fusion, lexical, oracle, prepare
+from trapwise.plans import decompose, dense, fusion, lexical, oracle, prepare, reports
 
 QUERIES = {
     "dense_beta_sweep": dense.dense_beta_sweep,
@@ -39,6 +39,11 @@ QUERIES = {
     "rejected_decompositions": decompose.rejected_decompositions,
     "prompt_guard": decompose.prompt_guard,
     "lenient_responses": decompose.lenient_responses,
+    "combined_sweeps": reports.combined_sweeps,
+    "model_comparison": reports.model_comparison,
+    "scoreboard": reports.scoreboard,
+    "hard_negatives": reports.hard_negatives,
+    "role_swap": reports.role_swap,
 }
 
 ORACLE = {
@@ -76,4 +81,9 @@ ORACLE = {
     "rejected_decompositions": oracle.rejected_decompositions(),
     "prompt_guard": oracle.prompt_guard(),
     "lenient_responses": oracle.lenient_responses(),
+    "combined_sweeps": oracle.combined_sweeps(),
+    "model_comparison": oracle.model_comparison(),
+    "scoreboard": oracle.scoreboard(),
+    "hard_negatives": oracle.hard_negatives(),
+    "role_swap": oracle.role_swap(),
 }
