@@ -78,3 +78,19 @@ def lenient_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = decomposition_log(spark, sf_dir).where(F.json_object_keys("line").isNotNull())
     t, p = decompose.lenient_parts("line")
     return log.select("line_no", t.alias("q_target"), p.alias("q_trap"))
+
+
+def streamed_decompositions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same log delivered as files in arrival order (one folder per
+    turn) and ingested with Structured Streaming, then resolved."""
+    from trapwise.session import shared_path
+    from trapwise.streaming.ingest import ingest_log, read_log
+
+    base = shared_path(spark, "decomposition-drop")
+    c = read_table(spark, sf_dir, "conversations").select("conv_id", "turn")
+    log = decomposition_log(spark, sf_dir).join(
+        c.select((F.col("conv_id") * 10 + F.col("turn")).alias("line_no"), "turn"), "line_no")
+    log.select(F.lpad(F.col("turn").cast("string"), 6, "0").alias("arrival"), "line") \
+       .write.partitionBy("arrival").text(f"{base}/drop")
+    ingest_log(spark, f"{base}/drop", f"{base}/table", f"{base}/stream-checkpoint")
+    return decompose.resolve(sample(spark, sf_dir), read_log(spark, f"{base}/table"))[0]

@@ -39,6 +39,7 @@ QUERIES = {
     "rejected_decompositions": decompose.rejected_decompositions,
     "prompt_guard": decompose.prompt_guard,
     "lenient_responses": decompose.lenient_responses,
+    "streamed_decompositions": decompose.streamed_decompositions,
     "combined_sweeps": reports.combined_sweeps,
     "model_comparison": reports.model_comparison,
     "scoreboard": reports.scoreboard,
@@ -81,6 +82,7 @@ ORACLE = {
     "rejected_decompositions": oracle.rejected_decompositions(),
     "prompt_guard": oracle.prompt_guard(),
     "lenient_responses": oracle.lenient_responses(),
+    "streamed_decompositions": oracle.resolved_decompositions(),
     "combined_sweeps": oracle.combined_sweeps(),
     "model_comparison": oracle.model_comparison(),
     "scoreboard": oracle.scoreboard(),
