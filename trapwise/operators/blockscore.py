@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trapwise import config
+from trapwise.session import ship_package
 
 STREAMS = ("base", "target", "trap")
 _CHUNK_ELEMS = 2_000_000
@@ -299,6 +300,7 @@ def spread(df: DataFrame) -> DataFrame:
 def _run(scorer, kernel_factory, schema: T.StructType, profile: DataFrame | None,
          scalar_cols: Sequence[str], max_bytes: int) -> DataFrame:
     spark = scorer.doc_input().sparkSession
+    ship_package(spark)
     n_blocks = scorer.block_count(max_bytes)
     parts = []
     for b in range(n_blocks):
@@ -315,11 +317,13 @@ def _run(scorer, kernel_factory, schema: T.StructType, profile: DataFrame | None
 
 
 STATS_SCHEMA = T.StructType([T.StructField("qid", T.LongType())] + [
-    T.StructField(f"{p}_{s}", T.DoubleType()) for s in STREAMS for p in ("mn", "mx")])
+    T.StructField(f"{p}_{s}", T.DoubleType()) for s in STREAMS for p in ("mn", "mx")] + [
+    T.StructField("nonzero", T.LongType())])
 
 
 def stream_stats(scorer, max_bytes: int = config.QUERY_BLOCK_BYTES) -> DataFrame:
-    """``(qid, mn_base, mx_base, mn_target, mx_target, mn_trap, mx_trap)`` over the corpus."""
+    """``(qid, mn_*, mx_*, nonzero)`` over the corpus; ``nonzero`` counts the
+    documents with a non-zero score in some stream."""
     score, fixed = scorer.score_fn(), scorer.fixed_point
 
     def factory(bc):
@@ -328,18 +332,22 @@ def stream_stats(scorer, max_bytes: int = config.QUERY_BLOCK_BYTES) -> DataFrame
             n = len(blk["qid"])
             mn = {s: np.full(n, np.inf) for s in STREAMS}
             mx = {s: np.full(n, -np.inf) for s in STREAMS}
+            nonzero = np.zeros(n, np.int64)
             seen = False
             for _, sc in score(blk, batches):
                 seen = True
+                if sc["base"].shape[1] == 0:
+                    continue
                 for s in STREAMS:
-                    if sc[s].shape[1]:
-                        np.minimum(mn[s], sc[s].min(axis=1), out=mn[s])
-                        np.maximum(mx[s], sc[s].max(axis=1), out=mx[s])
+                    np.minimum(mn[s], sc[s].min(axis=1), out=mn[s])
+                    np.maximum(mx[s], sc[s].max(axis=1), out=mx[s])
+                nonzero += ((sc["base"] != 0) | (sc["target"] != 0) | (sc["trap"] != 0)).sum(axis=1)
             if seen and n:
                 cols = {"qid": blk["qid"]}
                 for s in STREAMS:
                     cols[f"mn_{s}"] = mn[s]
                     cols[f"mx_{s}"] = mx[s]
+                cols["nonzero"] = nonzero
                 yield pa.RecordBatch.from_pydict(cols)
         return kernel
 
@@ -347,6 +355,7 @@ def stream_stats(scorer, max_bytes: int = config.QUERY_BLOCK_BYTES) -> DataFrame
     aggs = []
     for s in STREAMS:
         aggs += [F.min(f"mn_{s}").alias(f"mn_{s}"), F.max(f"mx_{s}").alias(f"mx_{s}")]
+    aggs.append(F.sum("nonzero").alias("nonzero"))
     return out.groupBy("qid").agg(*aggs)
 
 

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from trapwise import config
 from trapwise.functions.vectors import sql_dot, weighted_sum
 from trapwise.operators import blockscore, evaluate
+from trapwise.session import cut_lineage
 from trapwise.sources.tables import read_table
 
 MODELS = {"m64": 64, "m32": 32}
@@ -57,9 +58,11 @@ def labelled_scores(docs: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def model_parts(spark: SparkSession, sf_dir: str, dims: int, exact: bool = True):
-    """(scorer, profile) for one model."""
+    """(scorer, profile) for one model.  The query table feeds several passes
+    (block sizing, block collection, labelled scores), so it is written once
+    to the shared checkpoint folder."""
     docs = dense_docs(spark, sf_dir, dims)
-    queries = dense_queries(spark, sf_dir, dims)
+    queries = cut_lineage(dense_queries(spark, sf_dir, dims))
     scorer = blockscore.DenseScorer(docs, queries, exact)
     prof = blockscore.profile(blockscore.stream_stats(scorer), labelled_scores(docs, queries), False)
     return scorer, prof

@@ -307,7 +307,8 @@ def bm25_labelled_scores() -> str:
         cols += [f"min({c}) AS mn_{s}", f"max({c}) AS mx_{s}",
                  f"max(CASE WHEN doc = answer_id THEN {c} END) AS a_{s}",
                  f"max(CASE WHEN doc = trap_id THEN {c} END) AS t_{s}"]
-    return (_with(_bm25_pairs()) + "\nSELECT qid, answer_id, trap_id, count(*) FILTER (WHERE matched) AS matched, "
+    return (_with(_bm25_pairs()) + "\nSELECT qid, answer_id, trap_id, "
+            "count(*) FILTER (WHERE sb <> 0 OR sg <> 0 OR st <> 0) AS matched, "
             + ", ".join(cols) + " FROM s GROUP BY qid, answer_id, trap_id")
 
 

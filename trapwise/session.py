@@ -67,3 +67,30 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (written to the shared folder); survives executor loss."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``trapwise`` importable in the Python workers (once per context).
+
+    Kernels run inside ``mapInArrow`` tasks and refer to functions of this
+    package; the package is zipped on the driver and distributed with
+    ``addPyFile`` like any job dependency.
+    """
+    import zipfile
+
+    import trapwise
+
+    sc = spark.sparkContext
+    if getattr(sc, "_trapwise_shipped", False):
+        return
+    pkg = os.path.dirname(os.path.abspath(trapwise.__file__))
+    root = os.path.dirname(pkg)
+    path = os.path.join(tempfile.mkdtemp(prefix="trapwise-pkg-"), "trapwise.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for d, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(d, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(path)
+    sc._trapwise_shipped = True
