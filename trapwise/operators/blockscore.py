@@ -43,6 +43,8 @@ from trapwise.session import ship_package
 STREAMS = ("base", "target", "trap")
 _CHUNK_ELEMS = 2_000_000
 _EXPAND_ELEMS = 8_000_000
+_DENSE_MIN_ROWS = 32     # a query token used by this many query rows ...
+_DENSE_MAX_TOKENS = 256  # ... joins the dense part (at most this many per stream)
 
 
 # ------------------------------------------------------------------ helpers
@@ -219,6 +221,19 @@ class LexicalScorer:
         for s in STREAMS:
             m = stream == s
             tid, row, f = tid_all[m], row_all[m], qtf[m]
+            # the most used query tokens are scored as a dense matrix product
+            # (exact: all partial sums are integers below 2**53), the rest by
+            # expanding inverted lists
+            use = np.bincount(tid, minlength=len(vocab))
+            cand = np.nonzero(use >= _DENSE_MIN_ROWS)[0]
+            freq = np.sort(cand[np.argsort(-use[cand], kind="stable")[:_DENSE_MAX_TOKENS]])
+            fpos = np.full(len(vocab), -1, np.int64)
+            fpos[freq] = np.arange(len(freq))
+            is_f = fpos[tid] >= 0
+            blk[f"{s}_fpos"] = fpos
+            blk[f"{s}_nf"] = len(freq)
+            blk[f"{s}_frow"], blk[f"{s}_fcol"], blk[f"{s}_fqtf"] = row[is_f], fpos[tid[is_f]], f[is_f]
+            tid, row, f = tid[~is_f], row[~is_f], f[~is_f]
             order = np.argsort(tid, kind="stable")
             blk[f"{s}_ptr"] = np.searchsorted(tid[order], np.arange(len(vocab) + 1))
             blk[f"{s}_row"] = row[order]
@@ -235,6 +250,13 @@ class LexicalScorer:
 def _lexical_scores(blk: dict, batches: Iterator[pa.RecordBatch]):
     n = len(blk["qid"])
     vocab = blk["vocab"]
+    qdense = {}
+    for s in STREAMS:
+        nf = blk.get(f"{s}_nf", 0)
+        if nf:
+            q = np.zeros((n, nf))
+            q[blk[f"{s}_frow"], blk[f"{s}_fcol"]] = blk[f"{s}_fqtf"]
+            qdense[s] = q
     for batch in batches:
         if batch.num_rows == 0:
             continue
@@ -260,8 +282,16 @@ def _lexical_scores(blk: dict, batches: Iterator[pa.RecordBatch]):
                 s1 = s0 + (s1 - s0) // 2
             p0, p1 = offs[s0], offs[s1]
             nd = s1 - s0
-            out = {s: _accumulate(blk, s, tid[p0:p1], flat_w[p0:p1], doc_of[p0:p1] - s0, n, nd)
-                   for s in STREAMS}
+            out = {}
+            for s in STREAMS:
+                sc = _accumulate(blk, s, tid[p0:p1], flat_w[p0:p1], doc_of[p0:p1] - s0, n, nd)
+                if s in qdense:
+                    col = blk[f"{s}_fpos"][tid[p0:p1]]
+                    hit = col >= 0
+                    wd = np.zeros((qdense[s].shape[1], nd))
+                    wd[col[hit], doc_of[p0:p1][hit] - s0] = flat_w[p0:p1][hit]
+                    sc += qdense[s] @ wd
+                out[s] = sc
             yield ids[s0:s1], out
             s0 = s1
 
