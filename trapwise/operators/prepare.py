@@ -54,9 +54,10 @@ def resolve_corpus(source: DataFrame, needed: DataFrame) -> DataFrame:
     with the needed ids; text = title/body composition.  Duplicate docids:
     the first by ``ordinal`` wins."""
     s = source.join(needed, ["config", "docid"], "left_semi")
-    w = Window.partitionBy("config", "docid").orderBy("ordinal")
-    s = s.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1)
-    return s.select("config", "docid", compose_text(F.col("title"), F.col("doc")).alias("text"))
+    # first copy per id as a hash aggregate (partial aggregation map-side), so
+    # an id with very many copies never gathers them in one task
+    first = s.groupBy("config", "docid").agg(F.min_by(F.struct("title", "doc"), F.col("ordinal")).alias("r"))
+    return first.select("config", "docid", compose_text(F.col("r.title"), F.col("r.doc")).alias("text"))
 
 
 def missing_docids(needed: DataFrame, resolved: DataFrame) -> DataFrame:
@@ -81,9 +82,12 @@ def sequential_index(keys: DataFrame, order_col: str, partitions: int) -> DataFr
               .drop("_pid", "_rn", "_off")
 
 
-def corpus_index(kept: DataFrame, partitions: int = 8) -> DataFrame:
+def corpus_index(kept: DataFrame, partitions: int | None = None) -> DataFrame:
     """Dense index of referenced ``(config, docid)`` by first appearance:
-    candidates in order (``ordinal``), positive before negative."""
+    candidates in order (``ordinal``), positive before negative.  The range
+    partition count defaults to the session's shuffle partitions."""
+    if partitions is None:
+        partitions = int(kept.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     seen = kept.select("config", F.explode(F.array(
         F.struct((F.col("ordinal") * 2).alias("pos"), F.col("positive_docid").alias("docid")),
         F.struct((F.col("ordinal") * 2 + 1).alias("pos"), F.col("negative_docid").alias("docid")))).alias("x"))
