@@ -33,6 +33,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -210,16 +211,15 @@ class LexicalScorer:
         qids = np.unique(np.concatenate([qid_all, ids.toArrow().column("qid").to_numpy().astype(np.int64)]))
         h = t.column("tid").to_numpy().astype(np.int64)
         vocab, first = np.unique(h, return_index=True)
-        toks = t.column("tok").to_pylist()
-        if len(set(toks)) != len(vocab):
+        if pc.count_distinct(t.column("tok")).as_py() != len(vocab):
             raise ValueError("token hash collision inside one query block")
-        stream = np.asarray(t.column("stream").to_pylist(), dtype=object)
+        stream_col = t.column("stream")
         qtf = t.column("qtf").to_numpy().astype(np.float64)
         blk = {"qid": qids, "vocab": vocab}
         tid_all = np.searchsorted(vocab, h)
         row_all = np.searchsorted(qids, qid_all)
         for s in STREAMS:
-            m = stream == s
+            m = pc.equal(stream_col, s).to_numpy(zero_copy_only=False)
             tid, row, f = tid_all[m], row_all[m], qtf[m]
             # the most used query tokens are scored as a dense matrix product
             # (exact: all partial sums are integers below 2**53), the rest by
@@ -327,14 +327,25 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(p) if df.rdd.getNumPartitions() < p else df
 
 
+def blocks_of(scorer, max_bytes: int) -> list[dict]:
+    """The scorer's query blocks, size-checked and collected once per scorer
+    (every pass of a job broadcasts the same blocks)."""
+    cache = scorer.__dict__.setdefault("_blocks", {})
+    if max_bytes not in cache:
+        n_blocks = scorer.block_count(max_bytes)
+        cache[max_bytes] = [scorer.collect_block(b, n_blocks) for b in range(n_blocks)]
+    return cache[max_bytes]
+
+
 def _run(scorer, kernel_factory, schema: T.StructType, profile: DataFrame | None,
          scalar_cols: Sequence[str], max_bytes: int) -> DataFrame:
     spark = scorer.doc_input().sparkSession
     ship_package(spark)
-    n_blocks = scorer.block_count(max_bytes)
+    blocks = blocks_of(scorer, max_bytes)
+    n_blocks = len(blocks)
     parts = []
-    for b in range(n_blocks):
-        blk = scorer.collect_block(b, n_blocks)
+    for b, cached in enumerate(blocks):
+        blk = dict(cached)
         if profile is not None:
             p = profile if n_blocks == 1 else profile.where(_block_key(n_blocks) == b)
             blk.update(_align(blk["qid"], p.select("qid", *scalar_cols).toArrow(), scalar_cols))
