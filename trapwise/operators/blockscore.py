@@ -321,10 +321,18 @@ def kernel_parallelism(spark) -> int:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Raise a scan with fewer partitions than the kernel parallelism (small
-    files); a large corpus keeps its own partitioning untouched."""
+    """Fit a kernel input to the kernel parallelism.
+
+    A scan with fewer partitions (small files) is repartitioned up; one with
+    more (many input splits) is coalesced down without a shuffle, because
+    every kernel task emits O(queries x grid) partial rows whatever its size,
+    so the partial output should grow with cores, not with input splits.
+    """
     p = kernel_parallelism(df.sparkSession)
-    return df.repartition(p) if df.rdd.getNumPartitions() < p else df
+    n = df.rdd.getNumPartitions()
+    if n < p:
+        return df.repartition(p)
+    return df.coalesce(p) if n > p else df
 
 
 def blocks_of(scorer, max_bytes: int) -> list[dict]:
@@ -433,23 +441,28 @@ def _raw_fixed(fixed, x: np.ndarray) -> np.ndarray:
 
 BETA_SCHEMA = T.StructType([
     T.StructField("qid", T.LongType()), T.StructField("source", T.StringType()),
-    T.StructField("slot", T.IntegerType()), T.StructField("d_ans", T.LongType()),
-    T.StructField("d_trap", T.LongType()), T.StructField("base_a", T.LongType()),
+    T.StructField("beta_i", T.IntegerType()), T.StructField("better_a", T.LongType()),
+    T.StructField("better_t", T.LongType()), T.StructField("base_a", T.LongType()),
     T.StructField("base_t", T.LongType())])
-_BETA_ARROW = pa.schema([("qid", pa.int64()), ("source", pa.string()), ("slot", pa.int32()),
-                         ("d_ans", pa.int64()), ("d_trap", pa.int64()),
+_BETA_ARROW = pa.schema([("qid", pa.int64()), ("source", pa.string()), ("beta_i", pa.int32()),
+                         ("better_a", pa.int64()), ("better_t", pa.int64()),
                          ("base_a", pa.int64()), ("base_t", pa.int64())])
 
 
-def beta_counts(scorer, profile: DataFrame, max_slot: int,
+def beta_counts(scorer, profile: DataFrame, betas: Sequence[int],
                 max_bytes: int = config.QUERY_BLOCK_BYTES) -> DataFrame:
-    """Partial counts for the beta sweep (both score sources).
-
-    ``slot >= 0`` rows are interval events of ``n(source) - beta*n(trap)``;
-    ``slot = -1`` rows carry raw counts of the source stream (used at beta 0)
-    and of the original-query baseline.
+    """Per-task counts of documents beating the answer / trap document at
+    every requested beta (hundredths), for both score sources.
+
+    Inside the task the winning beta slots of each document form an
+    interval (``interval_events``); their prefix sums give the counts at every
+    slot.  Beta 0 uses the raw source stream; ``base_*`` counts are on the
+    raw original-query baseline.  All columns are additive over tasks, so a
+    plain ``sum`` per (query, source, beta) gives the totals.
     """
     score, fixed = scorer.score_fn(), scorer.fixed_point
+    betas = np.asarray(sorted(set(int(b) for b in betas)), dtype=np.int64)
+    max_slot = int(betas.max())
 
     def factory(bc):
         def kernel(batches):
@@ -476,19 +489,22 @@ def beta_counts(scorer, profile: DataFrame, max_slot: int,
                     ev[src][1] += interval_events(ns - col[f"Nt_{name}"], nt - col["Nt_trap"], max_slot)
             if not (seen and n):
                 return
-            qid = blk["qid"]
+            nb = len(betas)
             out = {k: [] for k in _BETA_ARROW.names}
             for src in ("baseline", "target"):
-                ea, et = ev[src][0][:, :max_slot + 1], ev[src][1][:, :max_slot + 1]
-                r, c = np.nonzero((ea != 0) | (et != 0))
+                ca = np.cumsum(ev[src][0], axis=1)[:, betas]
+                ct = np.cumsum(ev[src][1], axis=1)[:, betas]
                 ra, rt = (raw["ba"], raw["bt"]) if src == "baseline" else (raw["ga"], raw["gt"])
-                out["qid"] += [qid[r], qid]
-                out["source"] += [np.full(len(r) + n, src, dtype=object)]
-                out["slot"] += [c.astype(np.int32), np.full(n, -1, np.int32)]
-                out["d_ans"] += [ea[r, c], ra]
-                out["d_trap"] += [et[r, c], rt]
-                out["base_a"] += [np.zeros(len(r), np.int64), raw["ba"]]
-                out["base_t"] += [np.zeros(len(r), np.int64), raw["bt"]]
+                at0 = betas[None, :] == 0
+                ca = np.where(at0, ra[:, None], ca)
+                ct = np.where(at0, rt[:, None], ct)
+                out["qid"].append(np.repeat(blk["qid"], nb))
+                out["source"].append(np.full(n * nb, src, dtype=object))
+                out["beta_i"].append(np.tile(betas.astype(np.int32), n))
+                out["better_a"].append(ca.reshape(-1))
+                out["better_t"].append(ct.reshape(-1))
+                out["base_a"].append(np.repeat(raw["ba"], nb))
+                out["base_t"].append(np.repeat(raw["bt"], nb))
             yield pa.RecordBatch.from_pydict({k: np.concatenate(v) for k, v in out.items()},
                                              schema=_BETA_ARROW)
         return kernel

@@ -64,7 +64,8 @@ def model_parts(spark: SparkSession, sf_dir: str, dims: int, exact: bool = True)
     docs = dense_docs(spark, sf_dir, dims)
     queries = cut_lineage(dense_queries(spark, sf_dir, dims))
     scorer = blockscore.DenseScorer(docs, queries, exact)
-    prof = blockscore.profile(blockscore.stream_stats(scorer), labelled_scores(docs, queries), False)
+    scorer.queries_labels = queries.select("qid", "answer_id", "trap_id")
+    prof = cut_lineage(blockscore.profile(blockscore.stream_stats(scorer), labelled_scores(docs, queries), False))
     return scorer, prof
 
 
@@ -73,7 +74,7 @@ def dense_beta_events(spark: SparkSession, sf_dir: str, betas: list[int],
     parts = []
     for name, dims in models.items():
         scorer, prof = model_parts(spark, sf_dir, dims, exact)
-        ev = blockscore.beta_counts(scorer, prof, max(betas))
+        ev = blockscore.beta_counts(scorer, prof, betas)
         parts.append(ev.withColumn("embedding_model", F.lit(name)))
     out = parts[0]
     for p in parts[1:]:
@@ -85,7 +86,7 @@ def dense_sweep_internal(spark: SparkSession, sf_dir: str,
                          betas: list[int] | None = None) -> DataFrame:
     betas = list(config.PAPER_BETA_HUNDREDTHS) if betas is None else betas
     ev = dense_beta_events(spark, sf_dir, betas)
-    counts = evaluate.prefix_counts(ev, betas, ["embedding_model", "source"])
+    counts = evaluate.sum_counts(ev, ["embedding_model", "source"])
     sw = evaluate.sweep_table(counts, ["embedding_model", "source"])
     return sw.withColumn("condition", evaluate.condition_label(F.col("source"))) \
              .withColumn("candidate_top_n", F.lit("all"))
