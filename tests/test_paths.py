@@ -22,3 +22,31 @@ def test_entry_smoke(spark):
     rows = df.collect()
     assert len(rows) == 4 and "best_avg_kept_beta" in df.columns
     assert set(e.queries()) == set(e.oracle_sql())
+
+
+def _totals(df):
+    from pyspark.sql import functions as F
+
+    g = df.groupBy("qid", "source", "beta_i").agg(*[F.sum(c).alias(c) for c in ("better_a", "better_t", "base_a", "base_t")])
+    return sorted(map(tuple, g.collect()))
+
+
+def test_split_query_blocks_equal_one_block(spark):
+    from trapwise.operators import blockscore as B
+    from trapwise.plans import dense as D
+    from trapwise.plans import lexical as L
+
+    docs, q = D.dense_docs(spark, SMALL, 64), D.dense_queries(spark, SMALL, 64)
+    sc = B.DenseScorer(docs, q)
+    small = 1 << 20  # forces several blocks (about 3 MB of queries)
+    assert len(B.blocks_of(sc, small)) > 1
+    prof1 = B.profile(B.stream_stats(sc), D.labelled_scores(docs, q), False)
+    profn = B.profile(B.stream_stats(sc, max_bytes=small), D.labelled_scores(docs, q), False)
+    assert sorted(map(tuple, prof1.collect())) == sorted(map(tuple, profn.collect()))
+    betas = [0, 7, 50, 100]
+    assert _totals(B.beta_counts(sc, prof1, betas)) == _totals(B.beta_counts(sc, prof1, betas, max_bytes=small))
+
+    lsc, lprof = L.lexical_parts(spark, SMALL)
+    tiny = 64 * 1024
+    assert len(B.blocks_of(lsc, tiny)) > 1
+    assert _totals(B.beta_counts(lsc, lprof, betas)) == _totals(B.beta_counts(lsc, lprof, betas, max_bytes=tiny))

@@ -46,6 +46,10 @@ _CHUNK_ELEMS = 2_000_000
 _EXPAND_ELEMS = 8_000_000
 _DENSE_MIN_ROWS = 32     # a query token used by this many query rows ...
 _DENSE_MAX_TOKENS = 256  # ... joins the dense part (at most this many per stream)
+_DENSE_BYTES = 64 * 1024 * 1024  # per-stream budget of that dense query matrix in a task
+# per-query state a task keeps besides the broadcast payload (beta-slot event
+# accumulators, grid counters, top-N pools); counted in the block size check
+_STATE_BYTES_PER_QUERY = 4096
 
 
 # ------------------------------------------------------------------ helpers
@@ -148,7 +152,7 @@ class DenseScorer:
         row = self.queries.select(*[F.size(c).alias(c) for c in STREAMS]).limit(1).collect()
         dims = sum(row[0]) if row else 0
         n = self.queries.count()
-        return max(1, math.ceil(n * 8 * (dims + 8) / max_bytes))
+        return max(1, math.ceil(n * (8 * (dims + 8) + _STATE_BYTES_PER_QUERY) / max_bytes))
 
     def collect_block(self, b: int, n_blocks: int) -> dict:
         q = self.queries if n_blocks == 1 else self.queries.where(_block_key(n_blocks) == b)
@@ -200,8 +204,8 @@ class LexicalScorer:
         self.qids = qids.select("qid")
 
     def block_count(self, max_bytes: int) -> int:
-        n = self.qterms.count() + self.qids.count()
-        return max(1, math.ceil(n * 64 / max_bytes))
+        n_terms, n_q = self.qterms.count(), self.qids.count()
+        return max(1, math.ceil((n_terms * 64 + n_q * _STATE_BYTES_PER_QUERY) / max_bytes))
 
     def collect_block(self, b: int, n_blocks: int) -> dict:
         q = self.qterms if n_blocks == 1 else self.qterms.where(_block_key(n_blocks) == b)
@@ -226,7 +230,8 @@ class LexicalScorer:
             # expanding inverted lists
             use = np.bincount(tid, minlength=len(vocab))
             cand = np.nonzero(use >= _DENSE_MIN_ROWS)[0]
-            freq = np.sort(cand[np.argsort(-use[cand], kind="stable")[:_DENSE_MAX_TOKENS]])
+            width = min(_DENSE_MAX_TOKENS, _DENSE_BYTES // (8 * max(1, len(qids))))
+            freq = np.sort(cand[np.argsort(-use[cand], kind="stable")[:width]])
             fpos = np.full(len(vocab), -1, np.int64)
             fpos[freq] = np.arange(len(freq))
             is_f = fpos[tid] >= 0
@@ -265,10 +270,13 @@ def _lexical_scores(blk: dict, batches: Iterator[pa.RecordBatch]):
         offs = tcol.offsets.to_numpy()
         h = tcol.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
         flat_w = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-        tid = np.searchsorted(vocab, h)
-        if len(h) and not np.array_equal(vocab[np.minimum(tid, len(vocab) - 1)], h):
-            raise ValueError("posting token outside the query vocabulary")
         doc_of = np.repeat(np.arange(len(ids)), np.diff(offs))
+        tid = np.searchsorted(vocab, h)
+        # postings cover the vocabulary of all blocks: keep this block's terms
+        inb = vocab[np.minimum(tid, max(len(vocab) - 1, 0))] == h if len(vocab) else np.zeros(len(h), bool)
+        if not inb.all():
+            tid, flat_w, doc_of = tid[inb], flat_w[inb], doc_of[inb]
+            offs = np.searchsorted(doc_of, np.arange(len(ids) + 1))
         cnt = np.zeros(len(tid), np.int64)
         for s in STREAMS:
             ptr = blk[f"{s}_ptr"]

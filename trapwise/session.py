@@ -46,10 +46,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     is used as is.  Only when it is unset - a local run - a new scratch folder
     under the system temp dir is created and registered.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        current = spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    current = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if current:
+        if not sc.getCheckpointDir():
+            sc.setCheckpointDir(current)  # set in the conf only: register it for checkpoint()
         return current
     path = tempfile.mkdtemp(prefix="trapwise-ckpt-")
     spark.conf.set("spark.checkpoint.dir", path)
