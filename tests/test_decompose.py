@@ -45,3 +45,20 @@ def test_prompt_guard(spark):
     assert (g["recorded_hashes"], g["current_recorded"], g["allowed"]) == (2, False, False)
     g = decompose.prompt_guard(_log(spark, ["{bad"]), F.lit("h3")).first()
     assert g["allowed"]
+
+
+def test_prompt_fingerprint_and_strict_mode(spark, tmpdir_path):
+    import hashlib
+    import os
+
+    import pytest
+
+    p = os.path.join(tmpdir_path, "prompt.txt")
+    with open(p, "wb") as f:
+        f.write(b"  system prompt v3\n")
+    got = decompose.prompt_fingerprint(spark, p).first()["sha256"]
+    assert got == hashlib.sha256(b"  system prompt v3\n").hexdigest()
+    sample = spark.createDataFrame([("a", "q"), ("b", "q")], "id string, query string")
+    _, rej = decompose.resolve(sample, _log(spark, ['{"id": "a", "Q_target": "t", "Q_trap": ""}']))
+    with pytest.raises(ValueError, match=r"\['b'\]"):
+        decompose.require_resolved(rej)

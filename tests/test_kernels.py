@@ -116,3 +116,11 @@ def test_lexical_kernel_matches_brute_force():
                     if tok == vocab_tokens[t]:
                         brute[r, d] += f * w
         assert np.array_equal(out[s], brute)
+
+
+def test_unit_norm_and_blank_vectors(spark):
+    from trapwise.functions.vectors import l2_normalize, zero_for_blank
+
+    df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), (None,)], "v array<double>")
+    rows = df.select(l2_normalize(zero_for_blank("v", 2)).alias("u")).collect()
+    assert [list(r["u"]) for r in rows] == [[0.6, 0.8], [0.0, 0.0], [0.0, 0.0]]

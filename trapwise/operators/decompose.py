@@ -131,3 +131,17 @@ def with_provenance(rows: DataFrame, model: str, prompt_path: str, prompt_sha256
     """Provenance columns stamped on each returned decomposition."""
     return rows.select("*", F.lit(model).alias("rewriter_model"), F.lit(prompt_path).alias("system_prompt_path"),
                        prompt_sha256.alias("system_prompt_sha256"))
+
+
+def prompt_fingerprint(spark, path: str) -> DataFrame:
+    """SHA-256 of the prompt file's bytes (``binaryFile`` source): ``(path, sha256)``."""
+    f = spark.read.format("binaryFile").load(path)
+    return f.select("path", F.sha2(F.col("content"), 256).alias("sha256"))
+
+
+def require_resolved(rejected: DataFrame, limit: int = 5) -> None:
+    """Strict mode: fail when any sample id lacks a valid decomposition,
+    naming the first ``limit`` ids (reads at most ``limit`` rows)."""
+    bad = [r["id"] for r in rejected.orderBy("id").limit(limit).collect()]
+    if bad:
+        raise ValueError(f"Cached decomposition file is missing ids: {bad}")
