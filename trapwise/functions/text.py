@@ -70,13 +70,13 @@ def rule_decompose(query: Column | str) -> tuple[Column, Column]:
     q = ustrip(_c(query))
     lead_pat = "(?i)" + config.RULE_LEADING_PATTERN
     mid_pat = "(?i)" + config.RULE_SPLIT_PATTERN
-    has_lead = q.rlike(lead_pat)
-    has_mid = q.rlike(mid_pat)
-    lead_target = _clean(F.regexp_extract(q, lead_pat, 2))
-    lead_trap = _clean(F.regexp_extract(q, lead_pat, 1))
-    mid_target = _clean(F.regexp_extract(q, mid_pat, 1))
-    mid_trap = _clean(F.regexp_extract(q, mid_pat, 2))
-    target = (F.when(has_lead, lead_target).when(has_mid & (mid_target != ""), mid_target)
-              .otherwise(_clean(q)))
-    trap = F.when(has_lead, lead_trap).when(has_mid & (mid_target != ""), mid_trap).otherwise(F.lit(""))
+    lead_1, lead_2 = F.regexp_extract(q, lead_pat, 1), F.regexp_extract(q, lead_pat, 2)
+    mid_1, mid_2 = F.regexp_extract(q, mid_pat, 1), F.regexp_extract(q, mid_pat, 2)
+    # a match is seen from a non-empty group ("([^,]+)" / "(.+)" never match empty),
+    # so no separate rlike pass is needed
+    has_lead = lead_1 != ""
+    mid_target = _clean(mid_1)
+    has_mid = (mid_2 != "") & (mid_target != "")
+    target = F.when(has_lead, _clean(lead_2)).when(has_mid, mid_target).otherwise(_clean(q))
+    trap = F.when(has_lead, _clean(lead_1)).when(has_mid, _clean(mid_2)).otherwise(F.lit(""))
     return target, trap
