@@ -322,10 +322,13 @@ def _accumulate(blk, s, tid, w, dcol, n, nd):
 
 
 def kernel_parallelism(spark) -> int:
-    """Tasks for a kernel pass: the session's shuffle partitions, at least the
-    default parallelism (kernel work grows with docs x queries, not bytes)."""
+    """Tasks for a kernel pass: the session's shuffle partitions, kept between
+    the number of cores and twice that.  Kernel work grows with
+    documents x queries, and every task emits a queries x grid partial, so
+    more tasks than cores only add partial rows."""
+    cores = spark.sparkContext.defaultParallelism
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(shuffle, spark.sparkContext.defaultParallelism)
+    return max(cores, min(shuffle, 2 * cores))
 
 
 def spread(df: DataFrame) -> DataFrame:
