@@ -45,6 +45,10 @@ def test_job_matches_oracle(spark, duck, name):
     ocols = [d[0] for d in res.description]
     orows = res.fetchall()
     assert sorted(df.columns) == sorted(ocols)
+    types = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+    st = {f.name: types.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in df.schema.fields}
+    dt = {d[0]: str(d[1]) for d in res.description}
+    assert st == {c: dt[c] for c in st}, f"column types differ: {st} vs {dt}"
     assert len(srows) == len(orows)
     assert _rows(df.columns, srows) == _rows(ocols, orows)
 
