@@ -72,12 +72,22 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _workers_can_import(spark: SparkSession) -> bool:
+    def probe(_):
+        import importlib.util
+
+        yield importlib.util.find_spec("trapwise") is not None
+
+    return all(spark.sparkContext.parallelize([0], 1).mapPartitions(probe).collect())
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make ``trapwise`` importable in the Python workers (once per context).
 
     Kernels run inside ``mapInArrow`` tasks and refer to functions of this
-    package; the package is zipped on the driver and distributed with
-    ``addPyFile`` like any job dependency.
+    package.  When the executors already have it installed nothing is done;
+    otherwise the package is zipped on the driver and distributed with
+    ``addPyFile`` (Spark serves the file; executors never read a driver path).
     """
     import zipfile
 
@@ -86,6 +96,9 @@ def ship_package(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if getattr(sc, "_trapwise_shipped", False):
         return
+    if _workers_can_import(spark):
+        sc._trapwise_shipped = True
+        return
     pkg = os.path.dirname(os.path.abspath(trapwise.__file__))
     root = os.path.dirname(pkg)
     path = os.path.join(tempfile.mkdtemp(prefix="trapwise-pkg-"), "trapwise.zip")
