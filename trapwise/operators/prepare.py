@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trapwise.functions.text import compose_text, title_of, ustrip
+from trapwise.functions.text import compose_text, ustrip
 
 SKIP_REASON = "missing_positive_or_negative_passage_id"
 
@@ -115,6 +115,3 @@ def sample_records(kept: DataFrame, index: DataFrame, texts: DataFrame) -> DataF
         F.lit("doc1").alias("answer_doc"), F.lit("doc2").alias("trap_doc"),
         F.col("doc1").alias("answer_text"), F.col("doc2").alias("trap_text"))
 
-
-def title_column(text: Column | str) -> Column:
-    return title_of(text)
