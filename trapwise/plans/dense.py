@@ -110,3 +110,17 @@ def dense_operating_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Baseline vs the best recall-keeping beta, per model and source."""
     sw = dense_sweep_internal(spark, sf_dir)
     return evaluate.operating_points(sw, evaluate.tradeoff(sw, SWEEP_KEYS), SWEEP_KEYS)
+
+
+def dense_query_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V2 + V5 + V10 + J8: per model and query, min/max of each stream over the
+    whole corpus and the raw scores of the answer and trap documents."""
+    parts = []
+    for name, dims in MODELS.items():
+        _, prof = model_parts(spark, sf_dir, dims)
+        cols = [f"{p}_{s}" for s in blockscore.STREAMS for p in ("mn", "mx", "a", "t")]
+        parts.append(prof.select(F.lit(name).alias("embedding_model"), "qid", *cols))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

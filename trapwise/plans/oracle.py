@@ -740,3 +740,12 @@ SELECT id, 'q1' AS query_column, q1 AS query, q1, q2, pci AS positive_corpus_ind
        'doc1' AS answer_doc, 'doc2' AS trap_doc, q1 AS Q_target, q2 AS Q_trap FROM ls
 UNION ALL
 SELECT id, 'q2', q2, q1, q2, nci, pci, 'doc2', 'doc1', q2, q1 FROM ls"""
+
+
+def dense_query_profile() -> str:
+    cols = []
+    for s, c in (("base", "sb"), ("target", "sg"), ("trap", "st")):
+        cols += [f"min({c}) AS mn_{s}", f"max({c}) AS mx_{s}",
+                 f"max(CASE WHEN doc = answer_id THEN {c} END) AS a_{s}",
+                 f"max(CASE WHEN doc = trap_id THEN {c} END) AS t_{s}"]
+    return _with(DENSE_PAIRS) + "\nSELECT embedding_model, qid, " + ", ".join(cols) + " FROM s GROUP BY embedding_model, qid"

@@ -8,6 +8,7 @@ QUERIES = {
     "dense_beta_sweep": dense.dense_beta_sweep,
     "dense_tradeoff": dense.dense_tradeoff,
     "dense_operating_points": dense.dense_operating_points,
+    "dense_query_profile": dense.dense_query_profile,
     "tokenize_stats": lexical.tokenize_stats,
     "rule_decompose": lexical.rule_decompositions,
     "bm25_labelled_scores": lexical.bm25_labelled_scores,
@@ -51,6 +52,7 @@ ORACLE = {
     "dense_beta_sweep": oracle.dense_beta_sweep(),
     "dense_tradeoff": oracle.dense_tradeoff(),
     "dense_operating_points": oracle.dense_operating_points(),
+    "dense_query_profile": oracle.dense_query_profile(),
     "tokenize_stats": oracle.tokenize_stats(),
     "rule_decompose": oracle.rule_decompositions(),
     "bm25_labelled_scores": oracle.bm25_labelled_scores(),
