@@ -331,7 +331,7 @@ def kernel_parallelism(spark) -> int:
     return max(cores, min(shuffle, 2 * cores))
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, key: str | None = None) -> DataFrame:
     """Fit a kernel input to the kernel parallelism.
 
     A scan with fewer partitions (small files) is repartitioned up; one with
@@ -342,7 +342,8 @@ def spread(df: DataFrame) -> DataFrame:
     p = kernel_parallelism(df.sparkSession)
     n = df.rdd.getNumPartitions()
     if n < p:
-        return df.repartition(p)
+        # hash by ``key`` when given, so a later aggregate on it needs no shuffle
+        return df.repartition(p, key) if key else df.repartition(p)
     return df.coalesce(p) if n > p else df
 
 
