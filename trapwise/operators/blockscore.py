@@ -93,30 +93,22 @@ def interval_events(db: np.ndarray, dt: np.ndarray, max_slot: int) -> np.ndarray
     It wins at slot i (beta = i/100) iff ``100*db - i*dt > 0`` for integer
     fixed-point differences db, dt - an interval of slots found with two
     integer floor divisions.  Returns (n, max_slot+2) event counts
-    (+1 at the first winning slot, -1 after the last).
+    (+1 at the first winning slot, -1 after the last); documents that never
+    win put +1 and -1 into the spare last slot, where they cancel.
     """
     n = db.shape[0]
     width = max_slot + 2
     num = 100 * db
-    start = np.zeros(db.shape, dtype=np.int64)
-    end = np.full(db.shape, max_slot, dtype=np.int64)
-    valid = np.zeros(db.shape, dtype=bool)
-    zero = dt == 0
-    valid[zero] = db[zero] > 0
     pos = dt > 0
-    if pos.any():
-        hi = np.floor_divide(num[pos] - 1, dt[pos])
-        end[pos] = np.minimum(hi, max_slot)
-        valid[pos] = hi >= 0
     neg = dt < 0
-    if neg.any():
-        lo = np.floor_divide(-num[neg], -dt[neg]) + 1
-        start[neg] = np.maximum(lo, 0)
-        valid[neg] = lo <= max_slot
-    rows = np.broadcast_to(np.arange(n, dtype=np.int64)[:, None], db.shape)
-    r = rows[valid]
-    plus = np.bincount(r * width + start[valid], minlength=n * width)
-    minus = np.bincount(r * width + end[valid] + 1, minlength=n * width)
+    hi = np.floor_divide(num - 1, np.where(pos, dt, 1))
+    lo = np.floor_divide(-num, np.where(neg, -dt, 1)) + 1
+    valid = np.where(pos, hi >= 0, np.where(neg, lo <= max_slot, db > 0))
+    base = (np.arange(n, dtype=np.int64) * width)[:, None]
+    start = np.where(valid, np.where(neg, np.clip(lo, 0, max_slot + 1), 0), max_slot + 1)
+    end = np.where(valid, np.where(pos, np.clip(hi, -1, max_slot), max_slot), max_slot)
+    plus = np.bincount((base + start).ravel(), minlength=n * width)
+    minus = np.bincount((base + end + 1).ravel(), minlength=n * width)
     return (plus - minus).reshape(n, width)
 
 
@@ -322,13 +314,13 @@ def _accumulate(blk, s, tid, w, dcol, n, nd):
 
 
 def kernel_parallelism(spark) -> int:
-    """Tasks for a kernel pass: the session's shuffle partitions, kept between
-    the number of cores and twice that.  Kernel work grows with
-    documents x queries, and every task emits a queries x grid partial, so
-    more tasks than cores only add partial rows."""
+    """Tasks for a kernel pass: one per core (at most the session's shuffle
+    partitions).  Kernel work grows with documents x queries, and every task
+    emits a queries x grid partial, so tasks beyond the core count only add
+    partial rows to merge."""
     cores = spark.sparkContext.defaultParallelism
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(cores, min(shuffle, 2 * cores))
+    return max(1, min(shuffle, cores))
 
 
 def spread(df: DataFrame, key: str | None = None) -> DataFrame:
