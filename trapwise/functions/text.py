@@ -80,3 +80,22 @@ def rule_decompose(query: Column | str) -> tuple[Column, Column]:
     target = F.when(has_lead, _clean(lead_2)).when(has_mid, mid_target).otherwise(_clean(q))
     trap = F.when(has_lead, _clean(lead_1)).when(has_mid, _clean(mid_2)).otherwise(F.lit(""))
     return target, trap
+
+
+def decompose_frame(df, query: str, target: str = "Q_target", trap: str = "Q_trap", keep=()):
+    """``rule_decompose`` as two projections: the four regex captures are
+    computed once in their own columns (Spark keeps a non-cheap column that
+    is read several times in its own projection), then combined."""
+    lead_pat = "(?i)" + config.RULE_LEADING_PATTERN
+    mid_pat = "(?i)" + config.RULE_SPLIT_PATTERN
+    q = ustrip(F.col(query))
+    staged = df.select(*keep, q.alias("__q")).select(
+        *keep, "__q",
+        F.regexp_extract("__q", lead_pat, 1).alias("__l1"), F.regexp_extract("__q", lead_pat, 2).alias("__l2"),
+        F.regexp_extract("__q", mid_pat, 1).alias("__m1"), F.regexp_extract("__q", mid_pat, 2).alias("__m2"))
+    staged = staged.select(*keep, "__q", "__l1", "__l2", "__m2", _clean(F.col("__m1")).alias("__mt"))
+    has_lead = F.col("__l1") != ""
+    has_mid = (F.col("__m2") != "") & (F.col("__mt") != "")
+    t = F.when(has_lead, _clean(F.col("__l2"))).when(has_mid, F.col("__mt")).otherwise(_clean(F.col("__q")))
+    p = F.when(has_lead, _clean(F.col("__l1"))).when(has_mid, _clean(F.col("__m2"))).otherwise(F.lit(""))
+    return staged.select(*keep, t.alias(target), p.alias(trap))
