@@ -124,3 +124,11 @@ def test_unit_norm_and_blank_vectors(spark):
     df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), (None,)], "v array<double>")
     rows = df.select(l2_normalize(zero_for_blank("v", 2)).alias("u")).collect()
     assert [list(r["u"]) for r in rows] == [[0.6, 0.8], [0.0, 0.0], [0.0, 0.0]]
+
+
+def test_blas_option_close_to_exact():
+    rng = np.random.default_rng(3)
+    q, d = rng.standard_normal((7, 64)), rng.standard_normal((11, 64))
+    exact = B.dot_block(np.ascontiguousarray(q.T), np.ascontiguousarray(d.T), True)
+    fast = B.dot_block(np.ascontiguousarray(q.T), np.ascontiguousarray(d.T), False)
+    assert np.allclose(exact, fast, rtol=0, atol=1e-12)
