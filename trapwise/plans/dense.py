@@ -108,7 +108,7 @@ def dense_tradeoff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dense_operating_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Baseline vs the best recall-keeping beta, per model and source."""
-    sw = dense_sweep_internal(spark, sf_dir)
+    sw = cut_lineage(dense_sweep_internal(spark, sf_dir))
     return evaluate.operating_points(sw, evaluate.tradeoff(sw, SWEEP_KEYS), SWEEP_KEYS)
 
 
