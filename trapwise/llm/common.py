@@ -75,3 +75,21 @@ def ascii_lower(c: Column) -> Column:
 
 def empty_like(spark: SparkSession, schema: str | T.StructType) -> DataFrame:
     return spark.createDataFrame([], schema)
+
+
+def global_sums(df: DataFrame, order: Sequence[str], measure: str, name: str) -> DataFrame:
+    """``df`` plus ``before``: the sum of ``measure`` over all rows that come earlier in ``order``.
+
+    As :func:`global_positions`: sums inside each stored range partition plus
+    the totals of the partitions before it.
+    """
+    from pyspark.sql import Window
+
+    n = shuffle_width(df.sparkSession)
+    t = stage_table(df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+                    .withColumn("_mid", F.monotonically_increasing_id())
+                    .withColumn("_part", F.shiftright("_mid", _ROW_BITS)), name)
+    before = running_before(t.groupBy("_part").agg(F.sum(measure).alias("_n")), "_n")
+    own = Window.partitionBy("_part").orderBy("_mid").rowsBetween(Window.unboundedPreceding, -1)
+    return t.withColumn("_own", F.coalesce(F.sum(measure).over(own), F.lit(0))).join(F.broadcast(before), "_part") \
+            .withColumn("before", (F.col("_own") + F.col("_before")).cast("long")).drop("_part", "_mid", "_own", "_before")

@@ -38,3 +38,55 @@ select f.doc_id, f.n_words, f.word_chars, f.n_symbols, f.n_dup_lines, f.n_repeat
        (not f.base_failed and coalesce(v.ok, true)) as kept, f.source, v.n as host_docs, v.k as host_failed
 from f left join v on f.source = v.source
 """
+
+OP5 = r"""
+with d as (select doc_id, regexp_extract_all(translate(coalesce(text,''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents),
+b as (select item_id, regexp_extract_all(translate(coalesce(text,''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from benchmark),
+bl as (select item_id, ws, least(len(ws), 10) as n from b where len(ws) > 0),
+bw as (select distinct item_id, n, array_to_string(ws[i:i+n-1], ' ') as w from
+       (select item_id, ws, n, unnest(range(1, len(ws) - n + 2)) as i from bl)),
+ns as (select distinct n from bl),
+dw as (select doc_id, n, i, array_to_string(ws[i:i+n-1], ' ') as w from
+       (select doc_id, ws, n, unnest(range(1, greatest(len(ws) - n + 2, 1))) as i from d, ns)),
+h as (select dw.doc_id, dw.i, dw.n, bw.item_id from dw join bw on dw.n = bw.n and dw.w = bw.w),
+c as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from h) group by doc_id),
+it as (select doc_id, count(*) as k, string_agg(x, ',' order by x) as s from
+       (select distinct doc_id, cast(item_id as varchar) as x from h) group by doc_id)
+select d.doc_id, cast(len(ws) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(k, 0) as bigint) as n_items,
+       sha256(coalesce(s, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join c using (doc_id) left join it using (doc_id)
+"""
+
+OP2 = r"""
+with l as (select doc_id, i - 1 as n, ls[i] as line from
+           (select doc_id, ls, unnest(range(1, len(ls) + 1)) as i from (select doc_id, string_split(text, chr(10)) as ls from documents))),
+t as (select line, min(struct_pack(d := doc_id, n := n)) as f from l where length(line) >= 20 group by line),
+e as (select distinct b.line from t a join t b on abs(length(a.line) - length(b.line)) <= 2 and a.f < b.f and a.line <> b.line
+      where levenshtein(a.line, b.line) <= 2),
+s as (select l.doc_id, l.n, l.line, t.line is not null and (t.f.d <> l.doc_id or t.f.n <> l.n) as again, e.line is not null as near
+      from l left join t on l.line = t.line left join e on l.line = e.line),
+g as (select doc_id, count(*) as lines_total, sum((again or near)::int)::bigint as lines_removed, sum((near and not again)::int)::bigint as lines_near,
+             string_agg(line, chr(10) order by n) filter (not (again or near)) as kept from s group by doc_id)
+select d.doc_id, coalesce(lines_total, 0) as lines_total, coalesce(lines_removed, 0) as lines_removed, coalesce(lines_near, 0) as lines_near,
+       case when d.text is not null then sha256(coalesce(kept, '')) end as kept_sha256
+from documents d left join g using (doc_id)
+"""
+
+OP4 = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text,''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x20\x09-\x0D]+') as ws from documents),
+s as (select distinct doc_id, case when len(ws) = 1 then ws[1] else ws[i] || ' ' || ws[i + 1] end as g from
+      (select doc_id, ws, unnest(range(1, greatest(len(ws), least(len(ws) + 1, 2)))) as i from w)),
+c as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as k from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+e as (select a, b from p join c x on x.doc_id = p.a join c y on y.doc_id = p.b where 100 * k >= 80 * (x.n + y.n - k)),
+u as (select a, b from e union all select b, a from e),
+r(doc_id, reach) as (select doc_id, doc_id from documents union select r.doc_id, u.b from r join u on u.a = r.reach),
+m as (select doc_id, min(reach) as component_id from r group by doc_id),
+k as (select doc_id, sha256(string_agg(g, chr(10) order by g)) as h from s group by doc_id),
+q as (select h, min(doc_id) as class_id from k group by h)
+select d.doc_id, coalesce(c.n, 0) as n_shingles, m.component_id, d.doc_id = m.component_id as kept, coalesce(q.class_id, d.doc_id) as class_id
+from documents d join m using (doc_id) left join c using (doc_id) left join k using (doc_id) left join q using (h)
+"""

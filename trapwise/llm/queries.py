@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from trapwise.llm import host_quality, oracle, sharding, url_rules
+from trapwise.llm import decontaminate, host_quality, language_id, line_dedup, near_dedup, oracle, packing, sharding, url_rules
 from trapwise.sources.tables import read_table
 
 
@@ -12,21 +13,50 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(read_table(spark, sf_dir, "pages"), url_rules.rule_table(spark))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "lines_total", "lines_removed", "lines_near", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"), width=2)
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.judge_contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(read_table(spark, sf_dir, "documents"))
+
+
 def op7_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_quality.judge_quality(read_table(spark, sf_dir, "documents"))
 
 
+def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents"))
+
+
 def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
+    "op2_line_dedup": op2_line_dedup,
+    "op4_near_dedup": op4_near_dedup,
+    "op5_decontaminate": op5_decontaminate,
+    "op6_language_id": op6_language_id,
     "op7_host_quality": op7_host_quality,
+    "op8_pack": op8_pack,
     "op10_shard": op10_shard,
 }
 
 ORACLE: dict[str, str] = {
     "op1_url_filter": oracle.OP1,
+    "op2_line_dedup": oracle.OP2,
+    "op4_near_dedup": oracle.OP4,
+    "op5_decontaminate": oracle.OP5,
     "op7_host_quality": oracle.OP7,
 }
