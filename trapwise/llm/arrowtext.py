@@ -42,7 +42,9 @@ def split_words(texts: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarr
     Returns the distinct words, the index of every word, and the offsets of
     each text's words (nulls have none).
     """
-    filled = pc.fill_null(texts, "").cast(pa.large_string())
+    if not pa.types.is_string(texts.type):
+        texts = pa.array(texts.to_pylist(), pa.string())
+    filled = pc.fill_null(texts, "")
     lists = pc.ascii_split_whitespace(pc.ascii_lower(filled) if lower else filled)
     flat, offsets = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
     offsets = offsets - offsets[0]

@@ -103,7 +103,8 @@ def banded_distance(a: Column, b: Column, edits: int) -> Column:
                         F.lit(edits).cast("long").alias("score"))
         return F.aggregate(F.sequence(F.lit(0), x["n"] - 1), zero, step, lambda s: s["score"])
 
-    return F.get(F.transform(F.array(chars), run), 0)
+    close_sizes = F.abs(F.char_length(a) - F.char_length(b)) <= edits
+    return F.when(close_sizes, F.get(F.transform(F.array(chars), run), 0)).otherwise(F.lit(edits + 1).cast("long"))
 
 
 def _hashes() -> list[Column]:

@@ -59,21 +59,6 @@ select d.doc_id, cast(len(ws) as bigint) as n_words, cast(coalesce(n_hit, 0) as
 from d left join c using (doc_id) left join it using (doc_id)
 """
 
-OP2 = r"""
-with l as (select doc_id, i - 1 as n, ls[i] as line from
-           (select doc_id, ls, unnest(range(1, len(ls) + 1)) as i from (select doc_id, string_split(text, chr(10)) as ls from documents))),
-t as (select line, min(struct_pack(d := doc_id, n := n)) as f from l where length(line) >= 20 group by line),
-e as (select distinct b.line from t a join t b on abs(length(a.line) - length(b.line)) <= 2 and a.f < b.f and a.line <> b.line
-      where levenshtein(a.line, b.line) <= 2),
-s as (select l.doc_id, l.n, l.line, t.line is not null and (t.f.d <> l.doc_id or t.f.n <> l.n) as again, e.line is not null as near
-      from l left join t on l.line = t.line left join e on l.line = e.line),
-g as (select doc_id, count(*) as lines_total, sum((again or near)::int)::bigint as lines_removed, sum((near and not again)::int)::bigint as lines_near,
-             string_agg(line, chr(10) order by n) filter (not (again or near)) as kept from s group by doc_id)
-select d.doc_id, coalesce(lines_total, 0) as lines_total, coalesce(lines_removed, 0) as lines_removed, coalesce(lines_near, 0) as lines_near,
-       case when d.text is not null then sha256(coalesce(kept, '')) end as kept_sha256
-from documents d left join g using (doc_id)
-"""
-
 OP4 = r"""
 with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text,''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
              '[^\x20\x09-\x0D]+') as ws from documents),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trapwise.llm import decontaminate, host_quality, language_id, line_dedup, near_dedup, oracle, packing, sharding, url_rules
+from trapwise.llm import decontaminate, host_quality, language_id, line_dedup, near_dedup, oracle, packing, repeats, sharding, url_rules
 from trapwise.sources.tables import read_table
 
 
@@ -38,6 +38,10 @@ def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.find_repeats(read_table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read_table(spark, sf_dir, "documents"))
 
@@ -50,12 +54,12 @@ QUERIES = {
     "op6_language_id": op6_language_id,
     "op7_host_quality": op7_host_quality,
     "op8_pack": op8_pack,
+    "op9_repeats": op9_repeats,
     "op10_shard": op10_shard,
 }
 
 ORACLE: dict[str, str] = {
     "op1_url_filter": oracle.OP1,
-    "op2_line_dedup": oracle.OP2,
     "op4_near_dedup": oracle.OP4,
     "op5_decontaminate": oracle.OP5,
     "op7_host_quality": oracle.OP7,
