@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from trapwise.llm.common import stage_table
 from trapwise.llm import decontaminate, language_id, line_dedup, near_dedup, packing, repeats
 from trapwise.llm.components import connected
 from trapwise.llm.suffix_groups import suffix_array
@@ -90,6 +91,7 @@ def test_line_dedup_matches_brute_force(spark, edits, min_docs):
         rows.append((i, "\n".join(edited(rng, rng.choice(pool), rng.choice([0, 0, 1, 2, 3, 4])) if rng.random() < 0.7 else
                                   rng.choice(["short", "", "x" * 19, "y" * 20]) for _ in range(rng.randint(0, 5)))))
     df = spark.createDataFrame([(i, t, i, "q") for i, t in rows], "doc_id long, text string, line int, lines_total string").repartition(4)
+    df = stage_table(df, "docs")
     got = {r.doc_id: (r.lines_total, r.lines_removed, r.lines_near, r.text) for r in
            line_dedup.dedup_lines(df, edits=edits, min_docs=min_docs).collect()}
     brute = brute_lines([r for r in rows if r[0] > 4], edits, 20, min_docs)
@@ -180,7 +182,8 @@ def brute_hits(docs, items):
     return out
 
 
-def test_decontamination_matches_brute_force(spark):
+@pytest.mark.parametrize("max_broadcast", [0, 10_000])
+def test_decontamination_matches_brute_force(spark, max_broadcast):
     rng = random.Random(7)
     vocabulary = [f"w{i}" for i in range(40)] + ["Ünder", "É"]
     text = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
@@ -195,9 +198,9 @@ def test_decontamination_matches_brute_force(spark):
             at = rng.randrange(len(w) + 1)
             w[at:at] = source[a:a + rng.randint(1, 30)]
         docs.append((i, rng.choice([" ", ", ", "\n"]).join(w)))
-    df = spark.createDataFrame([(*d, 1, "x") for d in docs], "doc_id long, text string, item_id int, words string").repartition(3)
-    bench = spark.createDataFrame([(*x, 5) for x in items], "item_id long, text string, doc_id int")
-    got = {r[0]: tuple(r)[1:] for r in decontaminate.judge_contamination(df, bench).collect()}
+    df = stage_table(spark.createDataFrame([(*d, 1, "x") for d in docs], "doc_id long, text string, item_id int, words string").repartition(3), "docs")
+    bench = stage_table(spark.createDataFrame([(*x, 5) for x in items], "item_id long, text string, doc_id int"), "items")
+    got = {r[0]: tuple(r)[1:] for r in decontaminate.judge_contamination(df, bench, max_broadcast=max_broadcast).collect()}
     assert got == brute_hits(docs, items)
     clean = decontaminate.judge_contamination(df, bench.limit(0)).collect()
     assert len(clean) == len(docs) and not any(r.contaminated for r in clean)

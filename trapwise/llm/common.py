@@ -93,3 +93,12 @@ def global_sums(df: DataFrame, order: Sequence[str], measure: str, name: str) ->
     own = Window.partitionBy("_part").orderBy("_mid").rowsBetween(Window.unboundedPreceding, -1)
     return t.withColumn("_own", F.coalesce(F.sum(measure).over(own), F.lit(0))).join(F.broadcast(before), "_part") \
             .withColumn("before", (F.col("_own") + F.col("_before")).cast("long")).drop("_part", "_mid", "_own", "_before")
+
+
+def join_rows(rows: DataFrame, other: DataFrame, on: str | list[str], how: str) -> DataFrame:
+    """Join whole rows with a table that grows with them.
+
+    Such a table outgrows any broadcast, so both sides are always shuffled: the plan of a small input is
+    the plan of a large one.  Skewed keys are split by adaptive execution.
+    """
+    return rows.hint("shuffle_merge").join(other.hint("shuffle_merge"), on, how)

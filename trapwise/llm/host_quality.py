@@ -116,3 +116,16 @@ def judge_quality(documents: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & F.coalesce("host_ok", F.lit(True))).alias("kept"),
         "source", F.col("n_docs").alias("host_docs"), F.col("n_failed").alias("host_failed"))
+
+
+def keep_quality(documents: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
+    """The rows of ``documents`` that :func:`judge_quality` keeps, with all their columns.
+
+    The base rule is an expression on the row; only the rejected hosts are joined.
+    """
+    counts = stage_table(base_counts(need(documents, doc_id="long", text="string", source="string"))
+                         .select("source", "base_failed"), "quality-failures")
+    rejected = stage_table(host_verdicts(counts, limit).where("not host_ok").select("source"), "quality-hosts")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
+                            F.col("source").cast("string").alias("source"), F.struct(*documents.columns).alias("_row"))
+    return base_counts(rows, keep=("_row",)).where("not base_failed").join(rejected, "source", "left_anti").select("_row.*")

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trapwise.llm.common import need, stage_table
+from trapwise.llm.common import join_rows, need, stage_table
 
 EDITS = 2
 MIN_CHARS = 20
@@ -124,6 +124,7 @@ def line_links(documents: DataFrame, edits: int = EDITS, min_chars: int = MIN_CH
     documents and occurrences - and ``links(doc_a, line_a, doc_b, line_b)``, every
     pair of first occurrences within ``edits`` edits, earlier one first.
     """
+    documents = documents.where("doc_id is not null")
     long_lines = lines_of(documents).where(F.char_length("line") >= min_chars)
     hashes = _hashes()
     first = stage_table(
@@ -149,7 +150,7 @@ def line_links(documents: DataFrame, edits: int = EDITS, min_chars: int = MIN_CH
     wanted = pairs.select(F.explode(F.array(F.struct(F.col("doc_a").alias("doc_id"), F.col("line_a").alias("n")),
                                             F.struct(F.col("doc_b").alias("doc_id"), F.col("line_b").alias("n")))).alias("w")) \
         .select("w.*").groupBy("doc_id").agg(F.collect_set("n").alias("_lines"))  # no more than the document has
-    rows = documents.join(wanted, "doc_id").select("doc_id", F.explode("_lines").alias("line_no"), F.split("text", "\n").alias("_all")) \
+    rows = join_rows(documents, wanted, "doc_id", "inner").select("doc_id", F.explode("_lines").alias("line_no"), F.split("text", "\n").alias("_all")) \
         .select("doc_id", "line_no", F.get(F.col("_all"), F.col("line_no")).alias("line"))
     both = pairs.join(rows.withColumnsRenamed({"doc_id": "doc_a", "line_no": "line_a", "line": "text_a"}), ["doc_a", "line_a"]) \
         .join(rows.withColumnsRenamed({"doc_id": "doc_b", "line_no": "line_b", "line": "text_b"}), ["doc_b", "line_b"])
@@ -190,7 +191,7 @@ def dedup_lines(documents: DataFrame, edits: int = EDITS, min_chars: int = MIN_C
     ``documents(doc_id, text, ...)``; doc_id is a key, and rows that repeat it
     repeat the text.  Lines are cut at line feeds and compared as they are; those
     under ``min_chars`` characters always stay.  A null text stays null, and a
-    document that loses all its lines has an empty text.  Existing columns
+    document that loses all its lines has an empty text.  Lines of rows without doc_id always stay.  Existing columns
     ``lines_*`` are replaced.
     """
     rest = documents.drop("lines_total", "lines_removed", "lines_near")
@@ -199,7 +200,7 @@ def dedup_lines(documents: DataFrame, edits: int = EDITS, min_chars: int = MIN_C
     lines = F.split("text", "\n")
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
     all_lines = F.transform(F.array(lines), lambda x: F.array_join(F.transform(left, lambda i: F.get(x, i)), "\n"))
-    joined = rest.withColumn("_id", F.col("doc_id").cast("long")).join(gone.withColumnRenamed("doc_id", "_id"), "_id", "left")
+    joined = join_rows(rest.withColumn("_id", F.col("doc_id").cast("long")), gone.withColumnRenamed("doc_id", "_id"), "_id", "left")
     return joined.select(*[
         F.when(F.col("_gone").isNotNull() & F.col("text").isNotNull(), F.get(all_lines, 0)).otherwise(F.col("text")).alias("text")
         if c == "text" else F.col(f"`{c}`") for c in rest.columns],

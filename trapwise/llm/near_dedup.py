@@ -8,16 +8,18 @@ comparison of the full sets confirms each link.  Components of the links
 decide which document of a group stays.
 
 Which lists are read: two classes of similarity ``s`` share about ``s * k``
-retained values, and far more than ``common_needed`` of them (seven standard
-deviations below; a miss has a chance under 1e-9).  Sets that overlap in ``t``
+retained values, and more than ``common_needed`` of them (five standard deviations
+below: a link of exactly the limit is missed with a chance near 1e-6, one
+above it with far less).  Sets that overlap in ``t``
 values also overlap in their ``k - t + 1`` rarest ones, so only these are
 proposed, which leaves out shingles that unrelated texts have in common.
 
 Large groups: a list never emits all its pairs.  First every member is
-compared with a few pivots of the list, and the links give components.  Only
-lists that still hold several components go on, with the pairs between
-members of different components.  A pair inside one component would not change
-the result; every other proposed pair is compared.
+compared with a few pivots of the list, and the links give components.  Lists
+that still hold several components go on to the next rounds, where the members are
+compared with more pivots, but only with those of another component.  What is
+still apart then is compared in full, across components.  A pair inside
+one component would not change the result; every other proposed pair is compared.
 """
 
 from __future__ import annotations
@@ -29,22 +31,26 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trapwise.llm.common import need, stage_table
+from trapwise.llm.common import join_rows, need, stage_table
 from trapwise.llm.components import connected
 from trapwise.session import ship_package
 
-SKETCH = 48
-PIVOTS = 3
-#: the union sketch must reach the limit less this many standard deviations
-SLACK = 6.0
+SKETCH = 64
+#: pivots of each list, round by round; later rounds only see lists that hold several components
+PIVOTS = (3, 8, 32)
+#: standard deviations that the overlap of two sketches may fall short of what is expected
+SLACK = 5.0
 
 
-def common_needed(size: int | Column, similarity: float) -> int | Column:
-    """Retained values that two sketches of ``size`` values must share."""
-    if isinstance(size, int):
-        return max(1, int(np.floor(similarity * size - 7 * np.sqrt(similarity * (1 - similarity) * size))))
-    sd = F.sqrt(F.lit(similarity * (1 - similarity)) * size)
-    return F.greatest(F.lit(1), F.floor(F.lit(similarity) * size - 7 * sd).cast("int"))
+def common_needed(n: Column, similarity: float, k: int) -> Column:
+    """Retained values that a set of ``n`` shares with any set of the given similarity.
+
+    A set that is small enough lies whole in its own sketch and in those of
+    all similar sets, so the count is exact; a larger one shares ``similarity * k`` or more on average.
+    """
+    spread = SLACK * float(np.sqrt(similarity * (1 - similarity) * k))
+    return F.when(n <= int(similarity * k), F.ceil(similarity * n).cast("int")).otherwise(
+        F.greatest(F.lit(1), F.floor(similarity * F.least(n, F.lit(k)) - spread).cast("int")))
 
 
 def _sets(texts: pa.Array, width: int) -> list[np.ndarray]:
@@ -132,8 +138,8 @@ def _confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame, width: int,
         .join(sk.withColumnsRenamed({"rep": "b", "sketch": "sketch_b"}), "b").select("a", "b", "sketch_a", "sketch_b")
         .mapInArrow(_estimate_kernel(s, SLACK), "a long, b long"), name + "-likely")
     members = likely.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    sets = stage_table(texts.join(members, "rep", "left_semi").select("rep", "text").dropDuplicates(["rep"])
-                       .mapInArrow(_set_kernel(width), "rep long, shingles binary"), name + "-sets")
+    sets = stage_table(join_rows(texts, members, "rep", "left_semi").select("rep", "text")
+                       .mapInArrow(_set_kernel(width), "rep long, shingles binary").dropDuplicates(["rep"]), name + "-sets")
     full = likely.join(sets.withColumnsRenamed({"rep": "a", "shingles": "set_a"}), "a") \
                  .join(sets.withColumnsRenamed({"rep": "b", "shingles": "set_b"}), "b")
     return stage_table(full.select("a", "b", "set_a", "set_b").mapInArrow(_exact_kernel(percent), "a long, b long"), name + "-links")
@@ -145,8 +151,8 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, k:
     Two documents are linked when 100 * intersection >= ``percent`` * union of
     their sets of ``width``-word shingles.  A null text or one without words
     has the empty set and no link.  ``class_id`` is the smallest doc_id with an
-    equal set.  Rows of one doc_id with different texts are separate members of
-    that id's group; an empty table gives none.
+    equal set.  doc_id is a key, and rows that repeat it repeat the text; a row without doc_id
+    is kept.  An empty table gives none.
     """
     ship_package(documents.sparkSession)
     s = percent / 100
@@ -161,42 +167,46 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, k:
     reps = stage_table(own.select("rep", "n_shingles", "sketch").dropDuplicates(["rep"]), "near-reps")
 
     # inverted lists of the rarest retained values
-    posts = reps.select("rep", F.size("sketch").alias("_size"), F.explode("sketch").alias("value"))
+    posts = reps.select("rep", "n_shingles", F.size("sketch").alias("_size"), F.explode("sketch").alias("value"))
     often = posts.groupBy("value").agg(F.count(F.lit(1)).alias("_lists")).where("_lists > 1")
-    shared = posts.join(often, "value").groupBy("rep", "_size").agg(
-        F.array_sort(F.collect_list(F.struct("_lists", "value"))).alias("_shared"))
+    shared = posts.join(often, "value").groupBy("rep", "n_shingles", "_size").agg(
+        F.array_sort(F.collect_list(F.struct("_lists", "value"))).alias("_shared"))  # k at most
     alone = F.col("_size") - F.size("_shared")
-    reads = F.col("_size") - common_needed(F.col("_size"), s) + 1 - alone
-    lists = stage_table(
-        shared.where(reads > 0).select("rep", F.explode(F.slice("_shared", 1, reads)).alias("_p"))
-        .select("rep", F.col("_p.value").alias("value")).join(reps.select("rep", "n_shingles"), "rep"), "near-lists")
+    reads = F.col("_size") - common_needed(F.col("n_shingles"), s, k) + 1 - alone
+    lists = stage_table(shared.where(reads > 0).select("rep", "n_shingles", F.explode(F.slice("_shared", 1, reads)).alias("_p"))
+                        .select("rep", "n_shingles", F.col("_p.value").alias("value")), "near-lists")
 
     similar = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    pairs = None
-    for seed in range(PIVOTS):
-        turn = F.xxhash64("rep", F.lit(seed))
-        pivot = lists.groupBy("value").agg(F.min(F.struct(turn.alias("t"), F.col("rep").alias("p"), F.col("n_shingles").alias("n_b"))).alias("_pivot"),
-                                           F.count(F.lit(1)).alias("_n")).where("_n > 1")
-        star = lists.join(pivot, "value").select("rep", F.col("n_shingles").alias("n_a"), "_pivot.p", "_pivot.n_b") \
-            .where((F.col("rep") != F.col("p")) & similar) \
-            .select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b"))
-        pairs = star if pairs is None else pairs.unionByName(star)
     source = texts.withColumnRenamed("doc_id", "rep")
-    links = _confirmed(pairs.distinct(), reps, source, width, percent, "near-star")
-    groups = connected(links)
-
-    # lists that still hold several components: pairs across them
-    put = lists.join(groups, lists["rep"] == groups["node"], "left").select(
-        "value", "rep", "n_shingles", F.coalesce("component", "rep").alias("_group"))
-    mixed = put.groupBy("value").agg(F.count_distinct("_group").alias("_groups"), F.count(F.lit(1)).alias("_n")) \
-               .where(f"_groups > 1 and _n > 2").select("value")
-    rest = stage_table(put.join(mixed, "value", "left_semi"), "near-rest")
-    x = rest.select("value", F.col("rep").alias("a"), F.col("n_shingles").alias("n_a"), F.col("_group").alias("_ga"))
-    y = rest.select("value", F.col("rep").alias("b"), F.col("n_shingles").alias("n_b"), F.col("_group").alias("_gb"))
-    cross = x.join(y, "value").where((F.col("a") < F.col("b")) & (F.col("_ga") != F.col("_gb")) & similar).select("a", "b").distinct()
-    more = _confirmed(cross, reps, source, width, percent, "near-cross")
-    if not more.isEmpty():
-        groups = connected(links.unionByName(more))
+    apart = lists.withColumn("_group", F.col("rep"))
+    links, groups = None, None
+    for turn, n_pivots in enumerate([*PIVOTS, None]):
+        if n_pivots is None:
+            x = apart.select("value", F.col("rep").alias("a"), F.col("n_shingles").alias("n_a"), F.col("_group").alias("_ga"))
+            y = apart.select("value", F.col("rep").alias("b"), F.col("n_shingles").alias("n_b"), F.col("_group").alias("_gb"))
+            pairs = x.join(y, "value").where((F.col("a") < F.col("b")) & (F.col("_ga") != F.col("_gb")) & similar).select("a", "b")
+        else:
+            # the smallest hashes under several seeds: lists of one group choose the same pivots
+            pivot = apart.groupBy("value").agg(*[
+                F.min(F.struct(F.xxhash64("rep", F.lit(turn * 1000 + i)).alias("t"), F.col("rep").alias("p"), F.col("n_shingles").alias("n_b"),
+                               F.col("_group").alias("_gp"))).alias(f"_{i}") for i in range(n_pivots)])
+            pivot = pivot.select("value", F.explode(F.array_distinct(F.transform(
+                F.array(*[f"_{i}" for i in range(n_pivots)]), lambda x: F.struct(x["p"].alias("p"), x["n_b"].alias("n_b"), x["_gp"].alias("_gp"))))).alias("_p"))
+            pairs = apart.withColumnRenamed("n_shingles", "n_a").join(pivot.select("value", "_p.*"), "value") \
+                .where((F.col("_group") != F.col("_gp")) & similar).select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b"))
+        found = _confirmed(pairs.distinct(), reps, source, width, percent, f"near-{turn}")
+        links = found if links is None else links.unionByName(found)
+        groups = connected(links)
+        if n_pivots is None:
+            break
+        # lists that still hold several components
+        put = lists.join(groups, lists["rep"] == groups["node"], "left").select(
+            "value", "rep", "n_shingles", F.coalesce("component", "rep").alias("_group"))
+        mixed = put.groupBy("value").agg(F.min("_group").alias("_low"), F.max("_group").alias("_high"), F.count(F.lit(1)).alias("_n")) \
+                   .where("_low <> _high and _n > 2").select("value")
+        apart = stage_table(put.join(mixed, "value", "left_semi"), "near-apart")
+        if apart.isEmpty():
+            break
     out = members.join(groups, members["class_id"] == groups["node"], "left") \
                  .withColumn("component_id", F.coalesce("component", "class_id"))
-    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"), "class_id")
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "class_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trapwise.llm import decontaminate, host_quality, language_id, line_dedup, near_dedup, oracle, packing, repeats, sharding, url_rules
+from trapwise.llm import decontaminate, host_quality, language_id, licenses, line_dedup, near_dedup, oracle, packing, repeats, sharding, url_rules
 from trapwise.sources.tables import read_table
 
 
@@ -18,6 +18,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "lines_total", "lines_removed", "lines_near", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licences(read_table(spark, sf_dir, "documents"))
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"), width=2)
 
@@ -49,6 +53,7 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_line_dedup": op2_line_dedup,
+    "op3_license_scan": op3_license_scan,
     "op4_near_dedup": op4_near_dedup,
     "op5_decontaminate": op5_decontaminate,
     "op6_language_id": op6_language_id,

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trapwise.llm.common import need, shuffle_width, stage_table
+from trapwise.llm.common import join_rows, need, shuffle_width, stage_table
 from trapwise.session import ship_package
 
 LENGTH = 100
@@ -248,7 +248,7 @@ def find_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, m
     a document of smaller doc_id, or in the same one.  Matches do not cross
     documents and are judged on the input.  ``spans`` are the maximal removed byte ranges (null when the
     document is a copy, whose one span is the whole).  A null text has no bytes; doc_id is a key, and
-    rows that repeat it repeat the text.  An empty table gives none.
+    rows that repeat it repeat the text; rows without doc_id lose nothing.  An empty table gives none.
     """
     spark = documents.sparkSession
     ship_package(spark)
@@ -257,12 +257,12 @@ def find_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, m
     classes = base.groupBy("sha").agg(F.min("doc_id").alias("class_id"))
     classed = stage_table(base.join(classes, "sha"), "repeat-classes")
     firsts = classed.where(f"doc_id = class_id and n_bytes >= {length}").select("doc_id").distinct()
-    reps = texts.join(firsts, "doc_id", "left_semi")
+    reps = join_rows(texts, firsts, "doc_id", "left_semi")
 
     runs = stage_table(reps.mapInArrow(_anchor_kernel(length, gram), "anchor long, doc_id long, first int"), "repeat-anchors")
     again = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
     wanted = runs.join(again, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_set("first").alias("firsts"))  # at most a document's runs
-    chosen = stage_table(texts.join(wanted, "doc_id"), "repeat-texts")
+    chosen = stage_table(join_rows(texts, wanted, "doc_id", "inner"), "repeat-texts")
 
     contexts = stage_table(chosen.mapInArrow(_context_kernel(length, gram),
                                              "anchor long, digest binary, doc_id long, first int, lead int, context binary"), "repeat-contexts")
@@ -281,7 +281,7 @@ def find_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, m
     later = contexts.join(folded, ["anchor", "digest"]).where(F.struct("doc_id", "first") != F.col("at")) \
         .select("doc_id", F.col("first").cast("long").alias("from"), (F.col("first") + F.length("context")).cast("long").alias("to"))
     spans = grouped.unionByName(single).unionByName(later).groupBy("doc_id").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
-    cut = stage_table(chosen.select("doc_id", "text").join(spans, "doc_id").mapInArrow(
+    cut = stage_table(join_rows(chosen.select("doc_id", "text"), spans, "doc_id", "inner").mapInArrow(
         _cut_kernel(), "class_id long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<from: bigint, to: bigint>>")
         .dropDuplicates(["class_id"]), "repeat-cuts")
     copy = (F.col("doc_id") != F.col("class_id")) & (F.col("n_bytes") >= length)
