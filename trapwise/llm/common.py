@@ -24,7 +24,23 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete stored tables that no later step reads.
+
+    Also lets Spark's cleaner drop the shuffle files of finished steps, which it does when the
+    driver's unused plans are collected.
+    """
+    spark = tables[0].sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for t in tables:
+        path = jvm.org.apache.hadoop.fs.Path(t._staged_at)
+        path.getFileSystem(conf).delete(path, True)
+    jvm.System.gc()
 
 
 def shuffle_width(spark: SparkSession) -> int:

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trapwise.llm.common import join_rows, need, stage_table
+from trapwise.llm.common import join_rows, need, release, stage_table
 
 EDITS = 2
 MIN_CHARS = 20
@@ -145,6 +145,7 @@ def line_links(documents: DataFrame, edits: int = EDITS, min_chars: int = MIN_CH
     flip = {"doc_a": "doc_b", "line_a": "line_b", "doc_b": "doc_a", "line_b": "line_a"}
     pairs = stage_table(index.join(probes, "key").where(~same).select(*[
         F.when(ordered, F.col(c)).otherwise(F.col(flip[c])).alias(c) for c in flip]).distinct(), "line-pairs")
+    release(entries)
 
     # the texts of the proposed lines, taken from their documents
     wanted = pairs.select(F.explode(F.array(F.struct(F.col("doc_a").alias("doc_id"), F.col("line_a").alias("n")),
@@ -158,6 +159,7 @@ def line_links(documents: DataFrame, edits: int = EDITS, min_chars: int = MIN_CH
     near = banded_distance(F.when(shorter, F.col("text_a")).otherwise(F.col("text_b")),
                            F.when(shorter, F.col("text_b")).otherwise(F.col("text_a")), edits) <= edits
     links = stage_table(both.where(near).select("doc_a", "line_a", "doc_b", "line_b").distinct(), "line-links")
+    release(pairs)
     return first, links
 
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trapwise.llm.common import join_rows, need, stage_table
+from trapwise.llm.common import join_rows, need, release, stage_table
 from trapwise.llm.components import connected
 from trapwise.session import ship_package
 
@@ -142,7 +142,9 @@ def _confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame, width: int,
                        .mapInArrow(_set_kernel(width), "rep long, shingles binary").dropDuplicates(["rep"]), name + "-sets")
     full = likely.join(sets.withColumnsRenamed({"rep": "a", "shingles": "set_a"}), "a") \
                  .join(sets.withColumnsRenamed({"rep": "b", "shingles": "set_b"}), "b")
-    return stage_table(full.select("a", "b", "set_a", "set_b").mapInArrow(_exact_kernel(percent), "a long, b long"), name + "-links")
+    links = stage_table(full.select("a", "b", "set_a", "set_b").mapInArrow(_exact_kernel(percent), "a long, b long"), name + "-links")
+    release(sets, likely)
+    return links
 
 
 def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, k: int = SKETCH) -> DataFrame:

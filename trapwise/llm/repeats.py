@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trapwise.llm.common import join_rows, need, shuffle_width, stage_table
+from trapwise.llm.common import join_rows, need, release, shuffle_width, stage_table
 from trapwise.session import ship_package
 
 LENGTH = 100
@@ -263,6 +263,7 @@ def find_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, m
     again = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
     wanted = runs.join(again, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_set("first").alias("firsts"))  # at most a document's runs
     chosen = stage_table(join_rows(texts, wanted, "doc_id", "inner"), "repeat-texts")
+    release(runs)
 
     contexts = stage_table(chosen.mapInArrow(_context_kernel(length, gram),
                                              "anchor long, digest binary, doc_id long, first int, lead int, context binary"), "repeat-contexts")
@@ -280,10 +281,15 @@ def find_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, m
         .select("doc_id", F.col("start").alias("from"), (F.col("start") + length).alias("to"))
     later = contexts.join(folded, ["anchor", "digest"]).where(F.struct("doc_id", "first") != F.col("at")) \
         .select("doc_id", F.col("first").cast("long").alias("from"), (F.col("first") + F.length("context")).cast("long").alias("to"))
-    spans = grouped.unionByName(single).unionByName(later).groupBy("doc_id").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
+    compared = stage_table(grouped.unionByName(single), "repeat-compared")
+    release(distinct)
+    later = stage_table(later, "repeat-later")
+    release(contexts)
+    spans = compared.unionByName(later).groupBy("doc_id").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
     cut = stage_table(join_rows(chosen.select("doc_id", "text"), spans, "doc_id", "inner").mapInArrow(
         _cut_kernel(), "class_id long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<from: bigint, to: bigint>>")
         .dropDuplicates(["class_id"]), "repeat-cuts")
+    release(chosen, compared, later)
     copy = (F.col("doc_id") != F.col("class_id")) & (F.col("n_bytes") >= length)
     nothing = hashlib.sha256(b"").hexdigest()
     return classed.join(cut, "class_id", "left").select(
