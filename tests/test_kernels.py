@@ -54,7 +54,7 @@ def _dense_scorer_fn(q):
     return blk
 
 
-def test_local_topn_keeps_ties_at_the_cut(spark):
+def test_local_topn_is_bounded_under_ties(spark):
     # documents 0..5, scores with a tie at the 2nd place
     ids = np.arange(6, dtype=np.int64)
     vecs = np.array([[1.0], [3.0], [2.0], [2.0], [0.5], [2.0]])
@@ -70,16 +70,17 @@ def test_local_topn_keeps_ties_at_the_cut(spark):
     from pyspark.sql import functions as F
 
     pools = B.local_topn(B.DenseScorer(df, qdf), 2)
-    w = Window.partitionBy("qid").orderBy(F.col("R_base").desc())
-    top = pools.select("doc_id", F.rank().over(w).alias("r")).where("r <= 2").collect()
-    # best is doc 1 (3.0); docs 2, 3, 5 tie at 2.0 for second place -> all kept
-    assert sorted(r["doc_id"] for r in top) == [1, 2, 3, 5]
-    # one task's pool keeps every document tied with its cut
-    one = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, vecs)],
-                                "doc_id long, vec array<double>").coalesce(1)
-    sc = B.DenseScorer(one, qdf)
-    sc.docs = one
-    assert sorted(r["doc_id"] for r in B.local_topn(sc, 2).collect()) == [1, 2, 3, 5]
+    w = Window.partitionBy("qid").orderBy(F.col("R_base").desc(), "doc_id")
+    top = pools.select("doc_id", F.row_number().over(w).alias("r")).where("r <= 2").collect()
+    # best is doc 1 (3.0); of docs 2, 3, 5, tied at 2.0, the smallest id comes second
+    assert sorted(r["doc_id"] for r in top) == [1, 2]
+    # one task emits N rows per query, however many documents tie (here: 2,000 without any match)
+    flat = spark.range(0, 2000).select("id", F.array(F.lit(0.0)).alias("vec")).withColumnRenamed("id", "doc_id").coalesce(1)
+    three = spark.createDataFrame([(i, [1.0], [1.0], [1.0]) for i in range(3)], qdf.schema)
+    sc = B.DenseScorer(flat, three)
+    sc.docs = flat
+    got = B.local_topn(sc, 5).collect()
+    assert sorted((r["qid"], r["doc_id"]) for r in got) == [(q, d) for q in range(3) for d in range(5)]
 
 
 def test_lexical_kernel_matches_brute_force():

@@ -30,6 +30,16 @@ def test_sequential_index_matches_row_number(spark):
     assert sorted((r["corpus_index"], r["first_pos"]) for r in got) == list(enumerate(want))
 
 
+def test_sequential_index_over_sampled_ranges(spark):
+    """Enough rows and payload that range bounds come from a real sample."""
+    df = spark.range(0, 300_000).select((F.col("id") * 7919 % 300_007).alias("first_pos"), F.repeat(F.lit("x"), 40).alias("payload"), F.col("id").alias("k"))
+    got = prepare.sequential_index(df, "first_pos", 16)
+    r = got.agg(F.count_distinct("corpus_index"), F.min("corpus_index"), F.max("corpus_index")).first()
+    assert tuple(r) == (300_000, 0, 299_999)
+    w = got.select("corpus_index", "first_pos").join(got.select((F.col("corpus_index") - 1).alias("corpus_index"), F.col("first_pos").alias("next")), "corpus_index")
+    assert w.where("next <= first_pos").count() == 0
+
+
 def test_resolve_first_ordinal_wins(spark):
     src = spark.createDataFrame([("A", 1, "late", "T", 2), ("A", 1, "early", "T", 1), ("A", 2, "x", None, 3)],
                                 "config string, docid long, doc string, title string, ordinal long")

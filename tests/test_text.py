@@ -49,3 +49,10 @@ def test_rule_decompose_forms(spark):
     assert got[2] == ("films", "violence except gore")  # first wrapper splits
     assert got[3] == ("plain query", "")
     assert got[4] == ("mostly without", "")  # no excluded phrase after the wrapper
+
+
+def test_rule_split_keeps_the_trap_of_a_multi_line_query(spark):
+    df = spark.createDataFrame([("birds in\nSpain without eagles",), ("Excluding old\nmaps, new\nones",)], "q string")
+    t, p = T.rule_decompose("q")
+    assert [tuple(r) for r in df.select(t, p).collect()] == [("birds in\nSpain", "eagles"), ("new\nones", "old\nmaps")]
+    assert [tuple(r) for r in T.decompose_frame(df, "q").collect()] == [("birds in\nSpain", "eagles"), ("new\nones", "old\nmaps")]

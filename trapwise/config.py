@@ -57,15 +57,10 @@ EXCLUSION_WRAPPERS = (
 )
 # One pattern (Java and RE2 both accept it; no look-around).  Group 1 is the
 # wanted part, group 2 the excluded part.
-RULE_SPLIT_PATTERN = (
-    r"^(.*?)\s*\b(?:excluding|except(?: for)?|apart from|other than|instead of|"
-    r"rather than|without|besides)\b\s+(.+)$"
-)
+_ANY_WRAPPER = r"\b(?:" + "|".join(EXCLUSION_WRAPPERS) + r")\b"
+RULE_SPLIT_PATTERN = r"^(.*?)\s*" + _ANY_WRAPPER + r"\s+(.+)$"
 # Leading form: "<wrapper> B, A".
-RULE_LEADING_PATTERN = (
-    r"^\s*(?:excluding|except(?: for)?|apart from|other than|instead of|"
-    r"rather than|without|besides)\b\s+([^,]+),\s*(.+)$"
-)
+RULE_LEADING_PATTERN = r"^\s*" + _ANY_WRAPPER + r"\s+([^,]+),\s*(.+)$"
 
 # --- fixed values: request template of the decomposition step ------------------
 USER_TEMPLATE_HEAD = "Now decompose the following query.\n\nOriginal query:\n"

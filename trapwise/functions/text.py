@@ -68,8 +68,8 @@ def rule_decompose(query: Column | str) -> tuple[Column, Column]:
     (query, ""); trailing ``?.!`` removed.  Returns two columns.
     """
     q = ustrip(_c(query))
-    lead_pat = "(?i)" + config.RULE_LEADING_PATTERN
-    mid_pat = "(?i)" + config.RULE_SPLIT_PATTERN
+    lead_pat = "(?is)" + config.RULE_LEADING_PATTERN
+    mid_pat = "(?is)" + config.RULE_SPLIT_PATTERN
     lead_1, lead_2 = F.regexp_extract(q, lead_pat, 1), F.regexp_extract(q, lead_pat, 2)
     mid_1, mid_2 = F.regexp_extract(q, mid_pat, 1), F.regexp_extract(q, mid_pat, 2)
     # a match is seen from a non-empty group ("([^,]+)" / "(.+)" never match empty),
@@ -86,8 +86,8 @@ def decompose_frame(df, query: str, target: str = "Q_target", trap: str = "Q_tra
     """``rule_decompose`` as two projections: the four regex captures are
     computed once in their own columns (Spark keeps a non-cheap column that
     is read several times in its own projection), then combined."""
-    lead_pat = "(?i)" + config.RULE_LEADING_PATTERN
-    mid_pat = "(?i)" + config.RULE_SPLIT_PATTERN
+    lead_pat = "(?is)" + config.RULE_LEADING_PATTERN
+    mid_pat = "(?is)" + config.RULE_SPLIT_PATTERN
     q = ustrip(F.col(query))
     staged = df.select(*keep, q.alias("__q")).select(
         *keep, "__q",

@@ -576,7 +576,7 @@ def local_topn(scorer, n_top: int, max_bytes: int = config.QUERY_BLOCK_BYTES) ->
     score (ties: smaller doc id), with all three raw scores.  Every document
     in the global top ``n_top`` is among its own task's top ``n_top``, so a
     per-query window over these rows gives the exact global top ``n_top``.
-    Documents tied with the cut are all kept (``rank() <= n_top`` stays exact).
+    A task emits ``n_top`` rows per query at most, however many documents tie.
     """
     score, fixed = scorer.score_fn(), scorer.fixed_point
 
@@ -587,13 +587,7 @@ def local_topn(scorer, n_top: int, max_bytes: int = config.QUERY_BLOCK_BYTES) ->
             cand = {k: np.concatenate([pool[k], v], axis=1) for k, v in cand.items()}
         order = np.lexsort((cand["id"], -cand["R"]), axis=-1)
         srt = {k: np.take_along_axis(v, order, axis=1) for k, v in cand.items()}
-        m = min(n_top, srt["R"].shape[1])
-        kth = srt["R"][:, m - 1:m]
-        keep = (srt["R"] >= kth) & (srt["R"] != sentinel)
-        width = max(1, int(keep.sum(axis=1).max()))
-        out = {k: v[:, :width] for k, v in srt.items()}
-        out["R"] = np.where(keep[:, :width], out["R"], sentinel)
-        return out
+        return {k: v[:, :n_top] for k, v in srt.items()}
 
     def factory(bc):
         def kernel(batches):

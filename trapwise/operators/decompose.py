@@ -45,7 +45,8 @@ def parsed_lines(log: DataFrame) -> DataFrame:
                      F.get_json_object("__line", "$.q_target").alias("v_t_lower"),
                      F.get_json_object("__line", "$.Q_trap").alias("v_p_upper"),
                      F.get_json_object("__line", "$.q_trap").alias("v_p_lower"),
-                     F.get_json_object("__line", "$.system_prompt_sha256").alias("prompt_sha256"))
+                     F.get_json_object("__line", "$.system_prompt_sha256").alias("prompt_sha256"),
+                     _vtype("system_prompt_sha256").alias("sha_type"))
 
 
 def done_ids(log: DataFrame) -> DataFrame:
@@ -117,14 +118,16 @@ def pending_requests(sample: DataFrame, log: DataFrame, prompt_sha256: Column) -
                     prompt_sha256.alias("system_prompt_sha256"))
 
 
-def prompt_guard(log: DataFrame, current_sha256: Column) -> DataFrame:
+def prompt_guard(log: DataFrame, current_sha256: Column, allow_mixed: bool = False) -> DataFrame:
     """One row: recorded fingerprints, whether the current one is among them,
-    and whether appending is allowed (empty log, or current recorded)."""
+    and whether appending is allowed (empty log, current recorded, or
+    ``allow_mixed``: the caller accepts lines of several prompts)."""
     p = parsed_lines(log).where(F.col("is_object") & (F.coalesce(F.col("prompt_sha256"), F.lit("")) != ""))
+    p = p.where(F.col("sha_type") == "STRING")  # a hash that is not a string was never recorded by a run
     g = p.agg(F.count_distinct("prompt_sha256").alias("recorded_hashes"),
               F.count_if(F.col("prompt_sha256") == current_sha256).alias("current_lines"))
     return g.select("recorded_hashes", (F.col("current_lines") > 0).alias("current_recorded"),
-                    ((F.col("recorded_hashes") == 0) | (F.col("current_lines") > 0)).alias("allowed"))
+                    ((F.col("recorded_hashes") == 0) | (F.col("current_lines") > 0) | F.lit(allow_mixed)).alias("allowed"))
 
 
 def with_provenance(rows: DataFrame, model: str, prompt_path: str, prompt_sha256: Column) -> DataFrame:
@@ -144,4 +147,4 @@ def require_resolved(rejected: DataFrame, limit: int = 5) -> None:
     naming the first ``limit`` ids (reads at most ``limit`` rows)."""
     bad = [r["id"] for r in rejected.orderBy("id").limit(limit).collect()]
     if bad:
-        raise ValueError(f"Cached decomposition file is missing ids: {bad}")
+        raise ValueError(f"no valid decomposition for ids {bad}")

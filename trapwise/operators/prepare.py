@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trapwise.functions.text import compose_text, ustrip
+from trapwise.session import cut_lineage
 
 SKIP_REASON = "missing_positive_or_negative_passage_id"
 
@@ -68,18 +69,20 @@ def missing_docids(needed: DataFrame, resolved: DataFrame) -> DataFrame:
 def sequential_index(keys: DataFrame, order_col: str, partitions: int) -> DataFrame:
     """0-based dense index by ``order_col`` (unique), computed distributed.
 
-    Range-partition by the order column, count rows per partition, turn the
-    counts (one small row per partition) into offsets, and add each row's
-    position inside its partition.  No single task sees all keys.
+    Range-partition and sort by the order column, number the rows inside each
+    partition, and store that table once: counts and positions then come from
+    the same partition bounds.  The counts (one small row per partition) give
+    each partition's offset.  No single task sees all keys.
     """
-    r = keys.repartitionByRange(partitions, order_col).withColumn("_pid", F.spark_partition_id())
-    local = r.withColumn("_rn", F.row_number().over(Window.partitionBy("_pid").orderBy(order_col)))
-    counts = r.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    offs = counts.withColumn("_off", F.coalesce(F.sum("_n").over(
-        Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    out = local.join(F.broadcast(offs.select("_pid", "_off")), "_pid")
-    return out.withColumn("corpus_index", (F.col("_off") + F.col("_rn") - 1).cast("long")) \
-              .drop("_pid", "_rn", "_off")
+    row_bits = 33  # monotonically_increasing_id: partition above, row number below
+    r = cut_lineage(keys.repartitionByRange(partitions, order_col).sortWithinPartitions(order_col)
+                    .withColumn("_mid", F.monotonically_increasing_id()))
+    pid = F.shiftright("_mid", row_bits)
+    offs = r.groupBy(pid.alias("_pid")).agg(F.count(F.lit(1)).alias("_n")).select("_pid", F.coalesce(F.sum("_n").over(
+        Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    out = r.withColumn("_pid", pid).join(F.broadcast(offs), "_pid")  # one row per partition
+    return out.withColumn("corpus_index", (F.col("_off") + F.col("_mid").bitwiseAND((1 << row_bits) - 1)).cast("long")) \
+              .drop("_pid", "_mid", "_off")
 
 
 def corpus_index(kept: DataFrame, partitions: int | None = None) -> DataFrame:

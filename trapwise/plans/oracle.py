@@ -8,6 +8,8 @@ meant for the small scales only.
 
 from __future__ import annotations
 
+import itertools
+
 from trapwise import config
 
 KS = config.SWEEP_TOP_KS
@@ -218,8 +220,8 @@ def _clean(x: str) -> str:
 
 
 def rule_split(q: str) -> tuple[str, str]:
-    lead = "(?i)" + config.RULE_LEADING_PATTERN
-    mid = "(?i)" + config.RULE_SPLIT_PATTERN
+    lead = "(?is)" + config.RULE_LEADING_PATTERN
+    mid = "(?is)" + config.RULE_SPLIT_PATTERN
     lt, lp = _clean(f"regexp_extract({q}, '{lead}', 2)"), _clean(f"regexp_extract({q}, '{lead}', 1)")
     mt, mp = _clean(f"regexp_extract({q}, '{mid}', 1)"), _clean(f"regexp_extract({q}, '{mid}', 2)")
     has_lead = f"regexp_matches({q}, '{lead}')"
@@ -338,17 +340,28 @@ def _lit(v) -> str:
     return str(v)
 
 
-def _grid_cte(mode: str) -> str:
-    from trapwise.operators.fusion import build_grid
-
+def _grid_values(modes: tuple[str, ...]) -> tuple[str, int]:
+    """VALUES rows of the sweep grids (candidate list outermost, beta innermost), and the id step from mode to mode."""
+    step = len(config.DEFAULT_CANDIDATE_TOP_NS) * len(config.DEFAULT_ALPHAS) * len(config.DEFAULT_BETAS)
+    letter = {"full": "a", "no_target": "a", "target_minus_trap": "g"}
     rows = []
-    for g in build_grid(mode):
-        rows.append("(" + ", ".join(_lit(x) for x in (
-            g.grid_id, g.cand, g.a, g.g, g.b, g.method, g.alpha, g.gamma, g.beta,
-            None if g.cand is None else str(g.cand))) + ")")
+    for m, mode in enumerate(modes):
+        combos = itertools.product(config.DEFAULT_CANDIDATE_TOP_NS, config.DEFAULT_ALPHAS, config.DEFAULT_BETAS)
+        for i, (cand, weight, beta) in enumerate(combos):
+            hundredths = round(weight * 100)
+            base, target = (0, hundredths) if mode == "target_minus_trap" else (hundredths, 100 if mode == "full" else 0)
+            label = "all" if cand is None else cand
+            method = f"{config.METHOD_PREFIX[mode]}_c{label}_{letter[mode]}{weight:g}_b{beta:g}"
+            gamma = float(weight) if mode == "target_minus_trap" else None
+            rows.append("(" + ", ".join(map(_lit, (i + m * step, cand, base, target, round(beta * 100), method, float(weight), gamma,
+                                                   float(beta), None if cand is None else str(cand)))) + ")")
+    return ", ".join(rows), step
+
+
+def _grid_cte(*modes: str) -> str:
     return ("grid AS (SELECT grid_id::INTEGER AS grid_id, cand::INTEGER AS cand, a::BIGINT AS a, g::BIGINT AS g, "
             "b::BIGINT AS b, method, alpha::DOUBLE AS alpha, gamma::DOUBLE AS gamma, beta::DOUBLE AS beta, cand_label "
-            "FROM (VALUES " + ", ".join(rows) + ") t(grid_id, cand, a, g, b, method, alpha, gamma, beta, cand_label))")
+            f"FROM (VALUES {_grid_values(modes)[0]}) t(grid_id, cand, a, g, b, method, alpha, gamma, beta, cand_label))")
 
 
 def _fusion_ranks(key: str) -> str:
@@ -443,7 +456,7 @@ SELECT {_fusion_public()}, position FROM pos WHERE position <= {config.BEST_CONF
 
 def _topk(pairs: str, model_filter: str, k: int = 10) -> str:
     return _with(pairs) + f"""
-, r AS (SELECT qid, doc, answer_id, trap_id, RB, rank() OVER (PARTITION BY qid ORDER BY RB DESC) AS rk
+, r AS (SELECT qid, doc, answer_id, trap_id, RB, row_number() OVER (PARTITION BY qid ORDER BY RB DESC, doc ASC) AS rk
         FROM n WHERE {model_filter})
 SELECT qid, doc AS doc_id, rk AS rank, RB AS score_nano, doc = answer_id AS is_answer, doc = trap_id AS is_trap
 FROM r WHERE rk <= {k}"""
@@ -698,23 +711,18 @@ def model_comparison() -> str:
             f"GROUP BY condition, beta_i, beta")
 
 
-def _fusion_rows(mode: str) -> str:
-    k = "embedding_model"
-    return (_with(DENSE_PAIRS, _grid_cte(mode), _fusion_ranks(k), _fusion_summary(k))
-            + f"\nSELECT *, '{mode}' AS mode FROM rows_")
-
-
 def scoreboard() -> str:
+    """One pair table and one grid of all modes."""
+    k = "embedding_model"
+    modes = ("full", "no_target", "target_minus_trap")
+    step = _grid_values(modes)[1]
     cols = 'retriever, mode, method, samples, right_rank, "recall@5", "violation_rate@5", ' \
            'avg_recall_minus_violation, alpha, gamma, beta, candidate_top_n'
-    parts = ",\n".join(f"f{i} AS ({_fusion_rows(m)})" for i, m in enumerate(("full", "no_target", "target_minus_trap")))
-    return f"""WITH {parts},
-u AS (SELECT * FROM f0 UNION ALL SELECT * FROM f1 UNION ALL SELECT * FROM f2),
-best AS (SELECT *, row_number() OVER (PARTITION BY retriever, mode ORDER BY avg_recall_minus_violation DESC, grid_id ASC) AS rr
-         FROM u WHERE method <> 'baseline')
-SELECT {cols} FROM best WHERE rr = 1
-UNION ALL
-SELECT {cols.replace('mode,', "'baseline' AS mode,")} FROM u WHERE method = 'baseline' AND mode = 'full'"""
+    names = " ".join(f"WHEN {i} THEN '{m}'" for i, m in enumerate(modes))
+    return _with(DENSE_PAIRS, _grid_cte(*modes), _fusion_ranks(k), _fusion_summary(k)) + f"""
+, u AS (SELECT rows_.*, CASE WHEN method = 'baseline' THEN 'baseline' ELSE CASE grid_id // {step} {names} END END AS mode FROM rows_)
+, best AS (SELECT *, row_number() OVER (PARTITION BY retriever, mode ORDER BY avg_recall_minus_violation DESC, grid_id ASC) AS rr FROM u)
+SELECT {cols} FROM best WHERE rr = 1"""
 
 
 def hard_negatives() -> str:

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from trapwise.functions.text import compose_text, title_of, ustrip
 from trapwise.operators import prepare
 from trapwise.plans import lexical
+from trapwise.session import cut_lineage
 from trapwise.sources.tables import read_table
 
 CONFIG_ORDER = ("A", "B")
@@ -101,14 +102,15 @@ def corpus_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def boolq_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """20-column labelled sample (answer = doc1, trap = doc2)."""
     kept, _, _, resolved = _parts(spark, sf_dir)
-    ok = _complete(kept, resolved)
-    return prepare.sample_records(ok, prepare.corpus_index(ok), resolved)
+    resolved = cut_lineage(resolved)  # read by the filters and for both texts
+    ok = cut_lineage(_complete(kept, resolved))
+    return prepare.sample_records(ok, cut_lineage(prepare.corpus_index(ok)), resolved)
 
 
 def composition_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R9 + A17: per config - exported queries, referenced documents, skipped rows."""
     kept, skipped, _, resolved = _parts(spark, sf_dir)
-    ok = _complete(kept, resolved)
+    ok = cut_lineage(_complete(kept, cut_lineage(resolved.select("config", "docid"))))
     q = ok.groupBy("config").agg(F.count(F.lit(1)).alias("queries"))
     d = prepare.corpus_index(ok).groupBy("config").agg(F.count(F.lit(1)).alias("referenced_docs"))
     s = skipped.groupBy("config").agg(F.count(F.lit(1)).alias("skipped"))

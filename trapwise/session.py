@@ -54,6 +54,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)  # set in the conf only: register it for checkpoint()
         return current
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     path = tempfile.mkdtemp(prefix="trapwise-ckpt-")
     spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
@@ -85,8 +87,8 @@ def ship_package(spark: SparkSession) -> None:
     """Make ``trapwise`` importable in the Python workers (once per context).
 
     Kernels run inside ``mapInArrow`` tasks and refer to functions of this
-    package.  When the executors already have it installed nothing is done;
-    otherwise the package is zipped on the driver and distributed with
+    package.  Workers on the driver's own machine that can import it need
+    nothing; for a cluster the package is always zipped on the driver and distributed with
     ``addPyFile`` (Spark serves the file; executors never read a driver path).
     """
     import zipfile
@@ -96,8 +98,8 @@ def ship_package(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if getattr(sc, "_trapwise_shipped", False):
         return
-    if _workers_can_import(spark):
-        sc._trapwise_shipped = True
+    if sc.master.startswith("local[") and _workers_can_import(spark):
+        sc._trapwise_shipped = True  # one machine: what one worker finds, all find
         return
     pkg = os.path.dirname(os.path.abspath(trapwise.__file__))
     root = os.path.dirname(pkg)
