@@ -327,34 +327,38 @@ def spread(df: DataFrame, key: str | None = None) -> DataFrame:
     """Fit a kernel input to the kernel parallelism.
 
     A scan with fewer partitions (small files) is repartitioned up; one with
-    more (many input splits) is coalesced down without a shuffle, because
-    every kernel task emits O(queries x grid) partial rows whatever its size,
-    so the partial output should grow with cores, not with input splits.
+    more keeps its splits, so a task's share of the corpus does not depend on a session
+    setting.  The tasks' partial rows meet in partial and final aggregates.
     """
     p = kernel_parallelism(df.sparkSession)
     n = df.rdd.getNumPartitions()
     if n < p:
         # hash by ``key`` when given, so a later aggregate on it needs no shuffle
         return df.repartition(p, key) if key else df.repartition(p)
-    return df.coalesce(p) if n > p else df
+    return df
 
 
-def blocks_of(scorer, max_bytes: int) -> list[dict]:
-    """The scorer's query blocks, size-checked and collected once per scorer
-    (every pass of a job broadcasts the same blocks)."""
+def blocks_of(scorer, max_bytes: int) -> tuple[int, Iterator[dict]]:
+    """The number of the scorer's query blocks and one after the other.
+
+    A single block is collected once per scorer (every pass of a job broadcasts
+    it); of several, the driver holds one at a time.
+    """
     cache = scorer.__dict__.setdefault("_blocks", {})
-    if max_bytes not in cache:
-        n_blocks = scorer.block_count(max_bytes)
-        cache[max_bytes] = [scorer.collect_block(b, n_blocks) for b in range(n_blocks)]
-    return cache[max_bytes]
+    if max_bytes in cache:
+        return 1, iter([cache[max_bytes]])
+    n_blocks = scorer.block_count(max_bytes)
+    if n_blocks == 1:
+        cache[max_bytes] = scorer.collect_block(0, 1)
+        return 1, iter([cache[max_bytes]])
+    return n_blocks, (scorer.collect_block(b, n_blocks) for b in range(n_blocks))
 
 
 def _run(scorer, kernel_factory, schema: T.StructType, profile: DataFrame | None,
          scalar_cols: Sequence[str], max_bytes: int) -> DataFrame:
     spark = scorer.doc_input().sparkSession
     ship_package(spark)
-    blocks = blocks_of(scorer, max_bytes)
-    n_blocks = len(blocks)
+    n_blocks, blocks = blocks_of(scorer, max_bytes)
     parts = []
     for b, cached in enumerate(blocks):
         blk = dict(cached)

@@ -130,10 +130,13 @@ def prompt_guard(log: DataFrame, current_sha256: Column, allow_mixed: bool = Fal
                     ((F.col("recorded_hashes") == 0) | (F.col("current_lines") > 0) | F.lit(allow_mixed)).alias("allowed"))
 
 
-def with_provenance(rows: DataFrame, model: str, prompt_path: str, prompt_sha256: Column) -> DataFrame:
-    """Provenance columns stamped on each returned decomposition."""
+def with_provenance(rows: DataFrame, model: str, prompt_path: str, prompt_sha256: Column,
+                    usage: Column | None = None) -> DataFrame:
+    """Provenance columns stamped on each returned decomposition; ``usage`` is
+    the JSON that the model service reported (null: none)."""
     return rows.select("*", F.lit(model).alias("rewriter_model"), F.lit(prompt_path).alias("system_prompt_path"),
-                       prompt_sha256.alias("system_prompt_sha256"))
+                       prompt_sha256.alias("system_prompt_sha256"),
+                       (F.lit(None).cast("string") if usage is None else usage).alias("usage"))
 
 
 def prompt_fingerprint(spark, path: str) -> DataFrame:

@@ -680,6 +680,32 @@ SELECT line_no, {ustrip("coalesce(v_t_lower, '')")} AS q_target, {ustrip("coales
 FROM pl WHERE is_object"""
 
 
+# ------------------------------------------------------------------ files
+
+def turns() -> str:
+    return "SELECT conv_id::BIGINT AS conv_id, turn::INTEGER AS turn, role, text FROM conversations"
+
+
+def needed_corpus(cols: str) -> str:
+    return f"""SELECT {cols} FROM (SELECT doc_id AS docid, text AS doc, lang FROM documents)
+WHERE docid IN (SELECT doc_id FROM labels WHERE quality = 1)"""
+
+
+def strict_log() -> str:
+    return f"SELECT id, Q_target, Q_trap FROM ({resolved_decompositions()})"
+
+
+def stored_scores() -> str:
+    return f"SELECT embedding_model AS retriever, * EXCLUDE (embedding_model) FROM ({dense_query_profile()}) WHERE embedding_model = 'm32'"
+
+
+def provenance_rows() -> str:
+    return f"""SELECT *, 'rules-v1' AS rewriter_model, 'prompts/split.txt' AS system_prompt_path,
+sha256('Split the query into what is wanted and what is not.' || chr(10)) AS system_prompt_sha256,
+'{{"input_chars":' || length(query) || ',"output_chars":' || (length(Q_target) + length(Q_trap)) || '}}' AS usage
+FROM ({resolved_decompositions()})"""
+
+
 # ------------------------------------------------------------------ reports
 
 def _sweep_with_source(pairs: str) -> str:

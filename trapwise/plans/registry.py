@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trapwise.plans import decompose, dense, fusion, lexical, oracle, prepare, reports
+from trapwise.plans import decompose, dense, fusion, lexical, oracle, prepare, reports, roundtrips
 
 QUERIES = {
     "dense_beta_sweep": dense.dense_beta_sweep,
@@ -46,6 +46,14 @@ QUERIES = {
     "scoreboard": reports.scoreboard,
     "hard_negatives": reports.hard_negatives,
     "role_swap": reports.role_swap,
+    "csv_turns": roundtrips.csv_turns,
+    "tsv_turns": roundtrips.tsv_turns,
+    "jsonl_corpus": roundtrips.jsonl_corpus,
+    "parquet_corpus": roundtrips.parquet_corpus,
+    "strict_log": roundtrips.strict_log,
+    "stored_scores": roundtrips.stored_scores,
+    "sweep_csv": roundtrips.sweep_csv,
+    "provenance_rows": roundtrips.provenance_rows,
 }
 
 ORACLE = {
@@ -90,4 +98,12 @@ ORACLE = {
     "scoreboard": oracle.scoreboard(),
     "hard_negatives": oracle.hard_negatives(),
     "role_swap": oracle.role_swap(),
+    "csv_turns": oracle.turns(),
+    "tsv_turns": oracle.turns(),
+    "jsonl_corpus": oracle.needed_corpus("docid, doc, lang"),
+    "parquet_corpus": oracle.needed_corpus("docid, doc"),
+    "strict_log": oracle.strict_log(),
+    "stored_scores": oracle.stored_scores(),
+    "sweep_csv": oracle.dense_tradeoff(),
+    "provenance_rows": oracle.provenance_rows(),
 }
