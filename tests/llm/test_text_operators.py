@@ -64,11 +64,16 @@ def brute_lines(rows, edits, min_chars, min_docs=1):
             if len(x) >= min_chars:
                 first.setdefault(x, (i, n))
                 docs[x].add(i)
-    near = defaultdict(list)
+    near, bag = defaultdict(list), {x: Counter(x) for x in first}
+    by_size = defaultdict(list)
+    for x in first:
+        by_size[len(x)].append(x)
     for a in first:
-        for b in first:
-            if a != b and abs(len(a) - len(b)) <= edits and distance(a, b) <= edits:
-                near[a].append(b)
+        for size in range(len(a) - edits, len(a) + edits + 1):
+            for b in by_size[size]:
+                # an edit changes two letter counts at most
+                if a != b and sum((bag[a] - bag[b]).values()) <= edits and distance(a, b) <= edits:
+                    near[a].append(b)
     out = {}
     for i, t in rows:
         gone, close = set(), 0

@@ -121,11 +121,11 @@ def judge_quality(documents: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
 def keep_quality(documents: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
     """The rows of ``documents`` that :func:`judge_quality` keeps, with all their columns.
 
-    The base rule is an expression on the row; only the rejected hosts are joined.
+    The rows are written once with their base verdict: a filter on the counts would be pushed
+    below them and compute them again for every use.
     """
-    counts = stage_table(base_counts(need(documents, doc_id="long", text="string", source="string"))
-                         .select("source", "base_failed"), "quality-failures")
-    rejected = stage_table(host_verdicts(counts, limit).where("not host_ok").select("source"), "quality-hosts")
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
                             F.col("source").cast("string").alias("source"), F.struct(*documents.columns).alias("_row"))
-    return base_counts(rows, keep=("_row",)).where("not base_failed").join(rejected, "source", "left_anti").select("_row.*")
+    judged = stage_table(base_counts(rows, keep=("_row",)).select("source", "base_failed", "_row"), "quality-rows")
+    rejected = stage_table(host_verdicts(judged, limit).where("not host_ok").select("source"), "quality-hosts")
+    return judged.where("not base_failed").join(rejected, "source", "left_anti").select("_row.*")
