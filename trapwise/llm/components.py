@@ -29,7 +29,7 @@ def connected(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         both = edges.select(F.col("low").alias("u"), F.col("high").alias("v")) \
             .unionByName(edges.select(F.col("high").alias("u"), F.col("low").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("_m")).select("u", F.least("u", "_m").alias("_m"))
-        large = both.where("v > u").join(least, "u").select(F.col("_m").alias("low"), F.col("v").alias("high")).distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("_m").alias("low"), F.col("v").alias("high"))
         first = large.groupBy("high").agg(F.min("low").alias("_m"))
         small = large.join(first, "high")
         edges = stage_table(

@@ -37,7 +37,7 @@ from trapwise.session import ship_package
 
 SKETCH = 64
 #: pivots of each list, round by round; later rounds only see lists that hold several components
-PIVOTS = (3, 8, 32)
+PIVOTS = (4, 24)
 #: standard deviations that the overlap of two sketches may fall short of what is expected
 SLACK = 5.0
 
@@ -94,6 +94,22 @@ def _set_kernel(width: int):
     return run
 
 
+def _flat_kernel(width: int):
+    """(rep, value) for each shingle of a text's set."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from trapwise.llm.arrowtext import slices
+
+        for batch in batches:
+            for part in slices(batch, limit=1 << 20):
+                sets = _sets(part.column("text"), width)
+                rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("rep").take(pa.array(rows)), pa.array(np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64))],
+                    names=["rep", "value"])
+
+    return run
+
+
 def _estimate_kernel(similarity: float, slack: float):
     """Drops pairs whose union sketch shares too little."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,6 +145,21 @@ def _exact_kernel(percent: int):
     return run
 
 
+def _shared_sizes(apart: DataFrame, texts: DataFrame, width: int, name: str) -> DataFrame:
+    """(rep, m): how many of a set's shingles another set in ``apart`` holds too.
+
+    No overlap with another member can be larger, which rules out members with
+    many shingles of their own before any pair is made.
+    """
+    members = apart.select("rep").distinct()
+    flat = stage_table(join_rows(texts, members, "rep", "left_semi").select("rep", "text")
+                       .mapInArrow(_flat_kernel(width), "rep long, value long"), name)
+    often = flat.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("value")
+    out = stage_table(flat.join(often, "value", "left_semi").groupBy("rep").agg(F.count_distinct("value").alias("m")), name + "-sizes")
+    release(flat)
+    return out
+
+
 def _confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame, width: int, percent: int, name: str) -> DataFrame:
     """Those of the distinct ``pairs(a, b)`` that are links."""
     s = percent / 100
@@ -137,6 +168,8 @@ def _confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame, width: int,
         pairs.join(sk.withColumnsRenamed({"rep": "a", "sketch": "sketch_a"}), "a")
         .join(sk.withColumnsRenamed({"rep": "b", "sketch": "sketch_b"}), "b").select("a", "b", "sketch_a", "sketch_b")
         .mapInArrow(_estimate_kernel(s, SLACK), "a long, b long"), name + "-likely")
+    if likely.isEmpty():
+        return likely
     members = likely.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
     sets = stage_table(join_rows(texts, members, "rep", "left_semi").select("rep", "text")
                        .mapInArrow(_set_kernel(width), "rep long, shingles binary").dropDuplicates(["rep"]), name + "-sets")
@@ -178,23 +211,25 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, k:
     lists = stage_table(shared.where(reads > 0).select("rep", "n_shingles", F.explode(F.slice("_shared", 1, reads)).alias("_p"))
                         .select("rep", "n_shingles", F.col("_p.value").alias("value")), "near-lists")
 
-    similar = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    # an overlap is at most what each set shares with others at all
+    most = F.least("m_a", "m_b")
+    similar = 100 * most >= percent * (F.col("n_a") + F.col("n_b") - most)
     source = texts.withColumnRenamed("doc_id", "rep")
-    apart = lists.withColumn("_group", F.col("rep"))
-    links, groups = None, None
+    apart = lists.withColumn("_group", F.col("rep")).withColumn("m", F.col("n_shingles"))
+    links, groups, sizes = None, None, None
     for turn, n_pivots in enumerate([*PIVOTS, None]):
         if n_pivots is None:
-            x = apart.select("value", F.col("rep").alias("a"), F.col("n_shingles").alias("n_a"), F.col("_group").alias("_ga"))
-            y = apart.select("value", F.col("rep").alias("b"), F.col("n_shingles").alias("n_b"), F.col("_group").alias("_gb"))
+            x = apart.select("value", F.col("rep").alias("a"), F.col("n_shingles").alias("n_a"), F.col("m").alias("m_a"), F.col("_group").alias("_ga"))
+            y = apart.select("value", F.col("rep").alias("b"), F.col("n_shingles").alias("n_b"), F.col("m").alias("m_b"), F.col("_group").alias("_gb"))
             pairs = x.join(y, "value").where((F.col("a") < F.col("b")) & (F.col("_ga") != F.col("_gb")) & similar).select("a", "b")
         else:
             # the smallest hashes under several seeds: lists of one group choose the same pivots
             pivot = apart.groupBy("value").agg(*[
                 F.min(F.struct(F.xxhash64("rep", F.lit(turn * 1000 + i)).alias("t"), F.col("rep").alias("p"), F.col("n_shingles").alias("n_b"),
-                               F.col("_group").alias("_gp"))).alias(f"_{i}") for i in range(n_pivots)])
+                               F.col("m").alias("m_b"), F.col("_group").alias("_gp"))).alias(f"_{i}") for i in range(n_pivots)])
             pivot = pivot.select("value", F.explode(F.array_distinct(F.transform(
-                F.array(*[f"_{i}" for i in range(n_pivots)]), lambda x: F.struct(x["p"].alias("p"), x["n_b"].alias("n_b"), x["_gp"].alias("_gp"))))).alias("_p"))
-            pairs = apart.withColumnRenamed("n_shingles", "n_a").join(pivot.select("value", "_p.*"), "value") \
+                F.array(*[f"_{i}" for i in range(n_pivots)]), lambda x: F.struct(x["p"].alias("p"), x["n_b"].alias("n_b"), x["m_b"].alias("m_b"), x["_gp"].alias("_gp"))))).alias("_p"))
+            pairs = apart.withColumnsRenamed({"n_shingles": "n_a", "m": "m_a"}).join(pivot.select("value", "_p.*"), "value") \
                 .where((F.col("_group") != F.col("_gp")) & similar).select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b"))
         found = _confirmed(pairs.distinct(), reps, source, width, percent, f"near-{turn}")
         links = found if links is None else links.unionByName(found)
@@ -206,7 +241,10 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, k:
             "value", "rep", "n_shingles", F.coalesce("component", "rep").alias("_group"))
         mixed = put.groupBy("value").agg(F.min("_group").alias("_low"), F.max("_group").alias("_high"), F.count(F.lit(1)).alias("_n")) \
                    .where("_low <> _high and _n > 2").select("value")
-        apart = stage_table(put.join(mixed, "value", "left_semi"), "near-apart")
+        apart = put.join(mixed, "value", "left_semi")
+        if sizes is None:
+            sizes = _shared_sizes(stage_table(apart, "near-mixed"), source, width, "near-shared")
+        apart = stage_table(apart.join(sizes, "rep").where(100 * F.col("m") >= percent * F.col("n_shingles")), "near-apart")
         if apart.isEmpty():
             break
     out = members.join(groups, members["class_id"] == groups["node"], "left") \
