@@ -35,12 +35,11 @@ def release(*tables: DataFrame) -> None:
     Also lets Spark's cleaner drop the shuffle files of finished steps, which it does when the
     driver's unused plans are collected.
     """
-    spark = tables[0].sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    sc = tables[0].sparkSession.sparkContext
     for t in tables:
-        path = jvm.org.apache.hadoop.fs.Path(t._staged_at)
-        path.getFileSystem(conf).delete(path, True)
-    jvm.System.gc()
+        path = sc._jvm.org.apache.hadoop.fs.Path(t._staged_at)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    sc._jvm.System.gc()
 
 
 def shuffle_width(spark: SparkSession) -> int:

@@ -6,7 +6,8 @@ offset.  The windows of one anchor form a run; a run's context (its windows'
 bytes) is all that its windows need.  Only contexts whose anchor string occurs
 again are compared:
 
-1. anchors of all documents are counted by hash (a partial aggregate);
+1. anchors of all documents are counted by hash (a partial aggregate), and of the repeated ones the longer
+   strings around them, one of which every window holds;
 2. equal contexts are folded into their first occurrence (again partial, so a
    passage that a third of all documents share is one context);
 3. the distinct contexts of an anchor meet in one task, where a suffix array of
@@ -91,6 +92,33 @@ def _anchor_kernel(length: int, gram: int):
     return run
 
 
+def _reach_kernel(length: int, gram: int):
+    """Longer strings around the listed anchors, one of which every window of the run holds.
+
+    A window reaches ``half`` bytes beyond the anchor string on one side at least.
+    """
+    half = (length - gram) // 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text, ids, wanted = batch.column("text"), batch.column("doc_id").to_pylist(), batch.column("firsts")
+            for i in range(batch.num_rows):
+                data = _bytes(text, i)
+                raw = data.tobytes()
+                _, place, first, last = anchors(data, length, gram)
+                mine = np.isin(first, wanted[i].values.to_numpy(zero_copy_only=False))
+                place, first, last = place[mine], first[mine], last[mine]
+                right, left = place - last <= length - gram - half, place - first > length - gram - half
+                found = [(raw[a:a + gram + half], f) for a, f in zip(place[right].tolist(), first[right].tolist(), strict=True)]
+                found += [(b"<" + raw[a - half:a + gram], f) for a, f in zip(place[left].tolist(), first[left].tolist(), strict=True)]
+                keys = np.frombuffer(b"".join(hashlib.blake2b(k, digest_size=8).digest() for k, _ in found), np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys), pa.array(np.full(len(keys), ids[i]), pa.int64()), pa.array([f for _, f in found], pa.int32())],
+                    names=["key", "doc_id", "first"])
+
+    return run
+
+
 def _context_kernel(length: int, gram: int):
     """The contexts of the listed runs of each document."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,8 +290,15 @@ def find_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, m
     runs = stage_table(reps.mapInArrow(_anchor_kernel(length, gram), "anchor long, doc_id long, first int"), "repeat-anchors")
     again = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
     wanted = runs.join(again, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_set("first").alias("firsts"))  # at most a document's runs
-    chosen = stage_table(join_rows(texts, wanted, "doc_id", "inner"), "repeat-texts")
+    some = stage_table(join_rows(texts, wanted, "doc_id", "inner"), "repeat-some")
     release(runs)
+    # short strings repeat by chance: only runs with a repeated longer string go on
+    reach = stage_table(some.mapInArrow(_reach_kernel(length, gram), "key long, doc_id long, first int"), "repeat-reach")
+    again = reach.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    wanted = stage_table(reach.join(again, "key", "left_semi").groupBy("doc_id").agg(F.collect_set("first").alias("firsts")), "repeat-wanted")
+    release(reach)
+    chosen = stage_table(join_rows(some.drop("firsts"), wanted, "doc_id", "inner"), "repeat-texts")
+    release(some, wanted)
 
     contexts = stage_table(chosen.mapInArrow(_context_kernel(length, gram),
                                              "anchor long, digest binary, doc_id long, first int, lead int, context binary"), "repeat-contexts")
