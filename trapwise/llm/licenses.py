@@ -234,8 +234,13 @@ def scan_licences(documents: DataFrame, max_sample: int = MAX_SAMPLE, seed: int
     d = need(documents, doc_id="long", text="string")
     lines = d.select(F.explode(F.split("text", "\n")).alias("line")).where(
         (F.char_length(F.trim("line")) > 0) & (F.char_length("line") <= MAX_SAMPLE_CHARS))
-    # the sample does not depend on the partitions: the smallest hashes of all lines
-    sample = [r.line for r in lines.select("line", F.xxhash64(F.lit(seed), F.col("line")).alias("h")).orderBy("h", "line").limit(max_sample).collect()]
+    # the sample does not depend on the partitions: the smallest hashes of all distinct lines.  A cut at the
+    # hash that about four times as many lines pass keeps what the tasks send to the driver that small
+    share = min(1.0, 4 * max_sample / max(1, lines.count()))
+    hashed = lines.select("line", F.xxhash64(F.lit(seed), F.col("line")).alias("h"))
+    if share < 1:
+        hashed = hashed.where(F.col("h") <= int(-(1 << 63) + share * (1 << 64)))
+    sample = [r.line for r in hashed.distinct().orderBy("h", "line").limit(max_sample).collect()]
     known = [{*map(str.lower, x.replace(".", " ").split())} for t in TEMPLATES.values() for x in t]
     sample = [s for s in sample if not any(len(k & {*s.lower().replace(".", " ").split()}) >= CONFIRM * len(k) for k in known)]
     model = spark.sparkContext.broadcast(fit(sample, seed))  # 2^BITS rows of 4 bytes a class: fixed size
