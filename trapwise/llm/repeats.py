@@ -285,11 +285,12 @@ def find_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, m
     classes = base.groupBy("sha").agg(F.min("doc_id").alias("class_id"))
     classed = stage_table(base.join(classes, "sha"), "repeat-classes")
     firsts = classed.where(f"doc_id = class_id and n_bytes >= {length}").select("doc_id").distinct()
-    reps = join_rows(texts, firsts, "doc_id", "left_semi")
 
-    runs = stage_table(reps.mapInArrow(_anchor_kernel(length, gram), "anchor long, doc_id long, first int"), "repeat-anchors")
+    # copies are counted too, which spares a shuffle of all texts; their runs are left out right after
+    runs = stage_table(texts.select("doc_id", "text").mapInArrow(_anchor_kernel(length, gram), "anchor long, doc_id long, first int"), "repeat-anchors")
     again = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
     wanted = runs.join(again, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_set("first").alias("firsts"))  # at most a document's runs
+    wanted = wanted.join(firsts, "doc_id", "left_semi")
     some = stage_table(join_rows(texts, wanted, "doc_id", "inner"), "repeat-some")
     release(runs)
     # short strings repeat by chance: only runs with a repeated longer string go on
