@@ -38,3 +38,11 @@ def test_copies_leave_one_document_at_any_group_size(spark, tmpdir_path):
     pieces = pipeline.run(spark, corpus(spark, tmpdir_path, texts)).collect()
     assert Counter(group[i] for i in {r.doc_id for r in pieces}) == Counter(set(group))
     assert all(r.doc_tokens > 10 for r in pieces)
+
+
+def test_lines_go_from_their_second_occurrence(spark):
+    rng = random.Random(4)
+    shared, own = sentence(rng, 20), [sentence(rng, 30) for _ in range(4)]
+    docs = spark.createDataFrame([(1, f"{own[0]}\n{shared}"), (2, f"{shared}\n{own[1]}"), (3, f"{own[2]}\n{own[2]}\n{own[2]}"), (4, own[3])], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pipeline.lines(spark, docs, "").collect()}
+    assert got == {1: f"{own[0]}\n{shared}", 2: own[1], 3: own[2], 4: own[3]}
