@@ -9,6 +9,9 @@ shift allows.  Probes and segments meet in one equality join on hashed
 whose counts differ by more are dropped inside the join; every other pair of different lines is
 verified with a banded bit-parallel edit distance.
 
+Shorter lines are not linked; their equal copies can go too (``short_copies``, as the registered
+queries have it): these need only the aggregate by hash.
+
 Copies of a line are one entry of the join, so a line that a third of all
 documents share is not expanded.  The first occurrence (by doc_id, then line
 number) of a group of linked lines stays: a line goes when an earlier line is

@@ -14,7 +14,7 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = line_dedup.dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"), short_copies=True)
     return out.select("doc_id", "lines_total", "lines_removed", "lines_near", F.sha2("text", 256).alias("kept_sha256"))
 
 
