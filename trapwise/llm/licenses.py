@@ -3,8 +3,9 @@
 A paragraph is a line; it is read in overlapping windows of ``WINDOW`` words.
 A multinomial logistic regression on hashed word one- and two-grams gives each
 window a licence family or ``unknown``; its temperature and its cut are
-calibrated on rows that the weights have not seen.  A family counts only when the
-window also holds most word pairs of one of the family's templates.
+calibrated on rows that the weights have not seen.  All families are looked up in a window that
+passes: one counts when the window and the words around it hold most word pairs of one of its templates and the pair that
+names it.  Where none does, the likeliest family counts if the window holds most pairs of a template.
 
 Training rows are variants of the templates (words dropped, spelling of case and
 marks changed, surrounded by corpus words) and, as ``unknown``, a bounded
@@ -41,8 +42,16 @@ TEMPLATES = {
             "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License, Version 2.0."),
 }
+#: word pairs that tell a family from the others: a template with such a pair needs it
+NAMES = {
+    "Apache-2.0": ("apache license",), "BSD": ("bsd license", "bsd 3"), "CC-BY": ("by 4.0", "attribution 4.0"),
+    "CC-BY-NC": ("by nc", "attribution noncommercial"), "CC-BY-SA": ("by sa", "attribution sharealike"), "GPL": ("gnu general",),
+    "LGPL": ("lesser general",), "MIT": ("mit license",), "MPL-2.0": ("mozilla public",),
+}
 UNKNOWN = "unknown"
 WINDOW, STRIDE = 40, 10
+#: narrow windows, for short notices inside other text
+NARROW, NARROW_STRIDE = 16, 4
 BITS = 18
 #: corpus paragraphs that the classifier learns ``unknown`` from, and their longest text
 MAX_SAMPLE, MAX_SAMPLE_CHARS = 3000, 2000
@@ -84,6 +93,10 @@ class Model:
         for name, texts in TEMPLATES.items():
             h, ends = _words(list(texts))
             self.templates[name] = [_pairs(h[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        self.names = {}
+        for name, texts in NAMES.items():
+            h, ends = _words(list(texts))
+            self.names[name] = set().union(*(_pairs(h[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)))
 
     def probabilities(self, sums: np.ndarray) -> np.ndarray:
         z = (sums + self.bias) / self.temperature
@@ -94,30 +107,51 @@ class Model:
         own = _pairs(window)
         return any(len(t & own) >= CONFIRM * len(t) for t in self.templates[family])
 
-    def scan(self, paragraphs: list[str]) -> Iterator[tuple[int, str, float, bool]]:
-        """(paragraph, family, probability, confirmed) where a window passes the cut; its best window."""
+    def named(self, words: np.ndarray) -> set[str]:
+        """Families with most pairs of a template in ``words``, the naming one among them."""
+        own = _pairs(words)
+        return {f for f, templates in self.templates.items()
+                if any(len(t & own) >= CONFIRM * len(t) and t & self.names[f] <= own for t in templates)}
+
+    def scan(self, paragraphs: list[str]) -> Iterator[tuple[int, str | None, float]]:
+        """(paragraph, family, probability): every confirmed family of the windows that pass the cut, with its best one;
+        family null where windows pass and none is confirmed."""
         h, ends = _words(paragraphs)
+        yield from self.scan_words(h, ends)
+
+    def scan_words(self, h: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, str | None, float]]:
+        """As :meth:`scan`, for paragraphs given by word hashes and offsets."""
         if not len(h):
             return
+        n = np.diff(ends)
         one, two = _terms(h)
         part = self.weights[one].astype(np.float64)
-        owner = np.repeat(np.arange(len(paragraphs)), np.diff(ends))
+        owner = np.repeat(np.arange(len(n)), n)
         part[:-1][owner[1:] == owner[:-1]] += self.weights[two[owner[1:] == owner[:-1]]]
         total = np.concatenate([np.zeros((1, part.shape[1])), np.cumsum(part, axis=0)])
-        n = np.diff(ends)
-        count = np.where(n > 0, np.maximum(0, -(-(n - WINDOW) // STRIDE)) + 1, 0)
-        row = np.repeat(np.arange(len(paragraphs)), count)
-        start = ends[:-1][row] + STRIDE * (np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count))
-        stop = np.minimum(start + WINDOW, ends[1:][row])
-        p = self.probabilities(total[stop] - total[start])
-        licence = 1 - p[:, -1]
-        best: dict[int, tuple] = {}
-        for i in np.flatnonzero(licence >= self.cut).tolist():
-            family = self.classes[int(p[i, :-1].argmax())]
-            found = (self.confirms(family, h[start[i]:stop[i]]), float(licence[i]), family)
-            best[row[i]] = max(best.get(row[i], found), found)
-        for r, (confirmed, score, family) in sorted(best.items()):
-            yield int(r), family, score, confirmed
+        found: dict[int, dict] = {}
+        for width, stride in ((WINDOW, STRIDE), (NARROW, NARROW_STRIDE)):
+            count = np.where(n > 0, np.maximum(0, -(-(n - width) // stride)) + 1, 0)
+            if width == NARROW:
+                count[n <= width] = 0  # read whole already
+            row = np.repeat(np.arange(len(n)), count)
+            start = ends[:-1][row] + stride * (np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count))
+            stop = np.minimum(start + width, ends[1:][row])
+            p = self.probabilities(total[stop] - total[start])
+            licence = 1 - p[:, -1]
+            for i in np.flatnonzero(licence >= self.cut).tolist():
+                # a notice that the window cuts off is read on: its name may follow
+                around = h[max(ends[row[i]], start[i] - WINDOW // 2):min(ends[row[i] + 1], stop[i] + WINDOW // 2)]
+                families = self.named(around)
+                likely = self.classes[int(p[i, :-1].argmax())]
+                if not families and width == WINDOW:
+                    families = {likely if self.confirms(likely, h[start[i]:stop[i]]) else None}
+                for f in families:
+                    own = found.setdefault(int(row[i]), {})
+                    own[f] = max(own.get(f, 0.0), float(licence[i]))
+        for r, own in sorted(found.items()):
+            for f in sorted(own.keys() - {None}) or [None]:
+                yield r, f, own[f]
 
 
 def _pairs(h: np.ndarray) -> set:
@@ -207,10 +241,10 @@ def _scan_kernel(model):
                     out[i][0] = len(own)
                     lines += own
                     owner += [i] * len(own)
-                for k, family, score, confirmed in model.value.scan(lines):
+                for k, family, score in model.value.scan(lines):
                     o = out[owner[k]]
-                    o[1 if confirmed else 2] += 1
-                    if confirmed:
+                    o[1 if family else 2] += 1
+                    if family:
                         o[3].add(family)
                         o[4] = max(o[4], score)
                 yield pa.RecordBatch.from_arrays(
@@ -224,8 +258,8 @@ def _scan_kernel(model):
 def scan_licences(documents: DataFrame, max_sample: int = MAX_SAMPLE, seed: int = 5) -> DataFrame:
     """(doc_id, n_paragraphs, n_licences, n_unconfirmed, families, score) for every row of ``documents(doc_id, text)``.
 
-    ``n_licences`` paragraphs hold a confirmed notice, of the comma-joined
-    ``families`` (null: none); ``n_unconfirmed`` look like one but match no template.  Paragraphs are the
+    ``n_licences`` counts confirmed notices, each family of a paragraph once, of the comma-joined
+    ``families`` (null: none); ``n_unconfirmed`` paragraphs look like one but match no template.  Paragraphs are the
     lines with something other than white space; a null or empty text has none.  Repeated rows are
     scanned like any; an empty table gives none.
     """
