@@ -1,6 +1,7 @@
 """Several notices in one paragraph, and notices wrapped over lines."""
 
 import random
+import textwrap
 
 import pyarrow as pa
 import pytest
@@ -43,3 +44,23 @@ def test_related_families_are_told_apart(scan):
     lesser = "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"
     got = scan(*(t for _, t in every), lesser)
     assert [r["families"] for r in got] == [f for f, _ in every] + ["LGPL"]
+
+
+WRAPPED = {
+    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), "
+           "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense",
+    "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "GPL": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
+           "the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+}
+
+
+@pytest.mark.parametrize("mark", ["", "# ", " * ", "// ", "dnl ", '.\\" '])
+@pytest.mark.parametrize("columns", [35, 70, 80])
+def test_wrapped_notices(scan, columns, mark):
+    wrapped = {f: "\n".join(mark + x for x in textwrap.wrap(t, columns - len(mark))) for f, t in WRAPPED.items()}
+    blank = f"\n{mark.rstrip()}\n"
+    got = scan(*wrapped.values(), blank.join(["int x = 1;", *wrapped.values(), scan.filler[5]]), None, "", "\n\n")
+    assert [r["families"] for r in got] == [*wrapped, "BSD,GPL,MIT", None, None, None]
+    assert [r["n_licences"] for r in got] == [1, 1, 1, 3, 0, 0, 0]
+    assert [r["n_paragraphs"] for r in got[-3:]] == [0, 0, 0]

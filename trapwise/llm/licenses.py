@@ -1,11 +1,13 @@
 """Licence scans: a trained paragraph classifier confirmed by templates.
 
-A paragraph is a line; it is read in overlapping windows of ``WINDOW`` words.
+A paragraph is a line; it is read in overlapping windows of ``WINDOW`` words.  Runs of lines with words are
+read again as one run of words, for notices that are wrapped over lines.
 A multinomial logistic regression on hashed word one- and two-grams gives each
 window a licence family or ``unknown``; its temperature and its cut are
 calibrated on rows that the weights have not seen.  All families are looked up in a window that
 passes: one counts when the window and the words around it hold most word pairs of one of its templates and the pair that
-names it.  Where none does, the likeliest family counts if the window holds most pairs of a template.
+names it.  Where none does, the likeliest family counts if the window holds most pairs of a template and no
+other family is named.
 
 Training rows are variants of the templates (words dropped, spelling of case and
 marks changed, surrounded by corpus words) and, as ``unknown``, a bounded
@@ -14,6 +16,7 @@ sample of corpus paragraphs.  Everything else covers all paragraphs in full.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,6 +51,8 @@ NAMES = {
     "CC-BY-NC": ("by nc", "attribution noncommercial"), "CC-BY-SA": ("by sa", "attribution sharealike"), "GPL": ("gnu general",),
     "LGPL": ("lesser general",), "MIT": ("mit license",), "MPL-2.0": ("mozilla public",),
 }
+#: comment marks that are words; all others are dropped with the punctuation
+COMMENT = re.compile(r"""^\s*(?:\.\\"|(?:REM|rem|dnl)\b)""")
 UNKNOWN = "unknown"
 WINDOW, STRIDE = 40, 10
 #: narrow windows, for short notices inside other text
@@ -145,7 +150,9 @@ class Model:
                 families = self.named(around)
                 likely = self.classes[int(p[i, :-1].argmax())]
                 if not families and width == WINDOW:
-                    families = {likely if self.confirms(likely, h[start[i]:stop[i]]) else None}
+                    other = set().union(*(pairs for f, pairs in self.names.items() if f != likely))
+                    clear = not other & _pairs(around)  # another family's name stands there
+                    families = {likely if clear and self.confirms(likely, h[start[i]:stop[i]]) else None}
                 for f in families:
                     own = found.setdefault(int(row[i]), {})
                     own[f] = max(own.get(f, 0.0), float(licence[i]))
@@ -228,6 +235,16 @@ def fit(sample: list[str], seed: int = 5, rounds: int = 150) -> Model:
     return model
 
 
+def _runs(ends: np.ndarray, owner: list[int]) -> list[tuple[int, int]]:
+    """(first line, line behind the last) of each run of two lines or more of one text that have words."""
+    full = np.diff(ends) > 0
+    owner = np.asarray(owner)
+    joined = np.concatenate([[False], full[1:] & full[:-1] & (owner[1:] == owner[:-1]), [False]])
+    first = np.flatnonzero(~joined[:-1] & joined[1:])
+    last = np.flatnonzero(joined[:-1] & ~joined[1:])
+    return list(zip(first.tolist(), (last + 1).tolist(), strict=True))
+
+
 def _scan_kernel(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from trapwise.llm.arrowtext import slices
@@ -237,16 +254,31 @@ def _scan_kernel(model):
                 texts = part.column("text").to_pylist()
                 lines, owner, out = [], [], [[0, 0, 0, set(), 0.0] for _ in texts]
                 for i, t in enumerate(texts):
-                    own = [x for x in (t or "").split("\n") if x.strip()]
-                    out[i][0] = len(own)
-                    lines += own
+                    own = (t or "").split("\n")
+                    out[i][0] = sum(1 for x in own if x.strip())
+                    lines += [COMMENT.sub(" ", x) for x in own]
                     owner += [i] * len(own)
-                for k, family, score in model.value.scan(lines):
+                h, ends = _words(lines)
+                by_line: dict[int, dict] = {}
+                for k, family, score in model.value.scan_words(h, ends):
+                    by_line.setdefault(k, {})[family] = score
+                runs = _runs(ends, owner)
+                words = [h[ends[a]:ends[b]] for a, b in runs]
+                wrapped = model.value.scan_words(np.concatenate([*words, h[:0]]), np.concatenate([[0], np.cumsum([len(w) for w in words], dtype=np.int64)]).astype(np.int64))
+                for r, family, score in wrapped:
+                    a, b = runs[r]
+                    if family and not any(family in by_line.get(k, ()) for k in range(a, b)):
+                        for k in range(a, b):  # parts of a notice that is now known
+                            if by_line.get(k, {}).keys() == {None}:
+                                del by_line[k]
+                        by_line.setdefault(a, {})[family] = score
+                for k, own in by_line.items():
                     o = out[owner[k]]
-                    o[1 if family else 2] += 1
-                    if family:
+                    o[2] += None in own
+                    for family in own.keys() - {None}:
+                        o[1] += 1
                         o[3].add(family)
-                        o[4] = max(o[4], score)
+                        o[4] = max(o[4], own[family])
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), *(pa.array([o[k] for o in out], pa.int64()) for k in range(3)),
                      pa.array([",".join(sorted(o[3])) or None for o in out], pa.string()), pa.array([o[4] for o in out], pa.float64())],
@@ -258,7 +290,8 @@ def _scan_kernel(model):
 def scan_licences(documents: DataFrame, max_sample: int = MAX_SAMPLE, seed: int = 5) -> DataFrame:
     """(doc_id, n_paragraphs, n_licences, n_unconfirmed, families, score) for every row of ``documents(doc_id, text)``.
 
-    ``n_licences`` counts confirmed notices, each family of a paragraph once, of the comma-joined
+    ``n_licences`` counts confirmed notices, each family of a paragraph once (and once for a run of lines
+    that holds it across line ends alone), of the comma-joined
     ``families`` (null: none); ``n_unconfirmed`` paragraphs look like one but match no template.  Paragraphs are the
     lines with something other than white space; a null or empty text has none.  Repeated rows are
     scanned like any; an empty table gives none.
