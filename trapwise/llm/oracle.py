@@ -4,7 +4,7 @@ OP1 = r"""
 with rules(rule, verdict) as (values ('net/','block'), ('example.net/en/','allow'), ('example.com/de/','block'), ('org/fr/','allow')),
 r as (select rule, verdict, split_part(rule,'/',1) as h, substr(rule, strpos(rule,'/')) as p from rules),
 u as (select page_id, case when strpos(url,'://') > 0 then substr(url, strpos(url,'://') + 3) else '' end as rest from pages),
-v as (select page_id, lower(regexp_extract(rest,'^([^/?#]*)',1)) as host, regexp_extract(rest,'^[^/?#]*([^?#]*)',1) as path from u),
+v as (select page_id, translate(regexp_extract(rest,'^([^/?#]*)',1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(rest,'^[^/?#]*([^?#]*)',1) as path from u),
 m as (select v.page_id, r.rule, r.verdict from v join r
       on (v.host = r.h or ends_with(v.host, '.' || r.h)) and starts_with(v.path, r.p)),
 b as (select page_id, max(struct_pack(n := length(rule), rule := rule, verdict := verdict)) as b from m group by page_id)
@@ -75,3 +75,17 @@ q as (select h, min(doc_id) as class_id from k group by h)
 select d.doc_id, coalesce(c.n, 0) as n_shingles, m.component_id, d.doc_id = m.component_id as kept, coalesce(q.class_id, d.doc_id) as class_id
 from documents d join m using (doc_id) left join c using (doc_id) left join k using (doc_id) left join q using (h)
 """
+
+OP11 = r"""
+with d as (select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text,''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents),
+i as (select distinct item_id, unnest(regexp_extract_all(translate(coalesce(text,''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as t from benchmark),
+g as (select count(*) as docs, cast(sum(len(ws)) as bigint) as words from d where len(ws) > 0),
+p as (select r, doc_id, n, t, count(*) as tf from (select r, doc_id, len(ws) as n, unnest(ws) as t from d) group by all),
+f as (select t, cast(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) as bigint) as w from p, g group by t, docs),
+s as (select item_id, r, doc_id, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // words)))) as bigint) as score
+      from i join p using (t) join f using (t), g group by item_id, r, doc_id)
+select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id nulls last) as integer) as rank, doc_id, score
+from s where score > 0 qualify rank <= 10
+"""

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trapwise.llm import decontaminate, host_quality, language_id, licenses, line_dedup, near_dedup, oracle, packing, repeats, sharding, url_rules
+from trapwise.llm import (byte_bpe, conversations, decontaminate, host_quality, language_id, lexical_search, licenses, line_dedup, near_dedup, oracle, packing,
+                          repeats, sharding, url_rules)
 from trapwise.sources.tables import read_table
 
 
@@ -50,6 +51,20 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = byte_bpe.decode(byte_bpe.encode(read_table(spark, sf_dir, "documents")))
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "conversations")
+    return conversations.repair(conversations.damage(rows), rows)
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_line_dedup": op2_line_dedup,
@@ -61,6 +76,9 @@ QUERIES = {
     "op8_pack": op8_pack,
     "op9_repeats": op9_repeats,
     "op10_shard": op10_shard,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_byte_bpe": op12_byte_bpe,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 ORACLE: dict[str, str] = {
@@ -68,4 +86,5 @@ ORACLE: dict[str, str] = {
     "op4_near_dedup": oracle.OP4,
     "op5_decontaminate": oracle.OP5,
     "op7_host_quality": oracle.OP7,
+    "op11_lexical_search": oracle.OP11,
 }
