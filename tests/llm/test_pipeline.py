@@ -6,7 +6,7 @@ import pytest
 
 from ..conftest import SMALL
 from .test_native_rules import counts
-from .test_text_operators import brute_hits, brute_lines, brute_near
+from .test_text_operators import brute_hits, brute_near, distance
 
 pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -15,6 +15,44 @@ def table(df):
     return {r.doc_id: r.asDict() for r in df.collect()}
 
 
+def brute_line_stage(rows, edits=2, min_chars=20):
+    """Lines of first versions go when they or a line within ``edits`` come earlier; other versions lose what
+    comes first (or earlier, for near lines) in another group, and their own repeats; empty documents go."""
+    group = {i: v[1] for i, v in brute_near(rows, 5).items()}
+    lines = {i: (t or "").split("\n") for i, t in rows}
+    compared = lambda x: len(x) >= min_chars or x.strip(" \t\n\x0b\f\r")
+    first = {}
+    for i in sorted(lines):
+        if group[i] == i:
+            for n, x in enumerate(lines[i]):
+                if compared(x):
+                    first.setdefault(x, (i, n))
+    source, sizes = {}, defaultdict(list)
+    for x in first:
+        if len(x) >= min_chars:
+            sizes[len(x)].append(x)
+    bags = {x: Counter(x) for x in first}
+    for x in first:
+        if len(x) >= min_chars:
+            found = [first[y][0] for k in range(len(x) - edits, len(x) + edits + 1) for y in sizes[k]
+                     if first[y] < first[x] and sum((bags[x] - bags[y]).values()) <= edits and distance(x, y) <= edits]
+            if found:
+                source[x] = min(found)
+    out = {}
+    for i, text in rows:
+        gone, seen = set(), set()
+        for n, x in enumerate(lines[i]):
+            if compared(x):
+                again = x in first and (first[x] != (i, n) if group[i] == i else first[x][0] != group[i] or x in seen)
+                near = x in source and (group[i] == i or source[x] != group[i])
+                gone |= {n} if again or near else set()
+                seen.add(x)
+        left = "\n".join(x for n, x in enumerate(lines[i]) if n not in gone)
+        if not gone or left.strip(" \t\n\x0b\f\r"):
+            out[i] = left if text is not None else None
+    return out
+
+
 def test_stages_match_brute_force(spark):
     from trapwise.llm.common import stage_table
     from trapwise.sources.tables import read_table
@@ -34,8 +72,7 @@ def test_stages_match_brute_force(spark):
         hosts[r["source"]].append(i in failed)
     for i in set(raw) - failed - set(good):  # only a host that mostly fails rejects more
         assert sum(hosts[raw[i]["source"]]) > 0.4 * len(hosts[raw[i]["source"]])
-    assert {i: r["text"] for i, r in lined.items()} == {
-        i: v[3] for i, v in brute_lines([(i, r["text"]) for i, r in good.items()], 2, 20, pipeline.BOILERPLATE_DOCS).items()}
+    assert {i: r["text"] for i, r in lined.items()} == brute_line_stage([(i, r["text"]) for i, r in good.items()])
     near = brute_near([(i, r["text"]) for i, r in lined.items()], 5)
     assert set(single) == {i for i, v in near.items() if v[1] == i}
     items = [(r.item_id, r.text) for r in read_table(spark, SMALL, "benchmark").collect()]

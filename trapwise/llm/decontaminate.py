@@ -109,8 +109,9 @@ def judge_contamination(documents: DataFrame, benchmark: DataFrame, window: int
         heads = _grams(short_items.where(F.least(F.size("_words"), F.lit(gram)) == head)
                        .select(F.slice("_words", 1, head).alias("_words"), F.size("_words").alias("_len")), head) \
             .select(F.explode("_grams").alias("value"), "_len").distinct()
-        found = _grams(doc_words, head).select(*key, F.posexplode("_grams").alias("first", "value")).join(heads, "value") \
-            .select(*key, "first", F.col("first").alias("last"), "_len")
+        # an outer explode: the plain one adds a filter on the array's size, which splits the text once per use
+        found = _grams(doc_words, head).select(*key, F.posexplode_outer("_grams").alias("first", "value")).where("value is not null") \
+            .join(heads, "value").select(*key, "first", F.col("first").alias("last"), "_len")
         places = found if places is None else places.unionByName(found)
     if places is not None:
         # these go back to their texts; per document, as many places as it has words at most

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trapwise.llm.common import need, stage_table
+from trapwise.llm.common import join_rows, need, stage_table
 
 #: fixed values of the base rule
 MIN_WORDS = 10
@@ -121,11 +121,14 @@ def judge_quality(documents: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
 def keep_quality(documents: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
     """The rows of ``documents`` that :func:`judge_quality` keeps, with all their columns.
 
-    The rows are written once with their base verdict: a filter on the counts would be pushed
-    below them and compute them again for every use.
+    Texts are counted without their rows; the rejected ones' ids and hashes then meet the rows, which are
+    taken as they are.  Rows that repeat a doc_id, or have none, are judged each by their own text and source.
     """
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
-                            F.col("source").cast("string").alias("source"), F.struct(*documents.columns).alias("_row"))
-    judged = stage_table(base_counts(rows, keep=("_row",)).select("source", "base_failed", "_row"), "quality-rows")
-    rejected = stage_table(host_verdicts(judged, limit).where("not host_ok").select("source"), "quality-hosts")
-    return judged.where("not base_failed").join(rejected, "source", "left_anti").select("_row.*")
+    own = [F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("source").cast("string")]
+    key = [F.coalesce(own[0], F.lit(0)).alias("_id"), F.xxhash64(*own).alias("_row_hash")]
+    counts = stage_table(base_counts(need(documents, doc_id="long", text="string", source="string").withColumn("_row_hash", F.xxhash64("doc_id", "text", "source")),
+                                     keep=("_row_hash",)).select("doc_id", "source", "_row_hash", "base_failed"), "quality-counts")
+    bad_hosts = host_verdicts(counts, limit).where("not host_ok").select("source", F.lit(True).alias("_bad"))
+    gone = counts.join(bad_hosts, "source", "left").where(F.col("base_failed") | F.col("_bad")) \
+        .select(F.coalesce("doc_id", F.lit(0)).alias("_id"), "_row_hash").distinct()
+    return join_rows(documents.select("*", *key), gone, ["_id", "_row_hash"], "left_anti").drop("_id", "_row_hash")

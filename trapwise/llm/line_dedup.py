@@ -20,7 +20,7 @@ equal to it or within ``edits`` edits of it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trapwise.llm.common import join_rows, need, release, stage_table
@@ -195,27 +195,39 @@ def line_links(documents: DataFrame, edits: int = EDITS, min_chars: int = MIN_CH
     return first, links
 
 
-def _repeats(documents: DataFrame, edits: int, min_chars: int, min_docs: int, short_copies: bool) -> DataFrame:
-    """(doc_id, line_no, near, hash_a, hash_b, from_doc, line): the line occurrences that go.
+def _repeats(documents: DataFrame, edits: int, min_chars: int, min_docs: int, short_copies: bool, groups: DataFrame | None = None) -> DataFrame:
+    """(doc_id, line_no, near): the line occurrences that go.
 
-    ``from_doc`` holds the earlier line (for a near line, the earliest one linked); null when the
-    line is near-equal to an earlier one of the document where it comes first.
+    With ``groups(doc_id, group)``, only the documents with ``doc_id = group`` give first occurrences. The others of a
+    group lose the lines that come first in, or were linked to an earlier line of, a document of another group.
     """
+    copies = None
+    if groups is not None:
+        grouped = stage_table(join_rows(documents, groups.select("doc_id", "group").where("doc_id <> group"), "doc_id", "left"), "line-groups")
+        documents, copies = grouped.where("group is null").drop("group"), grouped.where("group is not null")
     first, links = line_links(documents, edits, min_chars, short_copies)
     at = first.select("doc", "line", "n_docs")
     ends = links.select(F.col("doc_b").alias("doc"), F.col("line_b").alias("line"), F.col("doc_a").alias("_d"), F.col("line_a").alias("_l"), F.lit(1).alias("_earlier")) \
         .unionByName(links.select(F.col("doc_a").alias("doc"), F.col("line_a").alias("line"), F.col("doc_b").alias("_d"), F.col("line_b").alias("_l"), F.lit(0).alias("_earlier")))
     linked = ends.join(at.withColumnsRenamed({"doc": "_d", "line": "_l"}), ["_d", "_l"]) \
         .groupBy("doc", "line").agg(F.sum("n_docs").alias("_more"), F.min(F.when(F.col("_earlier") == 1, F.col("_d"))).alias("_source"))
-    targets = stage_table(
-        first.join(linked, ["doc", "line"], "left").select(
-            "hash_a", "hash_b", "doc", F.col("line").alias("at"), "n_lines", (F.col("n_docs") + F.coalesce("_more", F.lit(0))).alias("_docs"),
-            F.col("_source").isNotNull().alias("_near"),
-            F.when(F.col("_source").isNull(), F.col("doc")).when(F.col("_source") != F.col("doc"), F.col("_source")).alias("from_doc"))
-        .where(((F.col("n_lines") > 1) | F.col("_near")) & (F.col("_docs") >= min_docs)).drop("n_lines", "_docs"), "line-targets")
-    found = lines_of(documents).where(_compared(min_chars, short_copies)).select("doc_id", "line_no", "line", *_hashes()).join(targets, ["hash_a", "hash_b"])
+    counted = first.join(linked, ["doc", "line"], "left").where(F.col("n_docs") + F.coalesce("_more", F.lit(0)) >= min_docs) \
+        .select("hash_a", "hash_b", "doc", F.col("line").alias("at"), "n_lines", "_source")
+    targets = stage_table(counted.where((F.col("n_lines") > 1) | F.col("_source").isNotNull())
+                          .select("hash_a", "hash_b", "doc", "at", F.col("_source").isNotNull().alias("_near")), "line-targets")
+    found = lines_of(documents).where(_compared(min_chars, short_copies)).select("doc_id", "line_no", *_hashes()).join(targets, ["hash_a", "hash_b"])
     again = (F.col("doc_id") != F.col("doc")) | (F.col("line_no") != F.col("at"))
-    return found.where(again | F.col("_near")).select("doc_id", "line_no", (~again).alias("near"), "hash_a", "hash_b", "from_doc", "line")
+    out = found.where(again | F.col("_near")).select("doc_id", "line_no", (~again).alias("near"))
+    if copies is not None:
+        theirs = copies.select("doc_id", "group", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(_compared(min_chars, short_copies)) \
+            .select("doc_id", "group", "line_no", *_hashes())
+        own = Window.partitionBy("doc_id", "hash_a", "hash_b")  # lines of one document
+        theirs = theirs.withColumn("_own", F.min("line_no").over(own)).join(counted, ["hash_a", "hash_b"], "left")
+        before = (F.col("doc") != F.col("group")) | (F.col("line_no") != F.col("_own"))
+        near = F.coalesce("_source", "group") != F.col("group")
+        out = out.unionByName(theirs.where(F.coalesce(before, F.lit(False)) | near).select(
+            "doc_id", "line_no", F.coalesce(~before, F.lit(False)).alias("near")))
+    return out
 
 
 def repeated_lines(documents: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, min_docs: int = 1, short_copies: bool = False) -> DataFrame:
@@ -227,33 +239,8 @@ def repeated_lines(documents: DataFrame, edits: int = EDITS, min_chars: int = MI
     return _repeats(documents, edits, min_chars, min_docs, short_copies).select("doc_id", "line_no", "near")
 
 
-def words_of(text: str) -> Column:
-    return F.regexp_count(F.col(text), F.lit(r"\S+"))
-
-
-def _losses(repeats: DataFrame) -> DataFrame:
-    """(doc_id, _gone, _near, _back, _lost, _again) of each document that loses lines.
-
-    ``_lost`` words come from other documents; ``_back`` are the lines of the one that most of
-    them come from.  ``_again`` words repeat lines of the document itself.
-    """
-    other = F.col("from_doc").isNotNull() & (F.col("from_doc") != F.col("doc_id"))
-    by_line = repeats.select("*", words_of("line").alias("words")).groupBy("doc_id", "hash_a", "hash_b").agg(
-        F.collect_set("line_no").alias("lines"), F.min("line_no").alias("first"), F.max(F.when(F.col("near"), F.col("line_no"))).alias("near"),
-        F.first(F.when(other, F.col("from_doc"))).alias("from_doc"), F.first("words").alias("words"))
-    copied = F.col("from_doc").isNotNull()
-    by_source = by_line.groupBy("doc_id", "from_doc").agg(
-        F.flatten(F.collect_list("lines")).alias("lines"), F.collect_list("near").alias("near"), F.collect_list(F.when(copied, F.col("first"))).alias("back"),
-        F.sum(F.when(copied, F.col("words")).otherwise(0)).alias("lost"),
-        F.sum(F.col("words") * (F.size("lines") - copied.cast("int"))).alias("again"))
-    return by_source.groupBy("doc_id").agg(
-        F.flatten(F.collect_list("lines")).alias("_gone"), F.flatten(F.collect_list("near")).alias("_near"),
-        F.max_by("back", F.when(copied, F.struct("lost", -F.col("from_doc")))).alias("_back"),
-        F.sum("lost").alias("_lost"), F.sum("again").alias("_again"))
-
-
 def dedup_lines(documents: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, min_docs: int = 1, short_copies: bool = False,
-                copy_percent: int | None = None) -> DataFrame:
+                groups: DataFrame | None = None) -> DataFrame:
     """``documents`` with every column, ``text`` without its repeated lines, and
     ``lines_total``, ``lines_removed``, ``lines_near`` (of the removed ones, those
     with no equal line before them).
@@ -265,20 +252,14 @@ def dedup_lines(documents: DataFrame, edits: int = EDITS, min_chars: int = MIN_C
     document that loses all its lines has an empty text.  Lines of rows without doc_id always stay.  Existing columns
     ``lines_*`` are replaced.
 
-    With ``copy_percent``, a document that would lose this share of its words or more to other
-    documents (not counting its own repeats) is a likely copy of the one that most of them come from: it keeps the
-    lines from there, once each, and so stays as alike as it was.
+    ``groups(doc_id, group)`` names versions of one document (``group``: the smallest doc_id of them): lines are
+    counted in the first version alone, and the other versions lose what it loses, or what comes first in a document of
+    another group, so they stay as alike as they were.
     """
     rest = documents.drop("lines_total", "lines_removed", "lines_near")
-    repeats = _repeats(need(documents, doc_id="long", text="string"), edits, min_chars, min_docs, short_copies)
-    if copy_percent is None:
-        gone = repeats.groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone"), F.collect_set(F.when(F.col("near"), F.col("line_no"))).alias("_near"))
-    else:
-        gone = _losses(repeats)
+    repeats = _repeats(need(documents, doc_id="long", text="string"), edits, min_chars, min_docs, short_copies, groups)
+    gone = repeats.groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone"), F.collect_set(F.when(F.col("near"), F.col("line_no"))).alias("_near"))
     joined = join_rows(rest.withColumn("_id", F.col("doc_id").cast("long")), gone.withColumnRenamed("doc_id", "_id"), "_id", "left")
-    if copy_percent is not None:
-        copy = (F.col("_lost") > 0) & (100 * F.col("_lost") >= copy_percent * (words_of("text") - F.col("_again")))
-        joined = joined.withColumns({c: F.when(copy, F.array_except(c, "_back")).otherwise(F.col(c)) for c in ("_gone", "_near")})
     lines = F.split("text", "\n")
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
     all_lines = F.transform(F.array(lines), lambda x: F.array_join(F.transform(left, lambda i: F.get(x, i)), "\n"))
