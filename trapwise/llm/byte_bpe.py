@@ -28,7 +28,7 @@ from trapwise.session import ship_package
 #: a vocabulary file is sent to every task
 MAX_VOCABULARY_BYTES = 64 << 20
 #: bytes of pre-tokens that a worker remembers before it starts anew (with their ids: about ten times that)
-CACHE_BYTES = 6 << 20
+CACHE_BYTES = 4 << 20
 #: text bytes whose pre-tokens are held at once, and pre-tokens of one long text
 SLICE_BYTES = 1 << 20
 STEP = 1 << 16
@@ -103,16 +103,11 @@ class _Numbers(dict):
         return n
 
 
-class Coder:
-    """Encoder and decoder of one vocabulary."""
-
-    def __init__(self, raw: bytes, pattern: str) -> None:
-        import regex
-        import sentencepiece
+class Tokens:
+    """The bytes of each id of a vocabulary."""
 
+    def __init__(self, raw: bytes) -> None:
         tokens = ranks_of(raw)
-        self.pattern = regex.compile(pattern)
-        self.model = sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_model(tokens))
         self.ids = np.array([r for _, r in tokens], np.uint32)
         sizes = np.array([len(t) for t, _ in tokens], np.int64)
         self.sizes = np.zeros(int(self.ids.max(initial=0)) + 1, np.int64)
@@ -120,6 +115,25 @@ class Coder:
         self.starts = np.zeros_like(self.sizes)
         self.starts[self.ids] = np.cumsum(sizes) - sizes
         self.bank = np.frombuffer(b"".join(t for t, _ in tokens), np.uint8)
+
+    def decode(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of all ids."""
+        n = self.sizes[ids]
+        ends = np.cumsum(n)
+        return self.bank[np.repeat(self.starts[ids] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
+
+class Coder(Tokens):
+    """Encoder and decoder of one vocabulary."""
+
+    def __init__(self, raw: bytes, pattern: str) -> None:
+        import regex
+        import sentencepiece
+
+        super().__init__(raw)
+        tokens = ranks_of(raw)
+        self.pattern = regex.compile(pattern)
+        self.model = sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_model(tokens))
         whole = self.model.encode([_mapped(t) for t, _ in tokens], num_threads=1)
         #: tokens that merges do not make
         self.unreached = {_mapped(t): i for i, ((t, _), w) in enumerate(zip(tokens, whole, strict=True)) if w != [i]}
@@ -159,19 +173,13 @@ class Coder:
                 out[i] = b"".join(self._joined([pieces])[0] for pieces in steps)
         return [out[i] for i in range(len(texts))]
 
-    def decode(self, ids: np.ndarray) -> np.ndarray:
-        """The bytes of all ids."""
-        n = self.sizes[ids]
-        ends = np.cumsum(n)
-        return self.bank[np.repeat(self.starts[ids] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
-
 
-def _coder(raw: bytes, pattern: str) -> Coder:
-    """The worker's coder; it lives as long as the worker."""
-    key = (hash(raw), pattern)
+def _kept(kind: type, *args):
+    """The worker's vocabulary or coder; it lives as long as the worker."""
+    key = (kind, *map(hash, args))
     if key not in _CODERS:
         _CODERS.clear()
-        _CODERS[key] = Coder(raw, pattern)
+        _CODERS[key] = kind(*args)
     return _CODERS[key]
 
 
@@ -179,7 +187,7 @@ def _encode_kernel(raw, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from trapwise.llm.arrowtext import slices
 
-        coder = _coder(raw.value, pattern)
+        coder = _kept(Coder, raw.value, pattern)
         for batch in batches:
             for part in slices(batch, limit=SLICE_BYTES):
                 ids = coder.encode([t or "" for t in part.column("text").to_pylist()])
@@ -190,9 +198,9 @@ def _encode_kernel(raw, pattern: str):
     return run
 
 
-def _decode_kernel(raw, pattern: str):
+def _decode_kernel(raw):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _coder(raw.value, pattern)
+        coder = _kept(Tokens, raw.value)
         for batch in batches:
             texts = []
             for ids in batch.column("ids"):
@@ -210,21 +218,17 @@ def encode(documents: DataFrame, path: str | None = None, pattern: str | None =
     integers.  A null text counts as empty: no ids.  Strings of special tokens are
     ordinary text.  Repeated rows and rows without doc_id are encoded each; an empty table gives none.
     """
-    return _mapped_rows(documents, _encode_kernel, path, pattern, need(documents, doc_id="long", text="string"),
-                        "doc_id long, n_tokens long, ids binary")
-
-
-def decode(encoded: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """The rows of :func:`encode` plus ``decoded``: the bytes that their ids stand for."""
-    return _mapped_rows(encoded, _decode_kernel, path, pattern, encoded.select("doc_id", "n_tokens", "ids"),
-                        "doc_id long, n_tokens long, ids binary, decoded binary")
-
-
-def _mapped_rows(df: DataFrame, kernel, path: str | None, pattern: str | None, rows: DataFrame, schema: str) -> DataFrame:
-    spark = df.sparkSession
-    ship_package(spark)
     if pattern is None:
         import public_tokenizers
 
         pattern = public_tokenizers.PATTERN
-    return rows.mapInArrow(kernel(spark.sparkContext.broadcast(vocabulary(path)), pattern), schema)
+    ship_package(documents.sparkSession)
+    raw = documents.sparkSession.sparkContext.broadcast(vocabulary(path))
+    return need(documents, doc_id="long", text="string").mapInArrow(_encode_kernel(raw, pattern), "doc_id long, n_tokens long, ids binary")
+
+
+def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
+    """The rows of :func:`encode` plus ``decoded``: the bytes that their ids stand for (null ids: none)."""
+    ship_package(encoded.sparkSession)
+    raw = encoded.sparkSession.sparkContext.broadcast(vocabulary(path))
+    return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(_decode_kernel(raw), "doc_id long, n_tokens long, ids binary, decoded binary")
