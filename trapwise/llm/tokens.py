@@ -10,8 +10,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: words a worker remembers before it starts anew
-CACHE_WORDS = 1_500_000
+#: characters of words that a worker remembers before it starts anew (with their ids and places: about forty times that)
+CACHE_CHARS = 4 << 20
+#: text bytes that are encoded at once
+SLICE_BYTES = 2 << 20
 #: a word of letters and digits followed by ASCII marks (no apostrophe): two independent parts
 _WORD_AND_MARKS = r"^([\p{L}\p{N}]+)([!-&(-/:-@\[-`{-~]+)$"
 
@@ -52,14 +54,14 @@ class Encoder:
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
         self.bank, self.starts, self.sizes = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-        self.used = 0
+        self.used = self.chars = 0
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _numbers(self, pieces: list[str]) -> np.ndarray:
         """Places of the pieces in the bank; new ones are encoded once."""
-        if len(self.known) > CACHE_WORDS:
+        if self.chars > CACHE_CHARS:
             self._forget()
         new = [p for p in pieces if p not in self.known]
         if new:
@@ -75,6 +77,7 @@ class Encoder:
             self.starts[n:n + len(new)] = self.used + np.cumsum(sizes) - sizes
             self.sizes[n:n + len(new)] = sizes
             self.used += len(flat)
+            self.chars += sum(map(len, new))
             self.known.update(zip(new, range(n, n + len(new)), strict=True))
         return np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
 
@@ -111,6 +114,6 @@ def encoded(batches: Iterator[pa.RecordBatch], spec: str) -> Iterator[tuple[pa.R
 
     enc = encoder(spec)
     for batch in batches:
-        for part in slices(batch, limit=8 << 20):
+        for part in slices(batch, limit=SLICE_BYTES):
             ids, offsets = enc.encode(part.column("text"))
             yield part, ids, offsets
