@@ -74,11 +74,11 @@ def test_local_topn_is_bounded_under_ties(spark):
     top = pools.select("doc_id", F.row_number().over(w).alias("r")).where("r <= 2").collect()
     # best is doc 1 (3.0); of docs 2, 3, 5, tied at 2.0, the smallest id comes second
     assert sorted(r["doc_id"] for r in top) == [1, 2]
-    # one task emits N rows per query, however many documents tie (here: 2,000 without any match)
+    # one cell emits N rows per query, however many documents tie (here: 2,000 without any match)
     flat = spark.range(0, 2000).select("id", F.array(F.lit(0.0)).alias("vec")).withColumnRenamed("id", "doc_id").coalesce(1)
     three = spark.createDataFrame([(i, [1.0], [1.0], [1.0]) for i in range(3)], qdf.schema)
     sc = B.DenseScorer(flat, three)
-    sc.docs = flat
+    sc.buckets = 1  # one cell
     got = B.local_topn(sc, 5).collect()
     assert sorted((r["qid"], r["doc_id"]) for r in got) == [(q, d) for q in range(3) for d in range(5)]
 

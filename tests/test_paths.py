@@ -39,8 +39,8 @@ def test_split_query_blocks_equal_one_block(spark):
 
     docs, q = D.dense_docs(spark, SMALL, 64), D.dense_queries(spark, SMALL, 64)
     sc = B.DenseScorer(docs, q)
-    small = 1 << 20  # forces several blocks (about 3 MB of queries)
-    assert B.blocks_of(sc, small)[0] > 1
+    small = 1 << 17  # forces several blocks (about 300 kB of queries)
+    assert B.block_count(sc, small, 64) > 1
     prof1 = B.profile(B.stream_stats(sc), D.labelled_scores(docs, q), False)
     profn = B.profile(B.stream_stats(sc, max_bytes=small), D.labelled_scores(docs, q), False)
     assert sorted(map(tuple, prof1.collect())) == sorted(map(tuple, profn.collect()))
@@ -48,6 +48,6 @@ def test_split_query_blocks_equal_one_block(spark):
     assert _totals(B.beta_counts(sc, prof1, betas)) == _totals(B.beta_counts(sc, prof1, betas, max_bytes=small))
 
     lsc, lprof = L.lexical_parts(spark, SMALL)
-    tiny = 64 * 1024
-    assert B.blocks_of(lsc, tiny)[0] > 1
+    tiny = 16 * 1024
+    assert B.block_count(lsc, tiny, 64) > 1
     assert _totals(B.beta_counts(lsc, lprof, betas)) == _totals(B.beta_counts(lsc, lprof, betas, max_bytes=tiny))

@@ -1,21 +1,20 @@
-"""Block kernels: score a corpus partition against a broadcast block of queries.
+"""Block kernels: document buckets meet query blocks in a keyed cogroup.
 
-The corpus stays partitioned as Spark read (or aggregated) it.  Each task
-scores its documents against one block of queries inside ``mapInArrow``
-(NumPy on Arrow batches) and emits only per-query partials:
+Both sides are dealt out by hash: documents into buckets of a bounded size,
+queries into blocks of a bounded size.  Every (block, bucket) cell is one group of a
+``cogroup``, scored in NumPy on Arrow tables, and emits only per-query partials:
 
 * ``stream_stats`` - min/max score per query and stream;
-* ``beta_counts`` - beta-slot interval events and raw counts for the sweep;
-* ``grid_counts`` - counts of documents beating the labelled ones for an
-  explicit (alpha, gamma, beta) grid;
-* ``local_topn`` - each task's best ``n`` documents per query.
+* ``beta_counts`` - counts of documents beating the labelled ones per beta, as one
+  row per query and source with arrays, unfolded and summed by Spark;
+* ``grid_counts`` - the same for an explicit (alpha, gamma, beta) grid;
+* ``local_topn`` - each cell's best ``n`` documents per query.
 
 So ``|Q| x |D|`` pairs are computed but never become rows or shuffle data.
-Spark combines the partials with ordinary (partial + final) aggregates.
-
-A block is broadcast only after its size is checked against
-``QUERY_BLOCK_BYTES``; larger query sets are split by ``xxhash64(qid)`` into
-several blocks, and the corpus is scanned once per block.
+Spark combines the partials with ordinary (partial + final) aggregates.  No query passes
+through the driver and nothing is broadcast: a cell holds one block (payload and the pass's own
+state per query, at most ``QUERY_BLOCK_BYTES``) and one bucket (about ``DOC_BUCKET_BYTES``).
+Documents are shuffled once per block and queries once per bucket.
 
 Two scorers plug in:
 
@@ -30,16 +29,16 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trapwise import config
-from trapwise.session import ship_package
+from trapwise.session import cut_lineage, ship_package
 
 STREAMS = ("base", "target", "trap")
 _CHUNK_ELEMS = 2_000_000
@@ -47,9 +46,8 @@ _EXPAND_ELEMS = 8_000_000
 _DENSE_MIN_ROWS = 32     # a query token used by this many query rows ...
 _DENSE_MAX_TOKENS = 256  # ... joins the dense part (at most this many per stream)
 _DENSE_BYTES = 64 * 1024 * 1024  # per-stream budget of that dense query matrix in a task
-# per-query state a task keeps besides the broadcast payload (beta-slot event
-# accumulators, grid counters, top-N pools); counted in the block size check
-_STATE_BYTES_PER_QUERY = 4096
+# documents of one cell
+DOC_BUCKET_BYTES = 128 * 1024 * 1024
 
 
 # ------------------------------------------------------------------ helpers
@@ -112,21 +110,6 @@ def interval_events(db: np.ndarray, dt: np.ndarray, max_slot: int) -> np.ndarray
     return (plus - minus).reshape(n, width)
 
 
-def _block_key(n_blocks: int):
-    return F.pmod(F.xxhash64("qid"), F.lit(n_blocks))
-
-
-def _align(qid: np.ndarray, table: pa.Table, cols: Sequence[str]) -> dict:
-    """Per-query scalars from ``table`` in the order of ``qid``."""
-    tq = table.column("qid").to_numpy()
-    order = np.argsort(tq, kind="stable")
-    pos = np.searchsorted(tq[order], qid)
-    if len(tq) < len(qid) or not np.array_equal(tq[order][np.minimum(pos, len(tq) - 1)], qid):
-        raise ValueError("per-query profile is missing queries of the block")
-    idx = order[pos]
-    return {c: table.column(c).to_numpy(zero_copy_only=False)[idx] for c in cols}
-
-
 # ------------------------------------------------------------------ scorers
 
 
@@ -136,33 +119,34 @@ class DenseScorer:
     fixed_point = False
 
     def __init__(self, docs: DataFrame, queries: DataFrame, exact: bool = True):
-        self.docs = spread(docs.select("doc_id", "vec"))
+        self.docs = docs.select("doc_id", "vec")
         self.queries = queries.select("qid", *STREAMS)
         self.exact = exact
 
-    def block_count(self, max_bytes: int) -> int:
-        row = self.queries.select(*[F.size(c).alias(c) for c in STREAMS]).limit(1).collect()
-        dims = sum(row[0]) if row else 0
-        n = self.queries.count()
-        return max(1, math.ceil(n * (8 * (dims + 8) + _STATE_BYTES_PER_QUERY) / max_bytes))
-
-    def collect_block(self, b: int, n_blocks: int) -> dict:
-        q = self.queries if n_blocks == 1 else self.queries.where(_block_key(n_blocks) == b)
-        t = q.toArrow()
-        qid = t.column("qid").to_numpy().astype(np.int64)
-        order = np.argsort(qid, kind="stable")
-        blk = {"qid": qid[order]}
-        for s in STREAMS:
-            blk[s] = np.ascontiguousarray(list_matrix(t.column(s))[order].T)
-        return blk
+    @cached_property
+    def sizes(self) -> tuple[int, int, int]:
+        """(queries, bytes of their payload, bytes of the documents)."""
+        n, q = self.queries.agg(F.count(F.lit(1)), F.coalesce(F.sum(sum((F.size(s) for s in STREAMS), F.lit(1))), F.lit(0))).first()
+        d = self.docs.agg(F.coalesce(F.sum(F.size("vec") + 1), F.lit(0))).first()[0]
+        return n, 8 * q, 8 * d
 
     def doc_input(self) -> DataFrame:
         return self.docs
 
+    def query_input(self) -> DataFrame:
+        return self.queries
+
+    def block_fn(self):
+        return _dense_block
+
     def score_fn(self):
         return _dense_scores(self.exact)
 
 
+def _dense_block(t: pa.Table) -> dict:
+    return {s: np.ascontiguousarray(list_matrix(t.column(s)).T) for s in STREAMS}
+
+
 def _dense_scores(exact: bool):
     def scores(blk: dict, batches: Iterator[pa.RecordBatch]):
         n = len(blk["qid"])
@@ -195,55 +179,71 @@ class LexicalScorer:
         self.qterms = qterms.select("qid", "stream", "tok", "qtf")
         self.qids = qids.select("qid")
 
-    def block_count(self, max_bytes: int) -> int:
+    @cached_property
+    def sizes(self) -> tuple[int, int, int]:
         n_terms, n_q = self.qterms.count(), self.qids.count()
-        return max(1, math.ceil((n_terms * 64 + n_q * _STATE_BYTES_PER_QUERY) / max_bytes))
-
-    def collect_block(self, b: int, n_blocks: int) -> dict:
-        q = self.qterms if n_blocks == 1 else self.qterms.where(_block_key(n_blocks) == b)
-        ids = self.qids if n_blocks == 1 else self.qids.where(_block_key(n_blocks) == b)
-        t = q.select("qid", "stream", F.xxhash64("tok").alias("tid"), "tok", "qtf").toArrow()
-        qid_all = t.column("qid").to_numpy().astype(np.int64)
-        qids = np.unique(np.concatenate([qid_all, ids.toArrow().column("qid").to_numpy().astype(np.int64)]))
-        h = t.column("tid").to_numpy().astype(np.int64)
-        vocab, first = np.unique(h, return_index=True)
-        if pc.count_distinct(t.column("tok")).as_py() != len(vocab):
-            raise ValueError("token hash collision inside one query block")
-        stream_col = t.column("stream")
-        qtf = t.column("qtf").to_numpy().astype(np.float64)
-        blk = {"qid": qids, "vocab": vocab}
-        tid_all = np.searchsorted(vocab, h)
-        row_all = np.searchsorted(qids, qid_all)
-        for s in STREAMS:
-            m = pc.equal(stream_col, s).to_numpy(zero_copy_only=False)
-            tid, row, f = tid_all[m], row_all[m], qtf[m]
-            # the most used query tokens are scored as a dense matrix product
-            # (exact: all partial sums are integers below 2**53), the rest by
-            # expanding inverted lists
-            use = np.bincount(tid, minlength=len(vocab))
-            cand = np.nonzero(use >= _DENSE_MIN_ROWS)[0]
-            width = min(_DENSE_MAX_TOKENS, _DENSE_BYTES // (8 * max(1, len(qids))))
-            freq = np.sort(cand[np.argsort(-use[cand], kind="stable")[:width]])
-            fpos = np.full(len(vocab), -1, np.int64)
-            fpos[freq] = np.arange(len(freq))
-            is_f = fpos[tid] >= 0
-            blk[f"{s}_fpos"] = fpos
-            blk[f"{s}_nf"] = len(freq)
-            blk[f"{s}_frow"], blk[f"{s}_fcol"], blk[f"{s}_fqtf"] = row[is_f], fpos[tid[is_f]], f[is_f]
-            tid, row, f = tid[~is_f], row[~is_f], f[~is_f]
-            order = np.argsort(tid, kind="stable")
-            blk[f"{s}_ptr"] = np.searchsorted(tid[order], np.arange(len(vocab) + 1))
-            blk[f"{s}_row"] = row[order]
-            blk[f"{s}_qtf"] = f[order]
-        return blk
+        d = self.postings.agg(F.coalesce(F.sum(2 * F.size("tids") + 1), F.lit(0))).first()[0]
+        return n_q, 64 * n_terms, 8 * d
 
     def doc_input(self) -> DataFrame:
         return self.postings
 
+    @cached_property
+    def _query_rows(self) -> DataFrame:
+        terms = self.qterms.withColumn("tid", F.xxhash64("tok"))
+        if not terms.select("tok", "tid").distinct().groupBy("tid").count().where("count > 1").isEmpty():
+            raise ValueError("token hash collision in the query vocabulary")
+        # one row per query: a list holds one text's terms
+        lists = terms.groupBy("qid").agg(*[
+            F.collect_list(F.when(F.col("stream") == s, F.struct("tid", "qtf"))).alias(s) for s in STREAMS])
+        none = F.array().cast("array<bigint>")
+        rows = self.qids.distinct().join(lists, "qid", "full")
+        return cut_lineage(rows.select("qid", *[
+            F.coalesce(F.col(f"{s}.{f}").cast("array<bigint>"), none).alias(f"{s}_{f}") for s in STREAMS for f in ("tid", "qtf")]))
+
+    def query_input(self) -> DataFrame:
+        return self._query_rows
+
+    def block_fn(self):
+        return _lexical_block
+
     def score_fn(self):
         return _lexical_scores
 
 
+def _lexical_block(t: pa.Table) -> dict:
+    """The inverted lists of a block's queries."""
+    lists = {}
+    for s in STREAMS:
+        tids, qtfs = (t.column(f"{s}_{f}").combine_chunks() for f in ("tid", "qtf"))
+        row = np.repeat(np.arange(t.num_rows), np.diff(tids.offsets.to_numpy()))
+        lists[s] = tids.flatten().to_numpy(zero_copy_only=False), row, qtfs.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    vocab = np.unique(np.concatenate([lists[s][0] for s in STREAMS]))
+    blk = {"vocab": vocab}
+    for s in STREAMS:
+        h, row, f = lists[s]
+        tid = np.searchsorted(vocab, h)
+        # the most used query tokens are scored as a dense matrix product
+        # (exact: all partial sums are integers below 2**53), the rest by
+        # expanding inverted lists
+        use = np.bincount(tid, minlength=len(vocab))
+        cand = np.nonzero(use >= _DENSE_MIN_ROWS)[0]
+        width = min(_DENSE_MAX_TOKENS, _DENSE_BYTES // (8 * max(1, t.num_rows)))
+        freq = np.sort(cand[np.argsort(-use[cand], kind="stable")[:width]])
+        fpos = np.full(len(vocab), -1, np.int64)
+        fpos[freq] = np.arange(len(freq))
+        is_f = fpos[tid] >= 0
+        blk[f"{s}_fpos"] = fpos
+        blk[f"{s}_nf"] = len(freq)
+        blk[f"{s}_frow"], blk[f"{s}_fcol"], blk[f"{s}_fqtf"] = row[is_f], fpos[tid[is_f]], f[is_f]
+        tid, row, f = tid[~is_f], row[~is_f], f[~is_f]
+        order = np.argsort(tid, kind="stable")
+        blk[f"{s}_ptr"] = np.searchsorted(tid[order], np.arange(len(vocab) + 1))
+        blk[f"{s}_row"] = row[order]
+        blk[f"{s}_qtf"] = f[order]
+    return blk
+
+
 def _lexical_scores(blk: dict, batches: Iterator[pa.RecordBatch]):
     n = len(blk["qid"])
     vocab = blk["vocab"]
@@ -324,53 +324,68 @@ def kernel_parallelism(spark) -> int:
 
 
 def spread(df: DataFrame, key: str | None = None) -> DataFrame:
-    """Fit a kernel input to the kernel parallelism.
+    """Deal a small input out over the cores.
 
-    A scan with fewer partitions (small files) is repartitioned up; one with
-    more keeps its splits, so a task's share of the corpus does not depend on a session
-    setting.  The tasks' partial rows meet in partial and final aggregates.
+    A large one keeps its splits, so a task's share of it does not depend on a session
+    setting.  Its size is the optimizer's estimate: nothing is planned or read for it.
     """
     p = kernel_parallelism(df.sparkSession)
-    n = df.rdd.getNumPartitions()
-    if n < p:
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size < p * _split_bytes(df.sparkSession):
         # hash by ``key`` when given, so a later aggregate on it needs no shuffle
         return df.repartition(p, key) if key else df.repartition(p)
     return df
 
 
-def blocks_of(scorer, max_bytes: int) -> tuple[int, Iterator[dict]]:
-    """The number of the scorer's query blocks and one after the other.
+def _split_bytes(spark) -> int:
+    return int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
 
-    A single block is collected once per scorer (every pass of a job broadcasts
-    it); of several, the driver holds one at a time.
-    """
-    cache = scorer.__dict__.setdefault("_blocks", {})
-    if max_bytes in cache:
-        return 1, iter([cache[max_bytes]])
-    n_blocks = scorer.block_count(max_bytes)
-    if n_blocks == 1:
-        cache[max_bytes] = scorer.collect_block(0, 1)
-        return 1, iter([cache[max_bytes]])
-    return n_blocks, (scorer.collect_block(b, n_blocks) for b in range(n_blocks))
-
-
-def _run(scorer, kernel_factory, schema: T.StructType, profile: DataFrame | None,
-         scalar_cols: Sequence[str], max_bytes: int) -> DataFrame:
+
+def block_count(scorer, max_bytes: int, state_bytes: int) -> int:
+    """Query blocks of a pass that keeps ``state_bytes`` per query."""
+    n, payload, _ = scorer.sizes
+    return max(1, math.ceil((payload + n * state_bytes) / max_bytes))
+
+
+def bucket_count(scorer) -> int:
+    """Document buckets: of a bounded size, and a few per core."""
+    fixed = getattr(scorer, "buckets", None)
+    return fixed or max(2 * kernel_parallelism(scorer.doc_input().sparkSession), math.ceil(scorer.sizes[2] / DOC_BUCKET_BYTES))
+
+
+def _run(scorer, kernel, schema: T.StructType, profile: DataFrame | None, scalar_cols: Sequence[str], max_bytes: int,
+         state_bytes: int) -> DataFrame:
+    """``kernel(blk, batches)`` over every (query block, document bucket) cell."""
     spark = scorer.doc_input().sparkSession
     ship_package(spark)
-    n_blocks, blocks = blocks_of(scorer, max_bytes)
-    parts = []
-    for b, cached in enumerate(blocks):
-        blk = dict(cached)
-        if profile is not None:
-            p = profile if n_blocks == 1 else profile.where(_block_key(n_blocks) == b)
-            blk.update(_align(blk["qid"], p.select("qid", *scalar_cols).toArrow(), scalar_cols))
-        bc = spark.sparkContext.broadcast(blk)
-        parts.append(scorer.doc_input().mapInArrow(kernel_factory(bc), schema))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    n_blocks, n_buckets = block_count(scorer, max_bytes, state_bytes), bucket_count(scorer)
+    cells = n_blocks * n_buckets
+    queries = scorer.query_input()
+    if profile is not None:
+        queries = queries.join(profile.select("qid", *scalar_cols), "qid", "left")
+    block = F.pmod(F.xxhash64("qid"), F.lit(n_blocks)) * n_buckets
+    queries = queries.withColumn("_cell", F.explode(F.sequence(block, block + n_buckets - 1)))
+    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(n_buckets))
+    docs = scorer.doc_input().withColumn("_cell", F.explode(F.sequence(bucket, F.lit(cells - 1).cast("long"), F.lit(n_buckets).cast("long"))))
+    make, scalars, doc_cols = scorer.block_fn(), list(scalar_cols), scorer.doc_input().columns
+
+    def cell(d: pa.Table, q: pa.Table) -> pa.Table:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        out = to_arrow_schema(schema)
+        if not d.num_rows or not q.num_rows:
+            return out.empty_table()
+        qid = q.column("qid").to_numpy().astype(np.int64)
+        q = q.take(np.argsort(qid, kind="stable"))
+        blk = make(q) | {"qid": np.sort(qid)}
+        for c in scalars:
+            if q.column(c).null_count:
+                raise ValueError("per-query profile is missing queries of the block")
+            blk[c] = q.column(c).to_numpy()
+        return pa.Table.from_batches([b.cast(out) for b in kernel(blk, iter(d.select(doc_cols).combine_chunks().to_batches()))], out)
+
+    # explicit counts: adaptive execution would join small cells into one task
+    return docs.repartition(cells, "_cell").groupBy("_cell").cogroup(queries.repartition(cells, "_cell").groupBy("_cell")).applyInArrow(cell, schema)
 
 
 STATS_SCHEMA = T.StructType([T.StructField("qid", T.LongType())] + [
@@ -381,34 +396,31 @@ STATS_SCHEMA = T.StructType([T.StructField("qid", T.LongType())] + [
 def stream_stats(scorer, max_bytes: int = config.QUERY_BLOCK_BYTES) -> DataFrame:
     """``(qid, mn_*, mx_*, nonzero)`` over the corpus; ``nonzero`` counts the
     documents with a non-zero score in some stream."""
-    score, fixed = scorer.score_fn(), scorer.fixed_point
+    score = scorer.score_fn()
+
+    def kernel(blk, batches):
+        n = len(blk["qid"])
+        mn = {s: np.full(n, np.inf) for s in STREAMS}
+        mx = {s: np.full(n, -np.inf) for s in STREAMS}
+        nonzero = np.zeros(n, np.int64)
+        seen = False
+        for _, sc in score(blk, batches):
+            seen = True
+            if sc["base"].shape[1] == 0:
+                continue
+            for s in STREAMS:
+                np.minimum(mn[s], sc[s].min(axis=1), out=mn[s])
+                np.maximum(mx[s], sc[s].max(axis=1), out=mx[s])
+            nonzero += ((sc["base"] != 0) | (sc["target"] != 0) | (sc["trap"] != 0)).sum(axis=1)
+        if seen and n:
+            cols = {"qid": blk["qid"]}
+            for s in STREAMS:
+                cols[f"mn_{s}"] = mn[s]
+                cols[f"mx_{s}"] = mx[s]
+            cols["nonzero"] = nonzero
+            yield pa.RecordBatch.from_pydict(cols)
 
-    def factory(bc):
-        def kernel(batches):
-            blk = bc.value
-            n = len(blk["qid"])
-            mn = {s: np.full(n, np.inf) for s in STREAMS}
-            mx = {s: np.full(n, -np.inf) for s in STREAMS}
-            nonzero = np.zeros(n, np.int64)
-            seen = False
-            for _, sc in score(blk, batches):
-                seen = True
-                if sc["base"].shape[1] == 0:
-                    continue
-                for s in STREAMS:
-                    np.minimum(mn[s], sc[s].min(axis=1), out=mn[s])
-                    np.maximum(mx[s], sc[s].max(axis=1), out=mx[s])
-                nonzero += ((sc["base"] != 0) | (sc["target"] != 0) | (sc["trap"] != 0)).sum(axis=1)
-            if seen and n:
-                cols = {"qid": blk["qid"]}
-                for s in STREAMS:
-                    cols[f"mn_{s}"] = mn[s]
-                    cols[f"mx_{s}"] = mx[s]
-                cols["nonzero"] = nonzero
-                yield pa.RecordBatch.from_pydict(cols)
-        return kernel
-
-    out = _run(scorer, factory, STATS_SCHEMA, None, [], max_bytes)
+    out = _run(scorer, kernel, STATS_SCHEMA, None, [], max_bytes, 8 * 8)
     aggs = []
     for s in STREAMS:
         aggs += [F.min(f"mn_{s}").alias(f"mn_{s}"), F.max(f"mx_{s}").alias(f"mx_{s}")]
@@ -449,17 +461,13 @@ def _raw_fixed(fixed, x: np.ndarray) -> np.ndarray:
 
 BETA_SCHEMA = T.StructType([
     T.StructField("qid", T.LongType()), T.StructField("source", T.StringType()),
-    T.StructField("beta_i", T.IntegerType()), T.StructField("better_a", T.LongType()),
-    T.StructField("better_t", T.LongType()), T.StructField("base_a", T.LongType()),
-    T.StructField("base_t", T.LongType())])
-_BETA_ARROW = pa.schema([("qid", pa.int64()), ("source", pa.string()), ("beta_i", pa.int32()),
-                         ("better_a", pa.int64()), ("better_t", pa.int64()),
-                         ("base_a", pa.int64()), ("base_t", pa.int64())])
+    T.StructField("better_a", T.ArrayType(T.LongType())), T.StructField("better_t", T.ArrayType(T.LongType())),
+    T.StructField("base_a", T.LongType()), T.StructField("base_t", T.LongType())])
 
 
 def beta_counts(scorer, profile: DataFrame, betas: Sequence[int],
                 max_bytes: int = config.QUERY_BLOCK_BYTES) -> DataFrame:
-    """Per-task counts of documents beating the answer / trap document at
+    """Per-cell counts of documents beating the answer / trap document at
     every requested beta (hundredths), for both score sources.
 
     Inside the task the winning beta slots of each document form an
@@ -472,52 +480,40 @@ def beta_counts(scorer, profile: DataFrame, betas: Sequence[int],
     betas = np.asarray(sorted(set(int(b) for b in betas)), dtype=np.int64)
     max_slot = int(betas.max())
 
-    def factory(bc):
-        def kernel(batches):
-            blk = bc.value
-            n = len(blk["qid"])
-            width = max_slot + 2
-            ev = {src: [np.zeros((n, width), np.int64), np.zeros((n, width), np.int64)]
-                  for src in ("baseline", "target")}
-            raw = {k: np.zeros(n, np.int64) for k in ("ba", "bt", "ga", "gt")}
-            col = {k: blk[k][:, None] for k in PROFILE_SCALARS}
-            seen = False
-            for _, sc in score(blk, batches):
-                seen = True
-                sb, sg, st = sc["base"], sc["target"], sc["trap"]
-                rb, rg = _raw_fixed(fixed, sb), _raw_fixed(fixed, sg)
-                raw["ba"] += (rb > col["Ra_base"]).sum(axis=1)
-                raw["bt"] += (rb > col["Rt_base"]).sum(axis=1)
-                raw["ga"] += (rg > col["Ra_target"]).sum(axis=1)
-                raw["gt"] += (rg > col["Rt_target"]).sum(axis=1)
-                nt = quantize_np((st - col["mn_trap"]) / col["den_trap"])
-                for src, s, name in (("baseline", sb, "base"), ("target", sg, "target")):
-                    ns = quantize_np((s - col[f"mn_{name}"]) / col[f"den_{name}"])
-                    ev[src][0] += interval_events(ns - col[f"Na_{name}"], nt - col["Na_trap"], max_slot)
-                    ev[src][1] += interval_events(ns - col[f"Nt_{name}"], nt - col["Nt_trap"], max_slot)
-            if not (seen and n):
-                return
-            nb = len(betas)
-            out = {k: [] for k in _BETA_ARROW.names}
-            for src in ("baseline", "target"):
-                ca = np.cumsum(ev[src][0], axis=1)[:, betas]
-                ct = np.cumsum(ev[src][1], axis=1)[:, betas]
-                ra, rt = (raw["ba"], raw["bt"]) if src == "baseline" else (raw["ga"], raw["gt"])
-                at0 = betas[None, :] == 0
-                ca = np.where(at0, ra[:, None], ca)
-                ct = np.where(at0, rt[:, None], ct)
-                out["qid"].append(np.repeat(blk["qid"], nb))
-                out["source"].append(np.full(n * nb, src, dtype=object))
-                out["beta_i"].append(np.tile(betas.astype(np.int32), n))
-                out["better_a"].append(ca.reshape(-1))
-                out["better_t"].append(ct.reshape(-1))
-                out["base_a"].append(np.repeat(raw["ba"], nb))
-                out["base_t"].append(np.repeat(raw["bt"], nb))
-            yield pa.RecordBatch.from_pydict({k: np.concatenate(v) for k, v in out.items()},
-                                             schema=_BETA_ARROW)
-        return kernel
-
-    return _run(scorer, factory, BETA_SCHEMA, profile, PROFILE_SCALARS, max_bytes)
+    def kernel(blk, batches):
+        n = len(blk["qid"])
+        width = max_slot + 2
+        ev = {src: [np.zeros((n, width), np.int64), np.zeros((n, width), np.int64)]
+              for src in ("baseline", "target")}
+        raw = {k: np.zeros(n, np.int64) for k in ("ba", "bt", "ga", "gt")}
+        col = {k: blk[k][:, None] for k in PROFILE_SCALARS}
+        seen = False
+        for _, sc in score(blk, batches):
+            seen = True
+            sb, sg, st = sc["base"], sc["target"], sc["trap"]
+            rb, rg = _raw_fixed(fixed, sb), _raw_fixed(fixed, sg)
+            raw["ba"] += (rb > col["Ra_base"]).sum(axis=1)
+            raw["bt"] += (rb > col["Rt_base"]).sum(axis=1)
+            raw["ga"] += (rg > col["Ra_target"]).sum(axis=1)
+            raw["gt"] += (rg > col["Rt_target"]).sum(axis=1)
+            nt = quantize_np((st - col["mn_trap"]) / col["den_trap"])
+            for src, s, name in (("baseline", sb, "base"), ("target", sg, "target")):
+                ns = quantize_np((s - col[f"mn_{name}"]) / col[f"den_{name}"])
+                ev[src][0] += interval_events(ns - col[f"Na_{name}"], nt - col["Na_trap"], max_slot)
+                ev[src][1] += interval_events(ns - col[f"Nt_{name}"], nt - col["Nt_trap"], max_slot)
+        if not (seen and n):
+            return
+        for src, ra, rt in (("baseline", raw["ba"], raw["bt"]), ("target", raw["ga"], raw["gt"])):
+            ca, ct = (np.where(betas == 0, r[:, None], np.cumsum(e, axis=1)[:, betas]) for e, r in zip(ev[src], (ra, rt), strict=True))
+            ends = np.arange(n + 1, dtype=np.int32) * len(betas)
+            yield pa.RecordBatch.from_pydict({
+                "qid": blk["qid"], "source": [src] * n, "better_a": pa.ListArray.from_arrays(ends, ca.reshape(-1)),
+                "better_t": pa.ListArray.from_arrays(ends, ct.reshape(-1)), "base_a": raw["ba"], "base_t": raw["bt"]})
+
+    # one row per query and source leaves Python; Spark unfolds it below its partial aggregate
+    rows = _run(scorer, kernel, BETA_SCHEMA, profile, PROFILE_SCALARS, max_bytes, 8 * (4 * (max_slot + 2) + 4 + len(PROFILE_SCALARS)))
+    slots = F.arrays_zip(F.array(*[F.lit(int(b)) for b in betas]).alias("beta_i"), "better_a", "better_t")
+    return rows.select("qid", "source", F.inline(slots).alias("beta_i", "better_a", "better_t"), "base_a", "base_t")
 
 
 GRID_SCHEMA = T.StructType([
@@ -537,36 +533,33 @@ def grid_counts(scorer, profile: DataFrame, grid: Sequence[tuple[int, int, int,
     g_ids = np.array([g[0] for g in grid], np.int32)
     g_w = np.array([g[1:] for g in grid], np.int64)
 
-    def factory(bc):
-        def kernel(batches):
-            blk = bc.value
-            n = len(blk["qid"])
-            col = {k: blk[k][:, None] for k in PROFILE_SCALARS}
-            cnt_a = np.zeros((len(g_ids) + 1, n), np.int64)
-            cnt_t = np.zeros((len(g_ids) + 1, n), np.int64)
-            seen = False
-            for _, sc in score(blk, batches):
-                seen = True
-                rb = _raw_fixed(fixed, sc["base"])
-                cnt_a[-1] += (rb > col["Ra_base"]).sum(axis=1)
-                cnt_t[-1] += (rb > col["Rt_base"]).sum(axis=1)
-                nn = {name: quantize_np((sc[name] - col[f"mn_{name}"]) / col[f"den_{name}"]) for name in STREAMS}
-                for i, (a, g, b) in enumerate(g_w):
-                    f = a * nn["base"] + g * nn["target"] - b * nn["trap"]
-                    fa = a * col["Na_base"] + g * col["Na_target"] - b * col["Na_trap"]
-                    ft = a * col["Nt_base"] + g * col["Nt_target"] - b * col["Nt_trap"]
-                    cnt_a[i] += (f > fa).sum(axis=1)
-                    cnt_t[i] += (f > ft).sum(axis=1)
-            if not (seen and n):
-                return
-            ids = np.concatenate([g_ids, np.array([-1], np.int32)])
-            yield pa.RecordBatch.from_pydict({
-                "qid": np.tile(blk["qid"], len(ids)),
-                "grid_id": np.repeat(ids, n),
-                "better_a": cnt_a.reshape(-1), "better_t": cnt_t.reshape(-1)})
-        return kernel
-
-    return _run(scorer, factory, GRID_SCHEMA, profile, PROFILE_SCALARS, max_bytes)
+    def kernel(blk, batches):
+        n = len(blk["qid"])
+        col = {k: blk[k][:, None] for k in PROFILE_SCALARS}
+        cnt_a = np.zeros((len(g_ids) + 1, n), np.int64)
+        cnt_t = np.zeros((len(g_ids) + 1, n), np.int64)
+        seen = False
+        for _, sc in score(blk, batches):
+            seen = True
+            rb = _raw_fixed(fixed, sc["base"])
+            cnt_a[-1] += (rb > col["Ra_base"]).sum(axis=1)
+            cnt_t[-1] += (rb > col["Rt_base"]).sum(axis=1)
+            nn = {name: quantize_np((sc[name] - col[f"mn_{name}"]) / col[f"den_{name}"]) for name in STREAMS}
+            for i, (a, g, b) in enumerate(g_w):
+                f = a * nn["base"] + g * nn["target"] - b * nn["trap"]
+                fa = a * col["Na_base"] + g * col["Na_target"] - b * col["Na_trap"]
+                ft = a * col["Nt_base"] + g * col["Nt_target"] - b * col["Nt_trap"]
+                cnt_a[i] += (f > fa).sum(axis=1)
+                cnt_t[i] += (f > ft).sum(axis=1)
+        if not (seen and n):
+            return
+        ids = np.concatenate([g_ids, np.array([-1], np.int32)])
+        yield pa.RecordBatch.from_pydict({
+            "qid": np.tile(blk["qid"], len(ids)),
+            "grid_id": np.repeat(ids, n),
+            "better_a": cnt_a.reshape(-1), "better_t": cnt_t.reshape(-1)})
+
+    return _run(scorer, kernel, GRID_SCHEMA, profile, PROFILE_SCALARS, max_bytes, 8 * (2 * len(grid) + 2 + len(PROFILE_SCALARS)))
 
 
 TOPN_SCHEMA = T.StructType([
@@ -593,23 +586,20 @@ def local_topn(scorer, n_top: int, max_bytes: int = config.QUERY_BLOCK_BYTES) ->
         srt = {k: np.take_along_axis(v, order, axis=1) for k, v in cand.items()}
         return {k: v[:, :n_top] for k, v in srt.items()}
 
-    def factory(bc):
-        def kernel(batches):
-            blk = bc.value
-            n = len(blk["qid"])
-            pool = None
-            for ids, sc in score(blk, batches):
-                rb = _raw_fixed(fixed, sc["base"])
-                cand = {"R": rb, "id": np.broadcast_to(ids[None, :], rb.shape),
-                        "b": sc["base"], "g": sc["target"], "t": sc["trap"]}
-                pool = merge(pool, cand)
-            if pool is None or not n:
-                return
-            r, c = np.nonzero(pool["R"] != sentinel)
-            yield pa.RecordBatch.from_pydict({
-                "qid": blk["qid"][r], "doc_id": pool["id"][r, c].astype(np.int64),
-                "R_base": pool["R"][r, c], "s_base": pool["b"][r, c],
-                "s_target": pool["g"][r, c], "s_trap": pool["t"][r, c]})
-        return kernel
-
-    return _run(scorer, factory, TOPN_SCHEMA, None, [], max_bytes)
+    def kernel(blk, batches):
+        n = len(blk["qid"])
+        pool = None
+        for ids, sc in score(blk, batches):
+            rb = _raw_fixed(fixed, sc["base"])
+            cand = {"R": rb, "id": np.broadcast_to(ids[None, :], rb.shape),
+                    "b": sc["base"], "g": sc["target"], "t": sc["trap"]}
+            pool = merge(pool, cand)
+        if pool is None or not n:
+            return
+        r, c = np.nonzero(pool["R"] != sentinel)
+        yield pa.RecordBatch.from_pydict({
+            "qid": blk["qid"][r], "doc_id": pool["id"][r, c].astype(np.int64),
+            "R_base": pool["R"][r, c], "s_base": pool["b"][r, c],
+            "s_target": pool["g"][r, c], "s_trap": pool["t"][r, c]})
+
+    return _run(scorer, kernel, TOPN_SCHEMA, None, [], max_bytes, 8 * 2 * 6 * n_top)
