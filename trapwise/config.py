@@ -69,6 +69,11 @@ USER_TEMPLATE_TAIL = (
     "or extra fields.\n\n{\n\"q_target\": \"...\",\n\"q_trap\": \"...\"\n}\n"
 )
 
-# Broadcast budget for a query block (bytes).  Above it, queries are split into
-# blocks and the corpus is scanned once per block.
+# --- fixed values: limits of one embedding request -----------------------------
+REQUEST_TEXTS = 64
+REQUEST_TOKENS = 250_000
+REQUEST_TEXT_TOKENS = 8_191
+
+# Bytes of a query block with the state that a scoring pass keeps for it.  Above
+# it, queries are split into blocks that each meet every document bucket.
 QUERY_BLOCK_BYTES = 256 * 1024 * 1024

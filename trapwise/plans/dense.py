@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trapwise import config
-from trapwise.functions.vectors import sql_dot, weighted_sum
+from trapwise.functions.numeric import quantize
+from trapwise.functions.vectors import l2_normalize, sql_dot, weighted_sum, zero_for_blank
 from trapwise.operators import blockscore, evaluate
 from trapwise.session import cut_lineage
 from trapwise.sources.tables import read_table
@@ -124,3 +125,13 @@ def dense_query_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def unit_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V1 + V3: every vector unit-normalised, those of negative first component taken as blank (zero vectors);
+    the nano-unit norm and components."""
+    d = dense_docs(spark, sf_dir, MODELS["m64"])
+    blank = F.when(F.get("vec", F.lit(0)) >= 0, F.col("vec"))
+    u = d.select("doc_id", l2_normalize(zero_for_blank(blank, MODELS["m64"])).alias("u"))
+    return u.select("doc_id", quantize(F.sqrt(sql_dot("u", "u"))).alias("norm_nano"),
+                    F.array_join(F.transform("u", lambda x: quantize(x).cast("string")), ",").alias("unit_nano"))

@@ -783,3 +783,54 @@ def dense_query_profile() -> str:
                  f"max(CASE WHEN doc = answer_id THEN {c} END) AS a_{s}",
                  f"max(CASE WHEN doc = trap_id THEN {c} END) AS t_{s}"]
     return _with(DENSE_PAIRS) + "\nSELECT embedding_model, qid, " + ", ".join(cols) + " FROM s GROUP BY embedding_model, qid"
+
+
+# ------------------------------------------------------------------ requests, cache, vectors, points
+
+def request_batches(max_tokens: int = 20_000) -> str:
+    full = f"f.cnt >= {config.REQUEST_TEXTS} OR f.tok + t.n > {max_tokens}"
+    return f"""
+WITH RECURSIVE t AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS i,
+                            least(coalesce(len({tokens('text')}), 0), {config.REQUEST_TEXT_TOKENS})::BIGINT AS n FROM documents),
+f(i, doc_id, n, batch_id, cnt, tok) AS (
+  SELECT i, doc_id, n, 0::BIGINT, 1::BIGINT, n FROM t WHERE i = 1
+  UNION ALL
+  SELECT t.i, t.doc_id, t.n, CASE WHEN {full} THEN f.batch_id + 1 ELSE f.batch_id END,
+         CASE WHEN {full} THEN 1 ELSE f.cnt + 1 END, CASE WHEN {full} THEN t.n ELSE f.tok + t.n END
+  FROM f JOIN t ON t.i = f.i + 1)
+SELECT doc_id, n AS request_tokens, batch_id, cnt - 1 AS batch_pos FROM f"""
+
+
+def embedding_cache() -> str:
+    counts = " || ',' || ".join(f"(length(t) - length(replace(t, '{c}', '')))::VARCHAR" for c in "eantoirs")
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+l AS (SELECT DISTINCT t FROM d WHERE doc_id IN (SELECT doc_id FROM labels))
+SELECT doc_id, sha256(t) AS text_key, CASE WHEN t IN (SELECT t FROM l) THEN 1 ELSE 2 END::BIGINT AS run, {counts} AS counts FROM d"""
+
+
+def unit_vectors() -> str:
+    norm = f"sqrt({_dot('v', 'v')})"
+    return f"""
+WITH e AS (SELECT vec_id AS doc_id, list_transform(embedding[1:64], lambda x: CASE WHEN embedding[1] >= 0 THEN x::DOUBLE ELSE 0.0::DOUBLE END) AS v
+           FROM embeddings),
+u AS (SELECT doc_id, list_transform(v, lambda x: x / CASE WHEN nrm = 0 THEN 1.0::DOUBLE ELSE nrm END) AS u FROM (SELECT doc_id, v, {norm} AS nrm FROM e))
+SELECT doc_id, {_q(f"sqrt({_dot('u', 'u')})")} AS norm_nano,
+       array_to_string(list_transform(u, lambda x: ({_q('x')})::VARCHAR), ',') AS unit_nano FROM u"""
+
+
+def fusion_points() -> str:
+    from trapwise.operators.fusion import point_grid
+    from trapwise.plans.fusion import POINTS
+
+    k = "embedding_model"
+    values = ", ".join(f"({g.grid_id}, NULL, {g.a}, {g.g}, {g.b}, '{g.method}', {g.alpha}, {g.gamma}, {g.beta}, 'all')" for g in point_grid(POINTS))
+    grid = ("grid AS (SELECT grid_id::INTEGER AS grid_id, cand::INTEGER AS cand, a::BIGINT AS a, g::BIGINT AS g, b::BIGINT AS b, method, alpha::DOUBLE AS alpha, "
+            "gamma::DOUBLE AS gamma, beta::DOUBLE AS beta, cand_label "
+            f"FROM (VALUES {values}) t(grid_id, cand, a, g, b, method, alpha, gamma, beta, cand_label))")
+    return _with(DENSE_PAIRS, grid, _fusion_ranks(k), _fusion_summary(k)) + f"\nSELECT {_fusion_public()} FROM rows_"
+
+
+def log_files() -> str:
+    late = DECOMP.replace("ORDER BY line_no DESC", "ORDER BY (line_no % 10) % 2 = 0 DESC, line_no DESC")
+    return _with(late) + "\nSELECT id, Q_target, Q_trap, error FROM val"

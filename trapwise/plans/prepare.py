@@ -18,10 +18,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trapwise.functions.text import compose_text, title_of, ustrip
-from trapwise.operators import prepare
+from trapwise.functions.text import compose_text, title_of, tokenize, ustrip
+from trapwise.operators import batches, embedcache, prepare
 from trapwise.plans import lexical
-from trapwise.session import cut_lineage
+from trapwise.session import cut_lineage, shared_path
 from trapwise.sources.tables import read_table
 
 CONFIG_ORDER = ("A", "B")
@@ -174,3 +174,30 @@ def composed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``source`` as title over every document's text."""
     d = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return d.select("doc_id", compose_text(F.col("source"), F.col("text")).alias("text"))
+
+
+# ----------------------------------------------------------- embedding requests
+
+#: letters whose counts stand for an embedding in the cache job
+_LETTERS = "eantoirs"
+
+
+def request_batches(spark: SparkSession, sf_dir: str, max_tokens: int = 20_000) -> DataFrame:
+    """All documents in order, cut into requests by texts and tokens."""
+    d = read_table(spark, sf_dir, "documents").select("doc_id", F.size(tokenize("text")).alias("n_tokens"))
+    return batches.request_batches(d, "doc_id", "n_tokens", max_tokens=max_tokens).select("doc_id", "request_tokens", "batch_id", "batch_pos")
+
+
+def _letter_vectors(texts: DataFrame) -> DataFrame:
+    n = F.char_length("text")
+    return texts.select("text_key", F.array(*[(n - F.char_length(F.replace("text", F.lit(c), F.lit("")))).cast("double") for c in _LETTERS]).alias("vec"))
+
+
+def embedding_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V12 + J4: labelled documents are embedded first, then all documents; ``run`` tells which fill made a vector."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    cache = embedcache.EmbeddingCache(spark, shared_path(spark, "embedding-cache"))
+    labelled = read_table(spark, sf_dir, "labels").select("doc_id").distinct()
+    cache.fill(docs.join(labelled, "doc_id", "left_semi"), "letters", _letter_vectors)
+    cache.fill(docs, "letters", _letter_vectors)
+    return cache.lookup(docs, "letters").select("doc_id", "text_key", "run", F.array_join(F.transform("vec", lambda x: x.cast("long").cast("string")), ",").alias("counts"))

@@ -54,6 +54,11 @@ QUERIES = {
     "stored_scores": roundtrips.stored_scores,
     "sweep_csv": roundtrips.sweep_csv,
     "provenance_rows": roundtrips.provenance_rows,
+    "log_files": roundtrips.log_files,
+    "request_batches": prepare.request_batches,
+    "embedding_cache": prepare.embedding_cache,
+    "unit_vectors": dense.unit_vectors,
+    "fusion_points": fusion.fusion_points,
 }
 
 ORACLE = {
@@ -106,4 +111,9 @@ ORACLE = {
     "stored_scores": oracle.stored_scores(),
     "sweep_csv": oracle.dense_tradeoff(),
     "provenance_rows": oracle.provenance_rows(),
+    "log_files": oracle.log_files(),
+    "request_batches": oracle.request_batches(),
+    "embedding_cache": oracle.embedding_cache(),
+    "unit_vectors": oracle.unit_vectors(),
+    "fusion_points": oracle.fusion_points(),
 }
