@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from trapwise import config
 from trapwise.functions.numeric import quantize
 from trapwise.functions.vectors import l2_normalize, sql_dot, weighted_sum, zero_for_blank
-from trapwise.operators import blockscore, evaluate
-from trapwise.session import cut_lineage
+from trapwise.operators import blockscore, evaluate, sweepstate
+from trapwise.session import cut_lineage, shared_path
 from trapwise.sources.tables import read_table
 
 MODELS = {"m64": 64, "m32": 32}
@@ -135,3 +135,17 @@ def unit_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = d.select("doc_id", l2_normalize(zero_for_blank(blank, MODELS["m64"])).alias("u"))
     return u.select("doc_id", quantize(F.sqrt(sql_dot("u", "u"))).alias("norm_nano"),
                     F.array_join(F.transform("u", lambda x: quantize(x).cast("string")), ",").alias("unit_nano"))
+
+
+def appended_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S8 + K5: the sweep of ``m64`` over about two thirds of the vectors is stored, the others are appended to the stored
+    counts; the rows equal those of the whole sweep."""
+    docs, queries = dense_docs(spark, sf_dir, MODELS["m64"]), cut_lineage(dense_queries(spark, sf_dir, MODELS["m64"]))
+    late = F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0
+    betas = list(config.PAPER_BETA_HUNDREDTHS)
+    path = shared_path(spark, "sweep-state")
+    sweepstate.write(*sweepstate.build(docs.where(~late), queries, betas), path, "m64")
+    _, counts = sweepstate.append(*sweepstate.read(spark, path, "m64"), docs.where(~late), docs.where(late), queries, betas)
+    summed = evaluate.sum_counts(counts.withColumn("embedding_model", F.lit("m64")), ["embedding_model", "source"])
+    sw = evaluate.sweep_table(summed, ["embedding_model", "source"])
+    return evaluate.public(sw.withColumn("condition", evaluate.condition_label(F.col("source"))).withColumn("candidate_top_n", F.lit("all"))).drop("source")

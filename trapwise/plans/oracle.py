@@ -834,3 +834,7 @@ def fusion_points() -> str:
 def log_files() -> str:
     late = DECOMP.replace("ORDER BY line_no DESC", "ORDER BY (line_no % 10) % 2 = 0 DESC, line_no DESC")
     return _with(late) + "\nSELECT id, Q_target, Q_trap, error FROM val"
+
+
+def appended_sweep() -> str:
+    return f"SELECT * FROM ({dense_beta_sweep()}) WHERE embedding_model = 'm64'"

@@ -59,6 +59,7 @@ QUERIES = {
     "embedding_cache": prepare.embedding_cache,
     "unit_vectors": dense.unit_vectors,
     "fusion_points": fusion.fusion_points,
+    "appended_sweep": dense.appended_sweep,
 }
 
 ORACLE = {
@@ -116,4 +117,5 @@ ORACLE = {
     "embedding_cache": oracle.embedding_cache(),
     "unit_vectors": oracle.unit_vectors(),
     "fusion_points": oracle.fusion_points(),
+    "appended_sweep": oracle.appended_sweep(),
 }
