@@ -80,11 +80,9 @@ def lenient_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.select("line_no", t.alias("q_target"), p.alias("q_trap"))
 
 
-def streamed_decompositions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same log delivered as files in arrival order (one folder per
-    turn) and ingested with Structured Streaming, then resolved."""
+def _delivered(spark: SparkSession, sf_dir: str) -> str:
+    """The log delivered as files, one folder per turn; returns the base folder."""
     from trapwise.session import shared_path
-    from trapwise.streaming.ingest import ingest_log, read_log
 
     base = shared_path(spark, "decomposition-drop")
     c = read_table(spark, sf_dir, "conversations").select("conv_id", "turn")
@@ -92,5 +90,23 @@ def streamed_decompositions(spark: SparkSession, sf_dir: str) -> DataFrame:
         c.select((F.col("conv_id") * 10 + F.col("turn")).alias("line_no"), "turn"), "line_no")
     log.select(F.lpad(F.col("turn").cast("string"), 6, "0").alias("arrival"), "line") \
        .write.partitionBy("arrival").text(f"{base}/drop")
+    return base
+
+
+def streamed_decompositions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same log delivered as files in arrival order (one folder per
+    turn) and ingested with Structured Streaming, then resolved."""
+    from trapwise.streaming.ingest import ingest_log, read_log
+
+    base = _delivered(spark, sf_dir)
     ingest_log(spark, f"{base}/drop", f"{base}/table", f"{base}/stream-checkpoint")
     return decompose.resolve(sample(spark, sf_dir), read_log(spark, f"{base}/table"))[0]
+
+
+def streamed_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D5 + W4: the delivered log with the last line per id kept as state of the stream, then resolved."""
+    from trapwise.streaming.ingest import ingest_latest, read_latest
+
+    base = _delivered(spark, sf_dir)
+    ingest_latest(spark, f"{base}/drop", f"{base}/table", f"{base}/stream-checkpoint")
+    return decompose.resolve(sample(spark, sf_dir), read_latest(spark, f"{base}/table"))[0]

@@ -41,6 +41,7 @@ QUERIES = {
     "prompt_guard": decompose.prompt_guard,
     "lenient_responses": decompose.lenient_responses,
     "streamed_decompositions": decompose.streamed_decompositions,
+    "streamed_latest": decompose.streamed_latest,
     "combined_sweeps": reports.combined_sweeps,
     "model_comparison": reports.model_comparison,
     "scoreboard": reports.scoreboard,
@@ -99,6 +100,7 @@ ORACLE = {
     "prompt_guard": oracle.prompt_guard(),
     "lenient_responses": oracle.lenient_responses(),
     "streamed_decompositions": oracle.resolved_decompositions(),
+    "streamed_latest": oracle.resolved_decompositions(),
     "combined_sweeps": oracle.combined_sweeps(),
     "model_comparison": oracle.model_comparison(),
     "scoreboard": oracle.scoreboard(),
