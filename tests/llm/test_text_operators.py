@@ -131,8 +131,9 @@ def brute_near(rows, width):
     return {i: (len(sets[i]), root(i)) for i in ids}
 
 
-@pytest.mark.parametrize("width", [2, 5])
-def test_near_duplicates_match_brute_force(spark, width):
+@pytest.mark.parametrize(("width", "pivots"), [(2, near_dedup.PIVOTS), (5, near_dedup.PIVOTS), (2, ())])
+def test_near_duplicates_match_brute_force(spark, monkeypatch, width, pivots):
+    monkeypatch.setattr(near_dedup, "PIVOTS", pivots)  # without pivots, pairs of values propose every candidate
     rng = random.Random(width)
     rows = [(0, None), (1, ""), (2, " \t\x0b\n"), (3, "One"), (4, "one"), (5, "one two"), (6, "ONE  two\n"), (7, "É x"), (8, "é x")]
     vocabulary = [f"w{i}" for i in range(60)] + ["the", "of"] * 10

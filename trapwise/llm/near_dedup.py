@@ -16,9 +16,11 @@ proposed, which leaves out shingles that unrelated texts have in common.
 
 Large groups: a list never emits all its pairs.  First every member is
 compared with a few pivots of the list, and the links give components.  Lists
-that still hold several components go on to the next rounds, where the members are
-compared with more pivots, but only with those of another component.  What is
-still apart then is compared in full, across components.  A pair inside
+that still hold several components go on to the next round, where the members are
+compared with more pivots, but only with those of another component.  For what is
+still apart then, lists of *pairs* of retained values take the place of single ones: sets that
+overlap in ``t`` values share two of their ``k - t + 2`` rarest, and few unrelated texts
+hold the same two.  In such a list the largest component only meets the others, never itself.  A pair inside
 one component would not change the result; every other proposed pair is compared.
 """
 
@@ -94,22 +96,6 @@ def _set_kernel(width: int):
     return run
 
 
-def _flat_kernel(width: int):
-    """(rep, value) for each shingle of a text's set."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from trapwise.llm.arrowtext import slices
-
-        for batch in batches:
-            for part in slices(batch, limit=1 << 20):
-                sets = _sets(part.column("text"), width)
-                rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("rep").take(pa.array(rows)), pa.array(np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64))],
-                    names=["rep", "value"])
-
-    return run
-
-
 def _estimate_kernel(similarity: float, slack: float):
     """Drops pairs whose union sketch shares too little."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,21 +131,6 @@ def _exact_kernel(percent: int):
     return run
 
 
-def _shared_sizes(apart: DataFrame, texts: DataFrame, width: int, name: str) -> DataFrame:
-    """(rep, m): how many of a set's shingles another set in ``apart`` holds too.
-
-    No overlap with another member can be larger, which rules out members with
-    many shingles of their own before any pair is made.
-    """
-    members = apart.select("rep").distinct()
-    flat = stage_table(join_rows(texts, members, "rep", "left_semi").select("rep", "text")
-                       .mapInArrow(_flat_kernel(width), "rep long, value long"), name)
-    often = flat.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("value")
-    out = stage_table(flat.join(often, "value", "left_semi").groupBy("rep").agg(F.count_distinct("value").alias("m")), name + "-sizes")
-    release(flat)
-    return out
-
-
 def _confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame, width: int, percent: int, name: str) -> DataFrame:
     """Those of the distinct ``pairs(a, b)`` that are links."""
     s = percent / 100
@@ -180,6 +151,26 @@ def _confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame, width: int,
     return links
 
 
+def _pair_candidates(prefixes: DataFrame, apart: DataFrame, similar: Column) -> DataFrame:
+    """(a, b): members of ``apart`` of different components that share two values of their prefixes.
+
+    ``prefixes(rep, n_shingles, _values)``, the values in one global order.  Of each shared
+    pair of values, the component with the most members is only compared with the others.
+    """
+    values = F.col("_values")
+    keys = F.flatten(F.transform(values, lambda x, i: F.transform(F.slice(values, i + 2, F.size(values)), lambda y: F.xxhash64(x, y))))
+    members = apart.select("rep", "_group").distinct()
+    put = stage_table(prefixes.where(F.size(values) > 1).join(members, "rep").select("rep", "n_shingles", "_group", F.explode(keys).alias("key")), "near-pairs")
+    sizes = put.groupBy("key", "_group").agg(F.count(F.lit(1)).alias("_n"))
+    most = sizes.groupBy("key").agg(F.max(F.struct("_n", "_group")).alias("_m"), F.count(F.lit(1)).alias("_groups")) \
+        .where("_groups > 1").select("key", F.col("_m._group").alias("_most"))
+    mixed = put.join(most, "key")
+    x = mixed.where(F.col("_group") != F.col("_most")).select("key", F.col("rep").alias("a"), F.col("n_shingles").alias("n_a"), F.col("_group").alias("_ga"))
+    y = mixed.select("key", F.col("rep").alias("b"), F.col("n_shingles").alias("n_b"), F.col("_group").alias("_gb"), (F.col("_group") == F.col("_most")).alias("_top"))
+    once = F.col("_top") | (F.col("a") < F.col("b"))
+    return x.join(y, "key").where((F.col("_ga") != F.col("_gb")) & once & similar).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, k: int = SKETCH) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, class_id) for every row of ``documents(doc_id, text)``.
 
@@ -208,28 +199,26 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, k:
         F.array_sort(F.collect_list(F.struct("_lists", "value"))).alias("_shared"))  # k at most
     alone = F.col("_size") - F.size("_shared")
     reads = F.col("_size") - common_needed(F.col("n_shingles"), s, k) + 1 - alone
-    lists = stage_table(shared.where(reads > 0).select("rep", "n_shingles", F.explode(F.slice("_shared", 1, reads)).alias("_p"))
-                        .select("rep", "n_shingles", F.col("_p.value").alias("value")), "near-lists")
+    prefixes = stage_table(shared.where(reads > 0).select(
+        "rep", "n_shingles", reads.alias("_reads"), F.transform(F.slice("_shared", 1, reads + 1), lambda p: p["value"]).alias("_values")), "near-prefixes")
+    lists = prefixes.select("rep", "n_shingles", F.explode(F.slice("_values", F.lit(1), F.col("_reads"))).alias("value"))
 
-    # an overlap is at most what each set shares with others at all
-    most = F.least("m_a", "m_b")
-    similar = 100 * most >= percent * (F.col("n_a") + F.col("n_b") - most)
+    # sets of very different sizes are not similar
+    similar = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
     source = texts.withColumnRenamed("doc_id", "rep")
-    apart = lists.withColumn("_group", F.col("rep")).withColumn("m", F.col("n_shingles"))
-    links, groups, sizes = None, None, None
+    apart = lists.withColumn("_group", F.col("rep"))
+    links, groups = None, None
     for turn, n_pivots in enumerate([*PIVOTS, None]):
         if n_pivots is None:
-            x = apart.select("value", F.col("rep").alias("a"), F.col("n_shingles").alias("n_a"), F.col("m").alias("m_a"), F.col("_group").alias("_ga"))
-            y = apart.select("value", F.col("rep").alias("b"), F.col("n_shingles").alias("n_b"), F.col("m").alias("m_b"), F.col("_group").alias("_gb"))
-            pairs = x.join(y, "value").where((F.col("a") < F.col("b")) & (F.col("_ga") != F.col("_gb")) & similar).select("a", "b")
+            pairs = _pair_candidates(prefixes, apart, similar)
         else:
             # the smallest hashes under several seeds: lists of one group choose the same pivots
             pivot = apart.groupBy("value").agg(*[
                 F.min(F.struct(F.xxhash64("rep", F.lit(turn * 1000 + i)).alias("t"), F.col("rep").alias("p"), F.col("n_shingles").alias("n_b"),
-                               F.col("m").alias("m_b"), F.col("_group").alias("_gp"))).alias(f"_{i}") for i in range(n_pivots)])
+                               F.col("_group").alias("_gp"))).alias(f"_{i}") for i in range(n_pivots)])
             pivot = pivot.select("value", F.explode(F.array_distinct(F.transform(
-                F.array(*[f"_{i}" for i in range(n_pivots)]), lambda x: F.struct(x["p"].alias("p"), x["n_b"].alias("n_b"), x["m_b"].alias("m_b"), x["_gp"].alias("_gp"))))).alias("_p"))
-            pairs = apart.withColumnsRenamed({"n_shingles": "n_a", "m": "m_a"}).join(pivot.select("value", "_p.*"), "value") \
+                F.array(*[f"_{i}" for i in range(n_pivots)]), lambda x: F.struct(x["p"].alias("p"), x["n_b"].alias("n_b"), x["_gp"].alias("_gp"))))).alias("_p"))
+            pairs = apart.withColumnRenamed("n_shingles", "n_a").join(pivot.select("value", "_p.*"), "value") \
                 .where((F.col("_group") != F.col("_gp")) & similar).select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b"))
         found = _confirmed(pairs.distinct(), reps, source, width, percent, f"near-{turn}")
         links = found if links is None else links.unionByName(found)
@@ -241,10 +230,7 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, k:
             "value", "rep", "n_shingles", F.coalesce("component", "rep").alias("_group"))
         mixed = put.groupBy("value").agg(F.min("_group").alias("_low"), F.max("_group").alias("_high"), F.count(F.lit(1)).alias("_n")) \
                    .where("_low <> _high and _n > 2").select("value")
-        apart = put.join(mixed, "value", "left_semi")
-        if sizes is None:
-            sizes = _shared_sizes(stage_table(apart, "near-mixed"), source, width, "near-shared")
-        apart = stage_table(apart.join(sizes, "rep").where(100 * F.col("m") >= percent * F.col("n_shingles")), "near-apart")
+        apart = stage_table(put.join(mixed, "value", "left_semi"), "near-apart")
         if apart.isEmpty():
             break
     out = members.join(groups, members["class_id"] == groups["node"], "left") \
