@@ -260,6 +260,7 @@ def _lexical_scores(blk: dict, batches: Iterator[pa.RecordBatch]):
         ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
         tcol = batch.column(1)
         offs = tcol.offsets.to_numpy()
+        offs = offs - offs[0]  # of a slice they start further on
         h = tcol.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
         flat_w = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
         doc_of = np.repeat(np.arange(len(ids)), np.diff(offs))
