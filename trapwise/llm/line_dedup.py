@@ -31,35 +31,40 @@ MIN_CHARS = 20
 COUNTED = "eantoirs"
 
 
-def _segment(i: int, edits: int, length: Column) -> tuple[Column, Column]:
-    """0-based start and size of segment ``i`` (from 0) of a line of ``length`` characters:
-    the longer segments come last."""
+def _keys(line: Column, length: Column, edits: int, places: list[tuple[int, int, int]]) -> Column:
+    """Hashes of substrings of a line: for each (segment, shorter by, shift), the substring that equals that segment
+    of a line shorter by so much if the edits before it shift it so far.
+
+    One expression over a list of places, not one per place: unfolded, the generated code takes more memory
+    to compile than the rows.
+    """
     parts = edits + 1
-    base, more = F.floor(length / parts).cast("int"), (length % parts).cast("int")
-    longer = F.greatest(F.lit(i - parts) + more, F.lit(0))
-    return base * i + longer, base + (F.lit(i) >= F.lit(parts) - more).cast("int")
+    listed = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(less).alias("less"), F.lit(shift).alias("shift")) for i, less, shift in places])
+
+    def key(p: Column) -> Column:
+        other = length - p["less"]
+        base, more = F.floor(other / parts).cast("int"), (other % parts).cast("int")
+        # the longer segments come last
+        start = base * p["i"] + F.greatest(p["i"] - parts + more, F.lit(0))
+        size = base + (p["i"] >= F.lit(parts) - more).cast("int")
+        return F.xxhash64(p["i"], other, F.substring(line, start + (p["shift"] + 1), size))
+
+    return F.transform(listed, key)
 
 
-def segment_keys(line: Column, length: Column, edits: int) -> list[Column]:
+def segment_keys(line: Column, length: Column, edits: int) -> Column:
     """Hashed segments of a line, as the index holds them."""
-    keys = []
-    for i in range(edits + 1):
-        start, size = _segment(i, edits, length)
-        keys.append(F.xxhash64(F.lit(i), length, F.substring(line, start + 1, size)))
-    return keys
+    return _keys(line, length, edits, [(i, 0, 0) for i in range(edits + 1)])
 
 
-def probe_keys(line: Column, length: Column, edits: int) -> list[Column]:
+def probe_keys(line: Column, length: Column, edits: int) -> Column:
     """Hashed substrings that may equal a segment of a line shorter by 0 .. ``edits`` characters."""
-    keys = []
+    places = []
     for less in range(edits + 1):
-        other = length - less
         for i in range(edits + 1):
-            start, size = _segment(i, edits, other)
             left = edits - i  # segments behind this one
-            for shift in range(max(-i, less - left), min(i, less + left) + 1):
-                keys.append(F.xxhash64(F.lit(i), other, F.substring(line, start + (shift + 1), size)))
-    return keys
+            places += [(i, less, shift) for shift in range(max(-i, less - left), min(i, less + left) + 1)]
+    return _keys(line, length, edits, places)
 
 
 def letter_counts(line: Column) -> Column:
@@ -165,11 +170,12 @@ def line_links(documents: DataFrame, edits: int = EDITS, min_chars: int = MIN_CH
                                        F.sum("n").alias("n_lines"))
         .select("hash_a", "hash_b", F.col("f.doc_id").alias("doc"), F.col("f.line_no").alias("line"), "n_docs", "n_lines"), "line-firsts")
     n = F.char_length("line")
-    entries = long_lines.select(
-        "doc_id", "line_no", *hashes, letter_counts(F.col("line")).alias("counts"), F.array(*segment_keys(F.col("line"), n, edits)).alias("segments"),
-        F.array(*probe_keys(F.col("line"), n, edits)).alias("probes"))
     mine = first.select("hash_a", "hash_b", F.col("doc").alias("doc_id"), F.col("line").alias("line_no"))
-    entries = stage_table(entries.join(mine, ["hash_a", "hash_b", "doc_id", "line_no"], "left_semi").drop("hash_a", "hash_b"), "line-keys")
+    # first occurrences alone get their keys: a line's text is shorter than these
+    owned = long_lines.select("doc_id", "line_no", *hashes, "line").join(mine, ["hash_a", "hash_b", "doc_id", "line_no"], "left_semi")
+    entries = stage_table(owned.select(
+        "doc_id", "line_no", letter_counts(F.col("line")).alias("counts"), segment_keys(F.col("line"), n, edits).alias("segments"),
+        probe_keys(F.col("line"), n, edits).alias("probes")), "line-keys")
     index = entries.select(F.explode("segments").alias("key"), F.col("doc_id").alias("doc_a"), F.col("line_no").alias("line_a"), F.col("counts").alias("counts_a"))
     probes = entries.select(F.explode("probes").alias("key"), F.col("doc_id").alias("doc_b"), F.col("line_no").alias("line_b"), F.col("counts").alias("counts_b"))
     ordered = F.struct("doc_a", "line_a") < F.struct("doc_b", "line_b")
