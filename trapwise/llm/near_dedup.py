@@ -15,7 +15,7 @@ values also overlap in their ``k - t + 1`` rarest ones, so only these are
 proposed, which leaves out shingles that unrelated texts have in common.
 
 Large groups: a list never emits all its pairs.  First every member is
-compared with a few pivots of the list, and the links give components.  Lists
+compared with a few pivots of the list (those that share most with others, and random ones), and the links give components.  Lists
 that still hold several components go on to the next round, where the members are
 compared with more pivots, but only with those of another component.  For what is
 still apart then, lists of *pairs* of retained values take the place of single ones: sets that
@@ -199,9 +199,11 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, k:
         F.array_sort(F.collect_list(F.struct("_lists", "value"))).alias("_shared"))  # k at most
     alone = F.col("_size") - F.size("_shared")
     reads = F.col("_size") - common_needed(F.col("n_shingles"), s, k) + 1 - alone
+    # the original of a family holds the values that most others hold: its edited copies may only be similar to it
+    common = F.aggregate("_shared", F.lit(0.0), lambda total, p: total + p["_lists"]) / F.col("_size")
     prefixes = stage_table(shared.where(reads > 0).select(
-        "rep", "n_shingles", reads.alias("_reads"), F.transform(F.slice("_shared", 1, reads + 1), lambda p: p["value"]).alias("_values")), "near-prefixes")
-    lists = prefixes.select("rep", "n_shingles", F.explode(F.slice("_values", F.lit(1), F.col("_reads"))).alias("value"))
+        "rep", "n_shingles", reads.alias("_reads"), common.alias("_common"), F.transform(F.slice("_shared", 1, reads + 1), lambda p: p["value"]).alias("_values")), "near-prefixes")
+    lists = prefixes.select("rep", "n_shingles", "_common", F.explode(F.slice("_values", F.lit(1), F.col("_reads"))).alias("value"))
 
     # sets of very different sizes are not similar
     similar = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
@@ -212,9 +214,14 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, k:
         if n_pivots is None:
             pairs = _pair_candidates(prefixes, apart, similar)
         else:
-            # the smallest hashes under several seeds: lists of one group choose the same pivots
+            # half of them by the most common values, in part at random; the others by the smallest hashes under
+            # several seeds: lists of one group choose the same pivots
+            def rank(i: int, seed: int, n: int = n_pivots) -> Column:
+                mixed = F.xxhash64("rep", F.lit(seed))
+                return -F.col("_common") * (1 if i == 0 else 0.5 + F.pmod(mixed, F.lit(1024)) / 2048) if i < n // 2 else mixed
+
             pivot = apart.groupBy("value").agg(*[
-                F.min(F.struct(F.xxhash64("rep", F.lit(turn * 1000 + i)).alias("t"), F.col("rep").alias("p"), F.col("n_shingles").alias("n_b"),
+                F.min(F.struct(rank(i, turn * 1000 + i).alias("t"), F.col("rep").alias("p"), F.col("n_shingles").alias("n_b"),
                                F.col("_group").alias("_gp"))).alias(f"_{i}") for i in range(n_pivots)])
             pivot = pivot.select("value", F.explode(F.array_distinct(F.transform(
                 F.array(*[f"_{i}" for i in range(n_pivots)]), lambda x: F.struct(x["p"].alias("p"), x["n_b"].alias("n_b"), x["_gp"].alias("_gp"))))).alias("_p"))
@@ -227,7 +234,7 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, k:
             break
         # lists that still hold several components
         put = lists.join(groups, lists["rep"] == groups["node"], "left").select(
-            "value", "rep", "n_shingles", F.coalesce("component", "rep").alias("_group"))
+            "value", "rep", "n_shingles", "_common", F.coalesce("component", "rep").alias("_group"))
         mixed = put.groupBy("value").agg(F.min("_group").alias("_low"), F.max("_group").alias("_high"), F.count(F.lit(1)).alias("_n")) \
                    .where("_low <> _high and _n > 2").select("value")
         apart = stage_table(put.join(mixed, "value", "left_semi"), "near-apart")
