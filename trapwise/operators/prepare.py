@@ -8,7 +8,9 @@ by first appearance.  All steps are joins, aggregates and windows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from trapwise.functions.text import compose_text, ustrip
@@ -44,6 +46,24 @@ def route_not_questions(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return kept, skipped
 
 
+def write_candidates(rows: DataFrame, path: str, configs: Sequence[str]) -> DataFrame:
+    """Write the kept candidates as Parquet and return the run's counters ``(config, kept, skipped)``.
+
+    The counters are metrics observed on the rows on their way to the file, so the input is read
+    once.  No shuffle lies between the scan and the file: each task counts its own rows once.
+    """
+    seen = Observation("candidates")
+    r = rows.where(F.col("question_type") == "not").select(
+        "*", first_passage_id("positive_ctxs").alias("positive_docid"), first_passage_id("negative_ctxs").alias("negative_docid"))
+    ok = F.col("positive_docid").isNotNull() & F.col("negative_docid").isNotNull()
+    metrics = [F.count_if((F.col("config") == c) & (ok if kind == "kept" else ~ok)).alias(f"{kind}_{i}")
+               for i, c in enumerate(configs) for kind in ("kept", "skipped")]
+    r.observe(seen, *metrics).where(ok).write.parquet(path)
+    got = seen.get
+    return rows.sparkSession.createDataFrame([(c, got[f"kept_{i}"], got[f"skipped_{i}"]) for i, c in enumerate(configs)],
+                                             "config string, kept long, skipped long")
+
+
 def needed_docids(kept: DataFrame) -> DataFrame:
     """Distinct ``(config, docid)`` referenced by kept candidates."""
     ids = kept.select("config", F.explode(F.array("positive_docid", "negative_docid")).alias("docid"))

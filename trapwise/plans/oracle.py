@@ -564,6 +564,13 @@ LEFT JOIN (SELECT config, count(*) AS n FROM idx GROUP BY config) d USING (confi
 LEFT JOIN (SELECT config, count(*) AS n FROM skipped GROUP BY config) s USING (config)"""
 
 
+def run_counters() -> str:
+    return _with(PREP) + """
+SELECT config, (SELECT count(*) FROM kept WHERE kept.config = c.config) AS kept,
+       (SELECT count(*) FROM skipped WHERE skipped.config = c.config) AS skipped
+FROM (VALUES ('A'), ('B')) c(config)"""
+
+
 def labelled_sample() -> str:
     q = ustrip("s.query")
     return _with(_sample_cte()) + f"""

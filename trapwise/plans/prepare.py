@@ -120,6 +120,11 @@ def composition_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
                                   for c in ("queries", "referenced_docs", "skipped")])
 
 
+def run_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kept and skipped candidates per config, counted while the kept ones are written."""
+    return prepare.write_candidates(nested_questions(spark, sf_dir), shared_path(spark, "candidates"), CONFIG_ORDER)
+
+
 # ----------------------------------------------------------- exclusion sample
 
 

@@ -28,6 +28,7 @@ QUERIES = {
     "corpus_index": prepare.corpus_index,
     "boolq_sample": prepare.boolq_sample,
     "composition_counts": prepare.composition_counts,
+    "run_counters": prepare.run_counters,
     "labelled_sample": prepare.labelled_sample,
     "oracle_decompositions": prepare.oracle_decompositions,
     "seeded_sample": prepare.seeded_sample,
@@ -87,6 +88,7 @@ ORACLE = {
     "corpus_index": oracle.corpus_index(),
     "boolq_sample": oracle.boolq_sample(),
     "composition_counts": oracle.composition_counts(),
+    "run_counters": oracle.run_counters(),
     "labelled_sample": oracle.labelled_sample(),
     "oracle_decompositions": oracle.oracle_decompositions(),
     "seeded_sample": oracle.seeded_sample(),
