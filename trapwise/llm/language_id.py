@@ -31,6 +31,8 @@ NGRAM = 3
 MAX_PROTOTYPE_BYTES = 64 << 20
 #: distinct n-grams whose vectors a task holds at once
 GRAM_BLOCK = 8192
+#: texts bundled at once: short ones fill few bytes, but a row of counts each
+BUNDLE_ROWS = 512
 UNDETERMINED = "und"
 
 
@@ -118,7 +120,7 @@ def _vector_kernel(dimensions: int, ngram: int):
 
         letters = state.setdefault("letters", _Letters(dimensions, ngram))
         for batch in batches:
-            for part in slices(batch, limit=1 << 20):
+            for part in (x.slice(a, BUNDLE_ROWS) for x in slices(batch, limit=1 << 20) for a in range(0, x.num_rows, BUNDLE_ROWS)):
                 vectors, has = _bundle(part.column("text").to_pylist(), letters)
                 peak = np.maximum(np.abs(vectors).max(axis=1, keepdims=True), 1)
                 small = np.rint(vectors * (127 / peak)).astype(np.int8)
