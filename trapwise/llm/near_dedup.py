@@ -17,10 +17,10 @@ proposed, which leaves out shingles that unrelated texts have in common.
 Large groups: a list never emits all its pairs.  First every member is
 compared with a few pivots of the list (those that share most with others, and random ones), and the links give components.  Lists
 that still hold several components go on to the next round, where the members are
-compared with more pivots, but only with those of another component.  For what is
-still apart then, lists of *pairs* of retained values take the place of single ones: sets that
-overlap in ``t`` values share two of their ``k - t + 2`` rarest, and few unrelated texts
-hold the same two.  In such a list the largest component only meets the others, never itself.  A pair inside
+compared with more pivots, but only with those of another component.  What is still apart then is
+compared across components, each pair in the list of its first common value alone: sets that
+overlap in ``t`` values share two of their ``k - t + 2`` rarest.  In such a list the largest component only meets the
+others, never itself; members of many small components do meet each other.  A pair inside
 one component would not change the result; every other proposed pair is compared.
 """
 
@@ -152,23 +152,27 @@ def _confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame, width: int,
 
 
 def _pair_candidates(prefixes: DataFrame, apart: DataFrame, similar: Column) -> DataFrame:
-    """(a, b): members of ``apart`` of different components that share two values of their prefixes.
+    """(a, b): members of ``apart`` of different components that share two values of their prefixes, once each.
 
-    ``prefixes(rep, n_shingles, _values)``, the values in one global order.  Of each shared
-    pair of values, the component with the most members is only compared with the others.
+    ``prefixes(rep, n_shingles, _reads, _values)``, the values in one global order; similar sets have
+    their first common value among the first ``_reads``.  A pair is proposed in the list of its first common value
+    alone.  Of each list, the component with the most members is only compared with the others.
     """
-    values = F.col("_values")
-    keys = F.flatten(F.transform(values, lambda x, i: F.transform(F.slice(values, i + 2, F.size(values)), lambda y: F.xxhash64(x, y))))
     members = apart.select("rep", "_group").distinct()
-    put = stage_table(prefixes.where(F.size(values) > 1).join(members, "rep").select("rep", "n_shingles", "_group", F.explode(keys).alias("key")), "near-pairs")
-    sizes = put.groupBy("key", "_group").agg(F.count(F.lit(1)).alias("_n"))
-    most = sizes.groupBy("key").agg(F.max(F.struct("_n", "_group")).alias("_m"), F.count(F.lit(1)).alias("_groups")) \
-        .where("_groups > 1").select("key", F.col("_m._group").alias("_most"))
-    mixed = put.join(most, "key")
-    x = mixed.where(F.col("_group") != F.col("_most")).select("key", F.col("rep").alias("a"), F.col("n_shingles").alias("n_a"), F.col("_group").alias("_ga"))
-    y = mixed.select("key", F.col("rep").alias("b"), F.col("n_shingles").alias("n_b"), F.col("_group").alias("_gb"), (F.col("_group") == F.col("_most")).alias("_top"))
+    put = stage_table(prefixes.join(members, "rep").select("rep", "n_shingles", "_group", "_values", F.explode(F.slice("_values", F.lit(1), F.col("_reads"))).alias("value")),
+                      "near-pairs")
+    sizes = put.groupBy("value", "_group").agg(F.count(F.lit(1)).alias("_n"))
+    most = sizes.groupBy("value").agg(F.max(F.struct("_n", "_group")).alias("_m"), F.count(F.lit(1)).alias("_groups")) \
+        .where("_groups > 1").select("value", F.col("_m._group").alias("_most"))
+    mixed = put.join(most, "value")
+    x = mixed.where(F.col("_group") != F.col("_most")).select(
+        "value", F.col("rep").alias("a"), F.col("n_shingles").alias("n_a"), F.col("_group").alias("_ga"), F.col("_values").alias("_va"))
+    y = mixed.select("value", F.col("rep").alias("b"), F.col("n_shingles").alias("n_b"), F.col("_group").alias("_gb"), F.col("_values").alias("_vb"),
+                     (F.col("_group") == F.col("_most")).alias("_top"))
     once = F.col("_top") | (F.col("a") < F.col("b"))
-    return x.join(y, "key").where((F.col("_ga") != F.col("_gb")) & once & similar).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    common = F.array_intersect("_va", "_vb")
+    first = (F.size(common) > 1) & (F.get(common, F.lit(0)) == F.col("value"))
+    return x.join(y, "value").where((F.col("_ga") != F.col("_gb")) & once & similar & first).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, k: int = SKETCH) -> DataFrame:
