@@ -23,66 +23,75 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trapwise.llm.common import join_rows, need, release, stage_table
+from trapwise.llm.common import drop_shuffles, join_rows, need, release, stage_table
 
 EDITS = 2
 MIN_CHARS = 20
-#: letters that are counted before two lines are compared (frequent in Latin scripts; elsewhere the filter lets all pass)
-COUNTED = "eantoirs"
+#: classes of letters that are counted before two lines are compared, frequent ones first (Latin script; elsewhere the filter lets all pass)
+COUNTED = ("e", "t", "a", "o", "i", "n", "s", "r", "h", "l", "d", "c", "um", "gpw", "fybk", "vxjqz")
 
 
-def _keys(line: Column, length: Column, edits: int, places: list[tuple[int, int, int]]) -> Column:
-    """Hashes of substrings of a line: for each (segment, shorter by, shift), the substring that equals that segment
-    of a line shorter by so much if the edits before it shift it so far.
+def _places(edits: int) -> list[tuple[int, int, int]]:
+    """(segment, shorter by, shift) of a line's substrings that may equal a segment of a line shorter by 0 .. ``edits``
+    characters, if the edits before the segment shift it so far."""
+    places = []
+    for less in range(edits + 1):
+        for i in range(edits + 1):
+            left = edits - i  # segments behind this one
+            places += [(i, less, shift) for shift in range(max(-i, less - left), min(i, less + left) + 1)]
+    return places
+
 
-    One expression over a list of places, not one per place: unfolded, the generated code takes more memory
-    to compile than the rows.
+def with_keys(lines: DataFrame, edits: int) -> DataFrame:
+    """``lines(line, ...)`` plus ``segments``, its hashed segments as the index holds them, and ``probes``, the hashed
+    substrings that may equal a segment of another line.
+
+    Lengths are columns of their own, so each is taken once a line and a key is a substring and its hash.
     """
     parts = edits + 1
-    listed = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(less).alias("less"), F.lit(shift).alias("shift")) for i, less, shift in places])
+    sized = lines.withColumn("_n", F.char_length("line"))
+    # segments of a line shorter by so much: their size, and how many of the last ones are longer by one
+    cut = sized.withColumns({f"_{name}{less}": c for less in range(parts) for name, c in (
+        ("size", F.floor((F.col("_n") - less) / parts).cast("int")), ("more", (F.col("_n") - less) % parts))})
 
-    def key(p: Column) -> Column:
-        other = length - p["less"]
-        base, more = F.floor(other / parts).cast("int"), (other % parts).cast("int")
-        # the longer segments come last
-        start = base * p["i"] + F.greatest(p["i"] - parts + more, F.lit(0))
-        size = base + (p["i"] >= F.lit(parts) - more).cast("int")
-        return F.xxhash64(p["i"], other, F.substring(line, start + (p["shift"] + 1), size))
+    def key(i: int, less: int, shift: int) -> Column:
+        size, more = F.col(f"_size{less}"), F.col(f"_more{less}")
+        start = size * i + F.greatest(more + (i - parts), F.lit(0))
+        return F.xxhash64(F.lit(i), F.col("_n") - less, F.substring("line", start + (shift + 1), size + (more >= parts - i).cast("int")))
 
-    return F.transform(listed, key)
+    return cut.select(*lines.columns, F.array(*[key(i, 0, 0) for i in range(parts)]).alias("segments"),
+                      F.array(*[key(*p) for p in _places(edits)]).alias("probes"))
 
 
-def segment_keys(line: Column, length: Column, edits: int) -> Column:
-    """Hashed segments of a line, as the index holds them."""
-    return _keys(line, length, edits, [(i, 0, 0) for i in range(edits + 1)])
+def letter_counts(line: Column) -> Column:
+    """Counts of the sixteen classes of ``COUNTED`` letters, each modulo 16, in one long.
 
+    Each class is taken out of what the classes before it have left.
+    """
+    width = max(map(len, COUNTED))
+    classes = F.array(*[F.struct(*[F.lit(c[k:k + 1]).alias(f"c{k}") for k in range(width)], F.lit(4 * i).alias("at")) for i, c in enumerate(COUNTED)])
 
-def probe_keys(line: Column, length: Column, edits: int) -> Column:
-    """Hashed substrings that may equal a segment of a line shorter by 0 .. ``edits`` characters."""
-    places = []
-    for less in range(edits + 1):
-        for i in range(edits + 1):
-            left = edits - i  # segments behind this one
-            places += [(i, less, shift) for shift in range(max(-i, less - left), min(i, less + left) + 1)]
-    return _keys(line, length, edits, places)
+    def count(s: Column) -> Column:
+        return (s["size"] - F.octet_length(s["rest"])).cast("long").bitwiseAND(F.lit(15))
 
+    def step(s: Column, c: Column) -> Column:
+        rest = s["rest"]
+        for k in range(width):
+            rest = F.replace(rest, c[f"c{k}"], F.lit(""))
+        # what the class before took away
+        packed = s["packed"].bitwiseOR(F.call_function("shiftleft", count(s), c["at"] - 4))
+        return F.struct(rest.alias("rest"), F.octet_length(s["rest"]).alias("size"), packed.alias("packed"))
 
-def letter_counts(line: Column) -> Column:
-    """Counts of the eight ``COUNTED`` letters, each modulo 256, in one long."""
-    n = F.char_length(line)
-    packed = F.lit(0).cast("long")
-    for k, letter in enumerate(COUNTED):
-        count = (n - F.char_length(F.replace(line, F.lit(letter), F.lit("")))).cast("long").bitwiseAND(F.lit(255))
-        packed = packed.bitwiseOR(F.shiftleft(count, 8 * k))
-    return packed
+    zero = F.struct(line.alias("rest"), F.octet_length(line).alias("size"), F.lit(0).cast("long").alias("packed"))
+    return F.aggregate(classes, zero, step, lambda s: s["packed"].bitwiseOR(F.shiftleft(count(s), 4 * (len(COUNTED) - 1))))
 
 
 def counts_apart(a: str, b: str) -> Column:
     """Sum of the differences of two packed counts (never more than the true one)."""
     total = F.lit(0).cast("long")
     for k in range(len(COUNTED)):
-        x, y = (F.shiftrightunsigned(c, 8 * k).bitwiseAND(F.lit(255)) for c in (F.col(a), F.col(b)))
-        total = total + F.least(F.abs(x - y), 256 - F.abs(x - y))
+        x, y = (F.shiftrightunsigned(c, 4 * k).bitwiseAND(F.lit(15)) for c in (F.col(a), F.col(b)))
+        total = total + F.least(F.abs(x - y), 16 - F.abs(x - y))
     return total
 
 
@@ -143,8 +152,8 @@ def _hashes() -> list[Column]:
 
 
 def lines_of(documents: DataFrame) -> DataFrame:
-    """(doc_id, line_no from 0, line) of ``documents(doc_id, text)``; a null text has no lines."""
-    return documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    """(doc_id, line_no from 0, line) of ``documents(doc_id, text)``, and other columns of it; a null text has no lines."""
+    return documents.select(*[c for c in documents.columns if c != "text"], F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
 def _compared(min_chars: int, short_copies: bool) -> Column:
@@ -156,32 +165,43 @@ def _compared(min_chars: int, short_copies: bool) -> Column:
 def line_links(documents: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, short_copies: bool = False) -> tuple[DataFrame, DataFrame]:
     """Distinct lines and the links between different ones; only lines of ``min_chars`` characters are linked.
 
-    Returns ``lines(hash_a, hash_b, doc, line, n_docs, n_lines)`` - first occurrence,
+    Returns ``lines(hash_a, hash_b, doc, line, late, grp, n_docs, n_lines)`` - first occurrence,
     documents and occurrences - and ``links(doc_a, line_a, doc_b, line_b)``, every
     pair of first occurrences within ``edits`` edits, earlier one first.
+
+    With a column ``group``, documents that have one are ``late``: they come after all others and are not
+    counted, and two lines of one group (``grp``) are only linked when neither is late.
     """
     documents = documents.where("doc_id is not null")
+    grouped = "group" in documents.columns
+    late, grp = (F.col("group").isNotNull(), F.coalesce("group", "doc_id")) if grouped else (F.lit(False), F.col("doc_id"))
+    by = ["doc_id", "group"] if grouped else ["doc_id"]
     all_lines = lines_of(documents).where(_compared(min_chars, short_copies))
     long_lines = all_lines.where(F.char_length("line") >= min_chars)
     hashes = _hashes()
     first = stage_table(
-        all_lines.select("doc_id", "line_no", *hashes).groupBy("hash_a", "hash_b", "doc_id").agg(F.min("line_no").alias("line_no"), F.count(F.lit(1)).alias("n"))
-        .groupBy("hash_a", "hash_b").agg(F.min(F.struct("doc_id", "line_no")).alias("f"), F.count(F.lit(1)).alias("n_docs"),
-                                       F.sum("n").alias("n_lines"))
-        .select("hash_a", "hash_b", F.col("f.doc_id").alias("doc"), F.col("f.line_no").alias("line"), "n_docs", "n_lines"), "line-firsts")
-    n = F.char_length("line")
+        all_lines.select(*by, "line_no", *hashes).groupBy("hash_a", "hash_b", *by).agg(F.min("line_no").alias("line_no"), F.count(F.lit(1)).alias("n"))
+        .groupBy("hash_a", "hash_b").agg(F.min(F.struct(late.alias("late"), "doc_id", "line_no", grp.alias("grp"))).alias("f"),
+                                       F.greatest(F.count(F.when(~late, 1)), F.lit(1).cast("long")).alias("n_docs"),
+                                       F.coalesce(F.sum(F.when(~late, F.col("n"))), F.lit(0).cast("long")).alias("n_lines"))
+        .select("hash_a", "hash_b", F.col("f.doc_id").alias("doc"), F.col("f.line_no").alias("line"), "f.late", "f.grp", "n_docs", "n_lines"), "line-firsts")
     mine = first.select("hash_a", "hash_b", F.col("doc").alias("doc_id"), F.col("line").alias("line_no"))
     # first occurrences alone get their keys: a line's text is shorter than these
-    owned = long_lines.select("doc_id", "line_no", *hashes, "line").join(mine, ["hash_a", "hash_b", "doc_id", "line_no"], "left_semi")
-    entries = stage_table(owned.select(
-        "doc_id", "line_no", letter_counts(F.col("line")).alias("counts"), segment_keys(F.col("line"), n, edits).alias("segments"),
-        probe_keys(F.col("line"), n, edits).alias("probes")), "line-keys")
-    index = entries.select(F.explode("segments").alias("key"), F.col("doc_id").alias("doc_a"), F.col("line_no").alias("line_a"), F.col("counts").alias("counts_a"))
-    probes = entries.select(F.explode("probes").alias("key"), F.col("doc_id").alias("doc_b"), F.col("line_no").alias("line_b"), F.col("counts").alias("counts_b"))
-    ordered = F.struct("doc_a", "line_a") < F.struct("doc_b", "line_b")
-    same = (F.col("doc_a") == F.col("doc_b")) & (F.col("line_a") == F.col("line_b"))
+    owned = long_lines.select(*by, "line_no", *hashes, "line").join(mine, ["hash_a", "hash_b", "doc_id", "line_no"], "left_semi")
+    entries = stage_table(with_keys(owned.select("doc_id", "line_no", letter_counts(F.col("line")).alias("counts"),
+                                                 *([late.alias("late"), grp.alias("grp")] if grouped else []), "line"), edits).drop("line"), "line-keys")
+    drop_shuffles(entries.sparkSession)
+    own = ["doc_id", "line_no", "counts", *(["late", "grp"] if grouped else [])]
+    short = {"doc_id": "doc", "line_no": "line"}
+    index, probes = (entries.select(F.explode(keys).alias("key"), *[F.col(c).alias(f"{short.get(c, c)}_{side}") for c in own])
+                     for keys, side in (("segments", "a"), ("probes", "b")))
+    place = ["late", "doc", "line"] if grouped else ["doc", "line"]
+    ordered = F.struct(*[f"{c}_a" for c in place]) < F.struct(*[f"{c}_b" for c in place])
+    apart = ~((F.col("doc_a") == F.col("doc_b")) & (F.col("line_a") == F.col("line_b")))
+    if grouped:
+        apart = apart & ~((F.col("late_a") | F.col("late_b")) & (F.col("grp_a") == F.col("grp_b")))
     flip = {"doc_a": "doc_b", "line_a": "line_b", "doc_b": "doc_a", "line_b": "line_a"}
-    pairs = stage_table(index.join(probes, "key").where(~same & (counts_apart("counts_a", "counts_b") <= 2 * edits)).select(*[
+    pairs = stage_table(index.join(probes, "key").where(apart & (counts_apart("counts_a", "counts_b") <= 2 * edits)).select(*[
         F.when(ordered, F.col(c)).otherwise(F.col(flip[c])).alias(c) for c in flip]).distinct(), "line-pairs")
     release(entries)
 
@@ -204,35 +224,36 @@ def line_links(documents: DataFrame, edits: int = EDITS, min_chars: int = MIN_CH
 def _repeats(documents: DataFrame, edits: int, min_chars: int, min_docs: int, short_copies: bool, groups: DataFrame | None = None) -> DataFrame:
     """(doc_id, line_no, near): the line occurrences that go.
 
-    With ``groups(doc_id, group)``, only the documents with ``doc_id = group`` give first occurrences. The others of a
-    group lose the lines that come first in, or were linked to an earlier line of, a document of another group.
+    With ``groups(doc_id, group)``, the documents with ``doc_id = group`` come first and lose what comes earlier among
+    them. The others of a group lose the lines that come first in, or are linked to an earlier line of, a document of
+    another group, and their own repeats.
     """
     copies = None
     if groups is not None:
-        grouped = stage_table(join_rows(documents, groups.select("doc_id", "group").where("doc_id <> group"), "doc_id", "left"), "line-groups")
-        documents, copies = grouped.where("group is null").drop("group"), grouped.where("group is not null")
+        documents = stage_table(join_rows(documents, groups.select("doc_id", "group").where("doc_id <> group"), "doc_id", "left"), "line-groups")
+        copies = documents.where("group is not null")
     first, links = line_links(documents, edits, min_chars, short_copies)
-    at = first.select("doc", "line", "n_docs")
+    at = first.select("doc", "line", "n_docs", "grp")
     ends = links.select(F.col("doc_b").alias("doc"), F.col("line_b").alias("line"), F.col("doc_a").alias("_d"), F.col("line_a").alias("_l"), F.lit(1).alias("_earlier")) \
         .unionByName(links.select(F.col("doc_a").alias("doc"), F.col("line_a").alias("line"), F.col("doc_b").alias("_d"), F.col("line_b").alias("_l"), F.lit(0).alias("_earlier")))
+    source = F.when(F.col("_earlier") == 1, F.col("grp"))
     linked = ends.join(at.withColumnsRenamed({"doc": "_d", "line": "_l"}), ["_d", "_l"]) \
-        .groupBy("doc", "line").agg(F.sum("n_docs").alias("_more"), F.min(F.when(F.col("_earlier") == 1, F.col("_d"))).alias("_source"))
+        .groupBy("doc", "line").agg(F.sum("n_docs").alias("_more"), F.min(source).alias("_low"), F.max(source).alias("_high"))
     counted = first.join(linked, ["doc", "line"], "left").where(F.col("n_docs") + F.coalesce("_more", F.lit(0)) >= min_docs) \
-        .select("hash_a", "hash_b", "doc", F.col("line").alias("at"), "n_lines", "_source")
-    targets = stage_table(counted.where((F.col("n_lines") > 1) | F.col("_source").isNotNull())
-                          .select("hash_a", "hash_b", "doc", "at", F.col("_source").isNotNull().alias("_near")), "line-targets")
-    found = lines_of(documents).where(_compared(min_chars, short_copies)).select("doc_id", "line_no", *_hashes()).join(targets, ["hash_a", "hash_b"])
+        .select("hash_a", "hash_b", "doc", F.col("line").alias("at"), "late", "grp", "n_lines", F.col("_low").isNotNull().alias("_near"),
+                F.coalesce((F.col("_low") != F.col("grp")) | (F.col("_high") != F.col("grp")), F.lit(False)).alias("_other"))
+    targets = stage_table(counted.where(~F.col("late") & ((F.col("n_lines") > 1) | F.col("_near")))
+                          .select("hash_a", "hash_b", "doc", "at", "_near"), "line-targets")
+    own_lines = documents if copies is None else documents.where("group is null")
+    found = lines_of(own_lines).where(_compared(min_chars, short_copies)).select("doc_id", "line_no", *_hashes()).join(targets, ["hash_a", "hash_b"])
     again = (F.col("doc_id") != F.col("doc")) | (F.col("line_no") != F.col("at"))
     out = found.where(again | F.col("_near")).select("doc_id", "line_no", (~again).alias("near"))
     if copies is not None:
-        theirs = copies.select("doc_id", "group", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(_compared(min_chars, short_copies)) \
-            .select("doc_id", "group", "line_no", *_hashes())
+        theirs = lines_of(copies).where(_compared(min_chars, short_copies)).select("doc_id", "group", "line_no", *_hashes())
         own = Window.partitionBy("doc_id", "hash_a", "hash_b")  # lines of one document
-        theirs = theirs.withColumn("_own", F.min("line_no").over(own)).join(counted, ["hash_a", "hash_b"], "left")
-        before = (F.col("doc") != F.col("group")) | (F.col("line_no") != F.col("_own"))
-        near = F.coalesce("_source", "group") != F.col("group")
-        out = out.unionByName(theirs.where(F.coalesce(before, F.lit(False)) | near).select(
-            "doc_id", "line_no", F.coalesce(~before, F.lit(False)).alias("near")))
+        theirs = theirs.withColumn("_own", F.min("line_no").over(own)).join(counted, ["hash_a", "hash_b"])
+        before = (F.col("grp") != F.col("group")) | (F.col("line_no") != F.col("_own"))
+        out = out.unionByName(theirs.where(before | F.col("_other")).select("doc_id", "line_no", (~before).alias("near")))
     return out
 
 
@@ -259,8 +280,9 @@ def dedup_lines(documents: DataFrame, edits: int = EDITS, min_chars: int = MIN_C
     ``lines_*`` are replaced.
 
     ``groups(doc_id, group)`` names versions of one document (``group``: the smallest doc_id of them): lines are
-    counted in the first version alone, and the other versions lose what it loses, or what comes first in a document of
-    another group, so they stay as alike as they were.
+    counted in the first version alone, and the other versions lose what it loses, or what comes first in (or is linked
+    to an earlier line of) a document of another group, so they stay as alike as they were.  First versions
+    come before all others, also for lines that only later versions hold.
     """
     rest = documents.drop("lines_total", "lines_removed", "lines_near")
     repeats = _repeats(need(documents, doc_id="long", text="string"), edits, min_chars, min_docs, short_copies, groups)

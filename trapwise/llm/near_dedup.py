@@ -151,8 +151,8 @@ def _confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame, width: int,
     return links
 
 
-def _pair_candidates(prefixes: DataFrame, apart: DataFrame, similar: Column) -> DataFrame:
-    """(a, b): members of ``apart`` of different components that share two values of their prefixes, once each.
+def _pair_candidates(prefixes: DataFrame, apart: DataFrame, similar: Column) -> tuple[DataFrame, DataFrame]:
+    """(a, b), and the stored lists they are read from: members of ``apart`` of different components that share two values of their prefixes, once each.
 
     ``prefixes(rep, n_shingles, _reads, _values)``, the values in one global order; similar sets have
     their first common value among the first ``_reads``.  A pair is proposed in the list of its first common value
@@ -172,7 +172,8 @@ def _pair_candidates(prefixes: DataFrame, apart: DataFrame, similar: Column) ->
     once = F.col("_top") | (F.col("a") < F.col("b"))
     common = F.array_intersect("_va", "_vb")
     first = (F.size(common) > 1) & (F.get(common, F.lit(0)) == F.col("value"))
-    return x.join(y, "value").where((F.col("_ga") != F.col("_gb")) & once & similar & first).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = x.join(y, "value").where((F.col("_ga") != F.col("_gb")) & once & similar & first).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return pairs, put
 
 
 def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, k: int = SKETCH) -> DataFrame:
@@ -195,6 +196,7 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, k:
                           .select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("class_id")), "near-classes")
     own = docs.withColumnRenamed("doc_id", "rep").join(classes, [*key, "rep"]).dropDuplicates(["rep", *key])
     reps = stage_table(own.select("rep", "n_shingles", "sketch").dropDuplicates(["rep"]), "near-reps")
+    release(docs)
 
     # inverted lists of the rarest retained values
     posts = reps.select("rep", "n_shingles", F.size("sketch").alias("_size"), F.explode("sketch").alias("value"))
@@ -213,10 +215,11 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, k:
     similar = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
     source = texts.withColumnRenamed("doc_id", "rep")
     apart = lists.withColumn("_group", F.col("rep"))
-    links, groups = None, None
+    links, groups, stored = None, None, [reps, prefixes]
     for turn, n_pivots in enumerate([*PIVOTS, None]):
         if n_pivots is None:
-            pairs = _pair_candidates(prefixes, apart, similar)
+            pairs, put = _pair_candidates(prefixes, apart, similar)
+            stored.append(put)
         else:
             # half of them by the most common values, in part at random; the others by the smallest hashes under
             # several seeds: lists of one group choose the same pivots
@@ -242,8 +245,10 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, k:
         mixed = put.groupBy("value").agg(F.min("_group").alias("_low"), F.max("_group").alias("_high"), F.count(F.lit(1)).alias("_n")) \
                    .where("_low <> _high and _n > 2").select("value")
         apart = stage_table(put.join(mixed, "value", "left_semi"), "near-apart")
+        stored.append(apart)
         if apart.isEmpty():
             break
+    release(*stored)
     out = members.join(groups, members["class_id"] == groups["node"], "left") \
                  .withColumn("component_id", F.coalesce("component", "class_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "class_id")
