@@ -62,3 +62,12 @@ def test_small_documents_are_not_cut_up_for_the_sake_of_cells(spark):
 def test_each_cell_has_a_partition(spark):
     keys = spark.createDataFrame([(k,) for k in blockscore.cell_keys(spark, 24)], "k long")
     assert keys.repartition(24, "k").select(F.spark_partition_id()).distinct().count() == 24
+
+
+def test_partitions_of_terms_grow_with_the_input(spark, tmpdir_path):
+    n = blockscore.kernel_parallelism(spark)
+    spark.range(10).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text")).write.parquet(tmpdir_path + "/few")
+    assert blockscore.spread(spark.read.parquet(tmpdir_path + "/few"), "doc_id").rdd.getNumPartitions() == n
+    # stored bytes over what the cores' partitions may hold, and still below their splits
+    spark.range(0, 3_500_000, 1, 1).select(F.col("id").alias("doc_id"), F.md5(F.col("id").cast("string")).alias("text")).write.parquet(tmpdir_path + "/docs")
+    assert blockscore.spread(spark.read.parquet(tmpdir_path + "/docs"), "doc_id").rdd.getNumPartitions() > n

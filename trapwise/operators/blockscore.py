@@ -59,6 +59,9 @@ _DENSE_BYTES = 64 * 1024 * 1024  # per-stream budget of that dense query matrix
 # documents of one cell
 DOC_BUCKET_BYTES = 128 * 1024 * 1024
 _KEYED_CELLS = 256
+# input bytes (as stored) of a partition whose terms are counted together
+_KEYED_BYTES = 8 * 1024 * 1024
+_UNKNOWN_BYTES = 2 ** 50  # the optimizer's estimate of rows that are not read from files is larger
 _BLOCK_QUERIES = 64  # fewer queries are no block of their own for the sake of more cells
 # partial counts that are summed at once
 _SUM_BYTES = 64 * 1024 * 1024
@@ -440,17 +443,17 @@ def kernel_parallelism(spark) -> int:
 
 
 def spread(df: DataFrame, key: str | None = None) -> DataFrame:
-    """Deal a small input out over the cores.
+    """Deal an input out over the cores.
 
-    A large one keeps its splits, so a task's share of it does not depend on a session
-    setting.  Its size is the optimizer's estimate: nothing is planned or read for it.
+    With a ``key``, partitions hold about ``_KEYED_BYTES`` of the input, whatever its size, and a later aggregate on
+    the key needs no shuffle; otherwise a large input keeps its splits.  The size is the optimizer's
+    estimate: nothing is planned or read for it.
     """
     p = kernel_parallelism(df.sparkSession)
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size < p * _split_bytes(df.sparkSession):
-        # hash by ``key`` when given, so a later aggregate on it needs no shuffle
-        return df.repartition(p, key) if key else df.repartition(p)
-    return df
+    if key and size < _UNKNOWN_BYTES:
+        return df.repartition(max(p, math.ceil(size / _KEYED_BYTES)), key)
+    return df.repartition(p) if size < p * _split_bytes(df.sparkSession) else df
 
 
 def _split_bytes(spark) -> int:
