@@ -155,6 +155,38 @@ def test_near_duplicates_match_brute_force(spark, monkeypatch, width, pivots):
     assert near_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_families_below_the_limit_make_no_pair_rows(spark, monkeypatch):
+    """Texts that are all just below the limit to each other: no Python, and no stored table has a row per pair."""
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(150)]
+    rows = []
+    for i in range(150):
+        copy = base[:]
+        for k in rng.sample(range(150), 13):
+            copy[k] = f"x{i}-{k}"
+        rows.append((i, " ".join(copy)))
+    rows.append((150, rows[149][1] + " more"))
+    sizes = {}
+
+    def counted(df, name, store=near_dedup.stage_table):
+        out = store(df, name)
+        sizes[name] = out.count()
+        return out
+
+    def no_python(*_):
+        raise AssertionError("Python on the executors")
+
+    monkeypatch.setattr(near_dedup, "PIVOTS", (1,))
+    monkeypatch.setattr(near_dedup, "LIST_PART", 16)
+    monkeypatch.setattr(near_dedup, "stage_table", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(type(df), "mapInArrow", no_python)
+    got = near_dedup.near_duplicates(df, width=2).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_near(rows, 2)
+    lists = sizes["near-1-put"]
+    assert sizes["near-1-proposed"] <= lists and sizes["near-1-likely"] <= lists and sizes["near-1-links"] < 20
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(0, 40)] + [(100, 50), (100, 60), (60, 70), (200, 201), (5, 5)]
     got = {r.node: r.component for r in connected(spark.createDataFrame(links, "a long, b long")).collect()}

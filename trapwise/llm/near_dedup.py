@@ -5,7 +5,7 @@ smallest hashes of its shingle set.  Documents with equal sets are one class.
 Inverted lists of the retained values propose pairs, the sketch of the union
 (the ``k`` smallest of both sketches) estimates their similarity, and an exact
 comparison of the full sets confirms each link.  Components of the links
-decide which document of a group stays.
+decide which document of a group stays.  All of it is column expressions and joins.
 
 Which lists are read: two classes of similarity ``s`` share about ``s * k``
 retained values, and more than ``common_needed`` of them (five standard deviations
@@ -22,26 +22,26 @@ compared across components, each pair in the list of its first common value alon
 overlap in ``t`` values share two of their ``k - t + 2`` rarest.  In such a list the largest component only meets the
 others, never itself; members of many small components do meet each other.  A pair inside
 one component would not change the result; every other proposed pair is compared.
+
+That last comparison makes no row per pair: semi joins leave the members that have a partner by their rarest values, then by
+their sketches, and the join of these compares the full sets in its condition, so only links come out of it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trapwise.llm.common import join_rows, need, release, stage_table
+from trapwise.llm.common import ascii_lower, join_rows, need, release, stage_table
 from trapwise.llm.components import connected
-from trapwise.session import ship_package
 
 SKETCH = 64
 #: pivots of each list, round by round; later rounds only see lists that hold several components
 PIVOTS = (4, 24)
 #: standard deviations that the overlap of two sketches may fall short of what is expected
 SLACK = 5.0
+#: members of a list that one task compares with the whole list
+LIST_PART = 512
 
 
 def common_needed(n: Column, similarity: float, k: int) -> Column:
@@ -50,130 +50,129 @@ def common_needed(n: Column, similarity: float, k: int) -> Column:
     A set that is small enough lies whole in its own sketch and in those of
     all similar sets, so the count is exact; a larger one shares ``similarity * k`` or more on average.
     """
-    spread = SLACK * float(np.sqrt(similarity * (1 - similarity) * k))
+    spread = SLACK * (similarity * (1 - similarity) * k) ** 0.5
     return F.when(n <= int(similarity * k), F.ceil(similarity * n).cast("int")).otherwise(
         F.greatest(F.lit(1), F.floor(similarity * F.least(n, F.lit(k)) - spread).cast("int")))
 
 
-def _sets(texts: pa.Array, width: int) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each text."""
-    from trapwise.llm.arrowtext import shingles
+def shingle_set(text: Column, width: int) -> Column:
+    """Sorted distinct hashes of the ``width``-word shingles of a text; fewer words are one shingle, no words none.
 
-    h, ends = shingles(texts, width)
-    return [np.unique(h[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    Words are runs of characters other than ASCII white space, A-Z lower-cased.
+    """
+    words = F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+"), "")
 
+    def shingles(h: Column) -> Column:
+        return F.when(F.size(h) >= width, F.transform(
+            F.sequence(F.lit(0), F.size(h) - width), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(width)]))).otherwise(
+            F.filter(F.array(F.xxhash64(h)), lambda _: F.size(h) > 0))
 
-def _sketch_kernel(width: int, k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from trapwise.llm.arrowtext import list_array, mix, slices
+    # each word is hashed once
+    return F.sort_array(F.array_distinct(F.get(F.transform(F.array(F.transform(words, lambda w: F.xxhash64(w))), shingles), 0)))
 
-        for batch in batches:
-            for part in slices(batch):
-                sets = _sets(part.column("text"), width)
-                kept = [s[:k] for s in sets]
-                ends = np.concatenate([[0], np.cumsum([len(s) for s in kept])])
-                flat = np.concatenate(kept) if kept else np.zeros(0, np.uint64)
-                sums = [np.array([f(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
-                        for f in (lambda s: s, mix)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
-                     pa.array(sums[0]), pa.array(sums[1]), list_array(flat.view(np.int64), ends, pa.int64())],
-                    names=["doc_id", "n_shingles", "set_a", "set_b", "sketch"])
 
-    return run
+def _overlap(a: str, b: str) -> Column:
+    return F.size(F.array_intersect(a, b))
 
 
-def _set_kernel(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from trapwise.llm.arrowtext import slices
+def _sketch_needed(a: str, b: str, similarity: float) -> Column:
+    """Values of the sketch of the union (as long as the longer sketch) that similar sets share."""
+    n = F.greatest(F.size(a), F.size(b))
+    return similarity * n - SLACK * F.sqrt(similarity * (1 - similarity) * n)
 
-        for batch in batches:
-            for part in slices(batch):
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("rep"), pa.array([s.tobytes() for s in _sets(part.column("text"), width)], pa.binary())],
-                    names=["rep", "shingles"])
 
-    return run
+def _likely(a: str, b: str, similarity: float) -> Column:
+    """Whether the sketch of the union of two sketches shares enough."""
+    union = F.slice(F.sort_array(F.array_union(a, b)), F.lit(1), F.greatest(F.size(a), F.size(b)))
+    return F.size(F.array_intersect(F.array_intersect(a, b), union)) >= _sketch_needed(a, b, similarity)
 
 
-def _estimate_kernel(similarity: float, slack: float):
-    """Drops pairs whose union sketch shares too little."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("sketch_a", "sketch_b"))
-            keep = np.zeros(batch.num_rows, bool)
-            for i, (x, y) in enumerate(zip(a, b, strict=True)):
-                x, y = np.asarray(x).view(np.uint64), np.asarray(y).view(np.uint64)
-                size = max(len(x), len(y))
-                both = np.sort(np.concatenate([x, y]))
-                same = np.concatenate([both[1:] == both[:-1], [False]])
-                again = np.concatenate([[False], same[:-1]])
-                order = np.flatnonzero(~again)[:size]  # the smallest of the union
-                need = similarity * len(order) - slack * np.sqrt(similarity * (1 - similarity) * len(order))
-                keep[i] = same[order].sum() >= need
-            yield batch.filter(pa.array(keep)).select(["a", "b"])
+def _linked(a: str, b: str, percent: int) -> Column:
+    """Whether 100 * intersection >= ``percent`` * union of two full sets; the intersection is taken once."""
+    return (100 + percent) * _overlap(a, b).cast("long") >= percent * (F.size(a) + F.size(b)).cast("long")
 
-    return run
 
+def _sides(table: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """``table(rep, column)`` as (a, column_a) and (b, column_b)."""
+    return tuple(table.select(F.col("rep").alias(x), F.col(column).alias(f"{column}_{x}")) for x in "ab")
 
-def _exact_kernel(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            a, b = batch.column("set_a"), batch.column("set_b")
-            for i in range(batch.num_rows):
-                x, y = (np.frombuffer(c[i].as_buffer(), np.uint64) for c in (a, b))
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                common = int((y[at] == x).sum())
-                keep[i] = 100 * common >= percent * (len(x) + len(y) - common)
-            yield batch.filter(pa.array(keep)).select(["a", "b"])
 
-    return run
+def _full_sets(texts: DataFrame, members: DataFrame, width: int, name: str) -> DataFrame:
+    """(rep, shingles) of ``members(rep)``, stored."""
+    return stage_table(join_rows(texts, members, "rep", "left_semi").select("rep", shingle_set(F.col("text"), width).alias("shingles"))
+                       .dropDuplicates(["rep"]), name + "-sets")
 
 
 def _confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame, width: int, percent: int, name: str) -> DataFrame:
     """Those of the distinct ``pairs(a, b)`` that are links."""
-    s = percent / 100
-    sk = reps.select("rep", "sketch")
-    likely = stage_table(
-        pairs.join(sk.withColumnsRenamed({"rep": "a", "sketch": "sketch_a"}), "a")
-        .join(sk.withColumnsRenamed({"rep": "b", "sketch": "sketch_b"}), "b").select("a", "b", "sketch_a", "sketch_b")
-        .mapInArrow(_estimate_kernel(s, SLACK), "a long, b long"), name + "-likely")
+    sketch_a, sketch_b = _sides(reps, "sketch")
+    likely = stage_table(pairs.join(sketch_a, "a").join(sketch_b, "b").where(_likely("sketch_a", "sketch_b", percent / 100)).select("a", "b"), name + "-likely")
     if likely.isEmpty():
         return likely
-    members = likely.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    sets = stage_table(join_rows(texts, members, "rep", "left_semi").select("rep", "text")
-                       .mapInArrow(_set_kernel(width), "rep long, shingles binary").dropDuplicates(["rep"]), name + "-sets")
-    full = likely.join(sets.withColumnsRenamed({"rep": "a", "shingles": "set_a"}), "a") \
-                 .join(sets.withColumnsRenamed({"rep": "b", "shingles": "set_b"}), "b")
-    links = stage_table(full.select("a", "b", "set_a", "set_b").mapInArrow(_exact_kernel(percent), "a long, b long"), name + "-links")
+    sets = _full_sets(texts, likely.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), width, name)
+    set_a, set_b = _sides(sets, "shingles")
+    links = stage_table(likely.join(set_a, "a").join(set_b, "b").where(_linked("shingles_a", "shingles_b", percent)).select("a", "b"), name + "-links")
     release(sets, likely)
     return links
 
 
-def _pair_candidates(prefixes: DataFrame, apart: DataFrame, similar: Column) -> tuple[DataFrame, DataFrame]:
-    """(a, b), and the stored lists they are read from: members of ``apart`` of different components that share two values of their prefixes, once each.
+def _meet(low: DataFrame, others: DataFrame, test: Column, how: str) -> DataFrame:
+    """Join of the entries of the same list and of different components that pass ``test``; of ``left_semi``, those of ``low``.
+
+    The columns of ``low`` are called ``*_a`` and those of ``others`` ``*_b``.  A long list is dealt over several tasks by
+    ``low``, each of which has all the others.
+    """
+    keys = ["value", "_parts"]
+    x = low.select(*keys, F.pmod(F.xxhash64("rep"), F.col("_parts")).alias("_part"), *[F.col(c).alias(f"{c}_a") for c in low.columns if c not in keys])
+    y = others.select(F.col("value").alias("value_b"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)).alias("part_b"),
+                      *[F.col(c).alias(f"{c}_b") for c in others.columns if c not in keys])
+    met = (F.col("value") == F.col("value_b")) & (F.col("_part") == F.col("part_b")) & (F.col("_group_a") != F.col("_group_b")) & test
+    out = x.hint("merge").join(y, met, how)
+    return out.select(*[F.col(c if c in keys else f"{c}_a").alias(c) for c in low.columns]) if how == "left_semi" else out
+
+
+def _with_partners(entries: DataFrame, test: Column, name: str) -> DataFrame:
+    """The entries that pass ``test`` with one of another component in their list, stored."""
+    low, top = entries.where("not _top"), entries.where("_top")
+    found = stage_table(_meet(low, entries, test, "left_semi"), name + "-low")
+    out = stage_table(found.unionByName(_meet(top, found, test, "left_semi")), name)
+    release(found)
+    return out
+
+
+def _links_across(prefixes: DataFrame, apart: DataFrame, reps: DataFrame, texts: DataFrame, width: int, percent: int, name: str) -> DataFrame:
+    """Links (a, b) between members of ``apart`` of different components that share two values of their prefixes.
 
     ``prefixes(rep, n_shingles, _reads, _values)``, the values in one global order; similar sets have
-    their first common value among the first ``_reads``.  A pair is proposed in the list of its first common value
+    their first common value among the first ``_reads``.  A pair is compared in the list of its first common value
     alone.  Of each list, the component with the most members is only compared with the others.
     """
     members = apart.select("rep", "_group").distinct()
     put = stage_table(prefixes.join(members, "rep").select("rep", "n_shingles", "_group", "_values", F.explode(F.slice("_values", F.lit(1), F.col("_reads"))).alias("value")),
-                      "near-pairs")
+                      name + "-put")
     sizes = put.groupBy("value", "_group").agg(F.count(F.lit(1)).alias("_n"))
-    most = sizes.groupBy("value").agg(F.max(F.struct("_n", "_group")).alias("_m"), F.count(F.lit(1)).alias("_groups")) \
-        .where("_groups > 1").select("value", F.col("_m._group").alias("_most"))
-    mixed = put.join(most, "value")
-    x = mixed.where(F.col("_group") != F.col("_most")).select(
-        "value", F.col("rep").alias("a"), F.col("n_shingles").alias("n_a"), F.col("_group").alias("_ga"), F.col("_values").alias("_va"))
-    y = mixed.select("value", F.col("rep").alias("b"), F.col("n_shingles").alias("n_b"), F.col("_group").alias("_gb"), F.col("_values").alias("_vb"),
-                     (F.col("_group") == F.col("_most")).alias("_top"))
-    once = F.col("_top") | (F.col("a") < F.col("b"))
-    common = F.array_intersect("_va", "_vb")
-    first = (F.size(common) > 1) & (F.get(common, F.lit(0)) == F.col("value"))
-    pairs = x.join(y, "value").where((F.col("_ga") != F.col("_gb")) & once & similar & first).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return pairs, put
+    most = sizes.groupBy("value").agg(F.max(F.struct("_n", "_group")).alias("_m"), F.count(F.lit(1)).alias("_groups"), F.sum("_n").alias("_all")) \
+        .where("_groups > 1").select("value", F.col("_m._group").alias("_most"), F.ceil((F.col("_all") - F.col("_m._n")) / LIST_PART).alias("_parts"))
+    mixed = put.join(most, "value").withColumn("_top", F.col("_group") == F.col("_most")).drop("_most")
+
+    # sets of very different sizes are not similar
+    similar = 100 * F.least("n_shingles_a", "n_shingles_b") >= percent * F.greatest("n_shingles_a", "n_shingles_b")
+    common = F.array_intersect("_values_a", "_values_b")
+    near = similar & (F.get(common, F.lit(0)) == F.col("value")) & (F.size(common) > 1)
+    likely = _likely("sketch_a", "sketch_b", percent / 100)
+    proposed = _with_partners(mixed, near, name + "-proposed")
+    if proposed.isEmpty():
+        release(put)
+        return proposed.select(F.col("rep").alias("a"), F.col("rep").alias("b"))
+    kept = _with_partners(proposed.join(reps.select("rep", "sketch"), "rep"), near & likely, name + "-likely")
+    sets = _full_sets(texts, kept.select("rep").distinct(), width, name)
+    full = kept.join(sets, "rep")
+    once = F.col("_top_b") | (F.col("rep_a") < F.col("rep_b"))
+    shared = _overlap("sketch_a", "sketch_b") >= _sketch_needed("sketch_a", "sketch_b", percent / 100)
+    links = stage_table(_meet(full.where("not _top"), full, once & near & shared & _linked("shingles_a", "shingles_b", percent), "inner")
+                        .select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct(), name + "-links")
+    release(put, proposed, kept, sets)
+    return links
 
 
 def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, k: int = SKETCH) -> DataFrame:
@@ -185,11 +184,12 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, k:
     equal set.  doc_id is a key, and rows that repeat it repeat the text; a row without doc_id
     is kept.  An empty table gives none.
     """
-    ship_package(documents.sparkSession)
     s = percent / 100
     texts = need(documents, doc_id="long", text="string")
-    docs = stage_table(texts.mapInArrow(
-        _sketch_kernel(width, k), "doc_id long, n_shingles long, set_a long, set_b long, sketch array<long>"), "near-sketches")
+    sets = texts.select("doc_id", shingle_set(F.col("text"), width).alias("_set"))
+    docs = stage_table(sets.select(
+        "doc_id", F.size("_set").cast("long").alias("n_shingles"), F.xxhash64("_set").alias("set_a"), F.xxhash64(F.lit(1), F.col("_set")).alias("set_b"),
+        F.slice("_set", 1, k).alias("sketch")), "near-sketches")
     key = ["n_shingles", "set_a", "set_b"]
     classes = docs.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"))
     members = stage_table(docs.drop("sketch").join(classes, key, "left")
@@ -218,8 +218,7 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, k:
     links, groups, stored = None, None, [reps, prefixes]
     for turn, n_pivots in enumerate([*PIVOTS, None]):
         if n_pivots is None:
-            pairs, put = _pair_candidates(prefixes, apart, similar)
-            stored.append(put)
+            found = _links_across(prefixes, apart, reps, source, width, percent, f"near-{turn}")
         else:
             # half of them by the most common values, in part at random; the others by the smallest hashes under
             # several seeds: lists of one group choose the same pivots
@@ -234,7 +233,7 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, k:
                 F.array(*[f"_{i}" for i in range(n_pivots)]), lambda x: F.struct(x["p"].alias("p"), x["n_b"].alias("n_b"), x["_gp"].alias("_gp"))))).alias("_p"))
             pairs = apart.withColumnRenamed("n_shingles", "n_a").join(pivot.select("value", "_p.*"), "value") \
                 .where((F.col("_group") != F.col("_gp")) & similar).select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b"))
-        found = _confirmed(pairs.distinct(), reps, source, width, percent, f"near-{turn}")
+            found = _confirmed(pairs.distinct(), reps, source, width, percent, f"near-{turn}")
         links = found if links is None else links.unionByName(found)
         groups = connected(links)
         if n_pivots is None:
