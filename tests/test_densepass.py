@@ -35,7 +35,7 @@ def _profile(d, q):
 def _kernels(monkeypatch):
     """The passes' kernels, each called with (blk, batches)."""
     found = []
-    monkeypatch.setattr(blockscore, "_run", lambda scorer, kernel, *a: found.append(kernel) or (_ for _ in ()).throw(StopIteration))
+    monkeypatch.setattr(blockscore, "_run", lambda scorer, kernel, *a, **k: found.append(kernel) or (_ for _ in ()).throw(StopIteration))
     monkeypatch.setattr(blockscore, "cell_counts", lambda *a: (1, 1))
     scorer = blockscore.DenseScorer.__new__(blockscore.DenseScorer)
     scorer.exact = True
